@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, quality, sharding
+from . import bpe, linededup, minhash, quality, sharding
 from .common import read, staged
 
 
+def vocabulary() -> str:
+    """Path of the vocabulary that the queries encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(read(spark, sf_dir, "documents")).drop("node")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(read(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -23,13 +34,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(read(spark, sf_dir, "documents"), min_chars=1, min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(linededup.kept_text(F.col("text"), F.col("keep_runs")), 256).alias("kept_sha256"), "keep_runs")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op4_quality_rules, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op3_sharding, op4_quality_rules, op5_bpe, op9_line_dedup)}
 
 
 SQL: dict[str, str] = {}
