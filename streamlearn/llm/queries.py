@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, minhash, quality, sharding
+from . import bpe, decontam, linededup, minhash, quality, sharding
 from .common import read, staged
 
 
@@ -38,13 +38,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(read(spark, sf_dir, "documents"), min_chars=1, min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(linededup.kept_text(F.col("text"), F.col("keep_runs")), 256).alias("kept_sha256"), "keep_runs")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_sharding, op4_quality_rules, op5_bpe, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op3_sharding, op4_quality_rules, op5_bpe, op6_decontamination, op9_line_dedup)}
 
 
 SQL: dict[str, str] = {}
