@@ -6,12 +6,14 @@ shingle is done when its next arrival is later than all registers (early termina
 register with the probability Jaccard similarity J_P of the weighted shingle sets, which is the Jaccard similarity
 where no shingle repeats. Bands of registers give buckets of candidates; candidates are verified with the exact J_P.
 
-No bucket emits all its pairs and none is capped. In every bucket the least member leads and only pairs with the
-leader are verified. 1 - J_P is a metric, so two other members y, z can only be similar if their distances to the
-leader differ by at most 1 - threshold: members are dealt into overlapping rings of that width, and a ring whose
-members are not all in one class yet is a bucket of the next round, without the leader. Rounds end when no such
-bucket is left, so no link between candidates is lost. Classes are the connected components of the links, found with
-alternating large-star and small-star steps on distributed tables.
+No bucket emits all its pairs and none is capped. In every bucket the most central member leads (the one that meets
+most others over all its buckets, so a family of copies has the same leader everywhere) and first only pairs with a
+leader are verified; their links give components. Members of a leader that are still in several components are then
+compared with each other without leaving their task: 1 - J_P is a metric, so only members whose distances to the
+leader differ by at most 1 - threshold can be similar, and of those only pairs whose signatures agree in MIN_AGREE of
+the registers (five standard deviations below the threshold) are verified exactly. Large groups are compared in
+blocks by many tasks. Classes are the connected components of all links, found with alternating large-star and
+small-star steps on distributed tables.
 
 Equal texts are one node (the MD5 of the text) from the start, so copies cost a row each and no pairs.
 
@@ -28,13 +30,17 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, staged
+from .common import staged
 
 SHINGLE_WORDS = 5
 #: bands x rows registers: at a similarity of 0.8 a pair shares no band with probability 5e-8.
 BANDS, ROWS = 32, 4
 #: Pairs of one leader verified by one task.
 PAIRS_A_TASK = 512
+#: Members of one leader compared by one task with as many others.
+BLOCK = 2048
+#: Share of registers in which a pair's signatures must agree to be verified in the second round.
+MIN_AGREE = 0.62
 #: Distances this close to the limit count as within it (rounding).
 EPS = 1e-9
 _WORDS_KEPT = 500_000
@@ -146,7 +152,7 @@ def _text_node(text: Column) -> Column:
 
 
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, node and buckets (one for each band; none without a word). docs: doc_id, text."""
+    """doc_id, node, buckets (one for each band; none without a word) and the registers' low 16 bits. docs: doc_id, text."""
 
     def run(batches):
         import numpy as np
@@ -160,8 +166,9 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             for i in range(rows):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, i])
             some = np.array([len(h) > 0 for h, _ in sets], bool)
+            short = (sig & np.uint64(0xFFFF)).astype("<u2").reshape(len(sets), -1)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]), pa.int32()), pa.array(key[some].astype("u8").view("i8").ravel(), pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.binary()), lists.cast(pa.list_(pa.int64()))], ["doc_id", "node", "buckets"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.binary()), lists.cast(pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "node", "buckets", "sig"])
 
         for batch in batches:
             ids, nodes, sets, n = [], [], [], 0
@@ -177,7 +184,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             if ids:
                 yield emit(ids, nodes, sets)
 
-    return docs.select("doc_id", _text_node(F.col("text")).alias("node"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, node binary, buckets array<bigint>")
+    return docs.select("doc_id", _text_node(F.col("text")).alias("node"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, node binary, buckets array<bigint>, sig binary")
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
@@ -246,44 +253,107 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("high").alias("node"), F.col("low").alias("comp")).union(now.select(F.col("low").alias("node"), F.col("low").alias("comp")).distinct())
 
 
+def _similar_within(groups: DataFrame, limit: float) -> DataFrame:
+    """Pairs (lead, node) of members of one leader to verify. groups: lead, node, distance, comp, sig; all with size n."""
+    rows = groups.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a task for every pair of blocks; a group of one block is one task
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "distance", "comp", "sig")
+    rows = rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "block", "distance")
+
+    def compare(block: list[tuple], same: bool) -> Iterator[tuple]:
+        import numpy as np
+
+        first = [r for r in block if r[0] == block[0][0]]
+        second = first if same else [r for r in block if r[0] != block[0][0]]
+        if not second:
+            return
+        comps = {c: k for k, c in enumerate({r[3] for r in block})}
+        unpack = lambda rows: (np.array([r[2] for r in rows]), np.array([comps[r[3]] for r in rows]), np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), -1))
+        d1, c1, s1 = unpack(first)
+        d2, c2, s2 = unpack(second)
+        low, high = np.searchsorted(d2, d1 - limit - EPS, "left"), np.searchsorted(d2, d1 + limit + EPS, "right")
+        for k in range(len(first)):
+            a, b = (max(low[k], k + 1) if same else low[k]), high[k]
+            if a >= b:
+                continue
+            at = a + np.flatnonzero(c2[a:b] != c1[k])
+            if len(at):
+                agree = (s2[at] == s1[k]).mean(axis=1)
+                for m in at[agree >= MIN_AGREE].tolist():
+                    yield min(first[k][1], second[m][1]), max(first[k][1], second[m][1])
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        key, block = None, []
+
+        def flush():
+            out = list(compare(block, key[1] == key[2])) if block and len({r[3] for r in block}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["lead", "node"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(8)]
+            for lead, i, j, *row in zip(*columns):
+                if (lead, i, j) != key:
+                    if key:
+                        yield flush()
+                    key, block = (lead, i, j), []
+                block.append(tuple(row))
+        if key:
+            yield flush()
+
+    return rows.mapInArrow(run, "lead binary, node binary").distinct()
+
+
+def _linked(found: DataFrame, limit: float) -> DataFrame:
+    return found.where(F.col("distance") <= limit + EPS).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+
+
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (MD5 of the text), class_key and class_id of every row, and links, the node's verified links."""
+    """doc_id, node (MD5 of the text), class_key, class_id and class_size of every row, and links, the node's verified links."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     limit = 1.0 - threshold
     signed = staged(_signed(docs, bands, rows), "minhash-signed")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"))
     bucketed = nodes.select("node", "doc_id", F.explode("buckets").alias("bucket"))
-    leads = bucketed.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = staged(bucketed.join(leads, "bucket"), "minhash-members")
-
-    wanted = members.select("node", "doc_id").distinct().withColumnsRenamed({"node": "w_node", "doc_id": "w_id"})
+    sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = staged(bucketed.join(sizes, "bucket"), "minhash-members")
+    centrality = members.groupBy("node").agg(F.sum("n").alias("met"), F.min("doc_id").alias("doc_id"))
+    ranked = staged(centrality, "minhash-centrality")
+    best = F.max(F.struct("met", "node"))["node"].alias("lead")
+    with_met = members.select("bucket", "node").join(ranked.select("node", "met"), "node")
+    leads = with_met.groupBy("bucket").agg(best)
+    pairs = members.select("bucket", "node").join(leads, "bucket").where("node != lead").select("lead", "node").distinct()
+
+    wanted = ranked.select(F.col("node").alias("w_node"), F.col("doc_id").alias("w_id"))
     own = docs.select("doc_id", "text", _text_node(F.col("text")).alias("node"))
     texts = own.join(wanted, (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
     sets = staged(_shingled(texts).dropDuplicates(["node"]), "minhash-sets")
 
-    members = members.select("bucket", "node", "lead")
-    links = None
-    comp = None
-    while True:
-        pairs = members.where("node != lead").select("lead", "node").distinct()
-        found = staged(_verified(pairs, sets), "minhash-distances")
-        new = found.where(F.col("distance") <= limit + EPS).select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        comp = components(links)
-        ring = F.least(F.lit(int(1 / limit)), F.floor((F.col("distance") + EPS) / limit)).cast("int")
-        # pairs this close may lie on either side of a ring's edge: neighbours share a bucket
-        dealt = members.join(found, ["lead", "node"]).select("node", F.explode(let(ring, lambda r: F.array(r, r - 1))).alias("ring"), "bucket", "lead")
-        dealt = dealt.where("ring >= 0").select("node", F.xxhash64("bucket", "lead", "ring").alias("bucket"))
-        dealt = dealt.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        left = dealt.groupBy("bucket").agg(F.min("node").alias("lead"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("bucket", "lead")
-        members = staged(dealt.join(left, "bucket").select("bucket", "node", "lead"), "minhash-members")
-        if members.isEmpty():
-            break
-    degree = links.select(F.explode(F.array("a", "b")).alias("node"), F.when(F.lit(True), 1).alias("one")).groupBy("node").agg(F.count("one").alias("links"))
-    of = signed.select("doc_id", "node").join(comp, "node", "left").join(degree, "node", "left")
-    of = of.select("doc_id", "node", F.coalesce("comp", "node").alias("key"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-    ids = of.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return of.join(ids, "key").select("doc_id", "node", "class_id", F.lower(F.hex("key")).alias("class_key"), "class_size", "links")
+    found = staged(_verified(pairs, sets), "minhash-distances")
+    links = _linked(found, limit)
+    comp = components(links)
+    # members of one leader in several components: the only places where a link can be missing
+    at_lead = found.union(found.select("lead", F.col("lead").alias("node"), F.lit(0.0).alias("distance")).distinct())
+    at_lead = at_lead.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = at_lead.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("lead", "n")
+    sigs = signed.select("node", "sig").dropDuplicates(["node"])
+    open_pairs = _similar_within(staged(at_lead.join(split, "lead").join(sigs, "node"), "minhash-open"), limit)
+    found2 = staged(_verified(open_pairs, sets), "minhash-distances")
+    links2 = _linked(found2, limit)
+    # links between components join those
+    of = lambda end: comp.select(F.col("node").alias(end), F.col("comp").alias(f"c_{end}"))
+    joined = links2.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    comp2 = components(joined).withColumnsRenamed({"node": "c_node", "comp": "c_comp"})
+
+    degree = links.unionByName(links2).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    out = signed.select("doc_id", "node").join(comp, "node", "left").join(degree, "node", "left").withColumn("key", F.coalesce("comp", "node"))
+    out = out.join(comp2, F.col("key") == F.col("c_node"), "left")
+    out = out.select("doc_id", "node", F.coalesce("c_comp", "key").alias("key"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    ids = out.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return out.join(ids, "key").select("doc_id", "node", "class_id", F.lower(F.hex("key")).alias("class_key"), "class_size", "links")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
