@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,3 +46,28 @@ def hash_pair(value: Column) -> tuple[Column, Column]:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def sampled(docs: DataFrame, rows: int, *key: str) -> DataFrame:
+    """About `rows` rows of docs (all, if there are no more), chosen by a hash of key; nothing is sorted or sent around."""
+    total = docs.count()
+    share = min(1.0, rows / total) if total else 1.0
+    return docs.where(F.pmod(F.xxhash64(F.lit(SECOND_SEED), *key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+class Taken:
+    """Which stretches of a text are taken by spans."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k == 0 or self.ends[k - 1] <= a

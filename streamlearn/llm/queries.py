@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, linededup, minhash, quality, sharding
+from . import bpe, decontam, linededup, minhash, pii, quality, secrets, sharding
 from .common import read, staged
 
 
@@ -22,6 +22,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(read(spark, sf_dir, "documents")).drop("node")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(read(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -47,8 +51,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(linededup.kept_text(F.col("text"), F.col("keep_runs")), 256).alias("kept_sha256"), "keep_runs")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_sharding, op4_quality_rules, op5_bpe, op6_decontamination, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_pii, op3_sharding, op4_quality_rules, op5_bpe, op6_decontamination, op9_line_dedup, op10_secrets)}
 
 
 SQL: dict[str, str] = {}
