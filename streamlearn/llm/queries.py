@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, linededup, minhash, pii, quality, secrets, sharding
+from . import bpe, chat, decontam, langid, linededup, minhash, pii, quality, secrets, sharding
 from .common import read, staged
 
 
@@ -46,6 +46,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(read(spark, sf_dir, "documents"), min_chars=1, min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(linededup.kept_text(F.col("text"), F.col("keep_runs")), 256).alias("kept_sha256"), "keep_runs")
@@ -56,7 +64,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_pii, op3_sharding, op4_quality_rules, op5_bpe, op6_decontamination, op9_line_dedup, op10_secrets)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_pii, op3_sharding, op4_quality_rules, op5_bpe, op6_decontamination, op7_language, op8_chat, op9_line_dedup, op10_secrets)}
 
 
 SQL: dict[str, str] = {}
