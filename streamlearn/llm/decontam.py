@@ -103,8 +103,8 @@ def windows(kinds, templates, width: int):
     out = np.full(n, width, "u8")
     literal = np.concatenate([[0], np.cumsum((kinds >= _CAPITAL))])
     for i in range(width):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + templates[i : i + n])
-    return out, (literal[width : width + n] - literal[:n]) >= MIN_WORDS
+        out = out * np.uint64(0x9E3779B97F4A7C15) + templates[i : i + n]
+    return mix(out), (literal[width : width + n] - literal[:n]) >= MIN_WORDS
 
 
 class Benchmark:
