@@ -10,9 +10,10 @@ No bucket emits all its pairs and none is capped. In every bucket the most centr
 most others over all its buckets, so a family of copies has the same leader everywhere) and first only pairs with a
 leader are verified; their links give components. Members of a leader that are still in several components are then
 compared with each other without leaving their task: 1 - J_P is a metric, so only members whose distances to the
-leader differ by at most 1 - threshold can be similar, and of those only pairs whose signatures agree in MIN_AGREE of
-the registers (five standard deviations below the threshold) are verified exactly. Large groups are compared in
-blocks by many tasks. Classes are the connected components of all links, found with alternating large-star and
+leader differ by at most 1 - threshold can be similar, and of those only pairs whose signatures, first short and then long
+ones, agree in so many registers that a similar pair is missed with a probability under 1e-6, are verified exactly.
+A task joins what it links at once and skips pairs already joined, so it returns fewer links than it has members.
+Large groups are compared in blocks by many tasks. Classes are the connected components of all links, found with alternating large-star and
 small-star steps on distributed tables.
 
 Equal texts are one node (the MD5 of the text) from the start, so copies cost a row each and no pairs.
@@ -30,17 +31,19 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import SECOND_SEED, staged
 
 SHINGLE_WORDS = 5
 #: bands x rows registers: at a similarity of 0.8 a pair shares no band with probability 5e-8.
 BANDS, ROWS = 32, 4
 #: Pairs of one leader verified by one task.
 PAIRS_A_TASK = 512
-#: Members of one leader compared by one task with as many others.
-BLOCK = 2048
-#: Share of registers in which a pair's signatures must agree to be verified in the second round.
-MIN_AGREE = 0.62
+#: Shingles of the members of one leader compared by one task with as many others.
+BLOCK_SHINGLES = 500_000
+#: Registers of the long signatures, and standard deviations below the threshold that still pass.
+LONG, DEVIATIONS = 512, 5.0
+#: Bits of the fixed-size filter of wanted texts (8 MB).
+FILTER_BITS = 1 << 26
 #: Distances this close to the limit count as within it (rounding).
 EPS = 1e-9
 _WORDS_KEPT = 500_000
@@ -81,8 +84,8 @@ class Shingler:
         n = max(1, len(h) - SHINGLE_WORDS + 1)
         out = np.zeros(n, "u8")
         for i in range(min(SHINGLE_WORDS, len(h))):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-        got, counts = np.unique(out, return_counts=True)
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+        got, counts = np.unique(mix(out), return_counts=True)
         return got, counts.astype("f8")
 
 
@@ -253,36 +256,56 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("high").alias("node"), F.col("low").alias("comp")).union(now.select(F.col("low").alias("node"), F.col("low").alias("comp")).distinct())
 
 
-def _similar_within(groups: DataFrame, limit: float) -> DataFrame:
-    """Pairs (lead, node) of members of one leader to verify. groups: lead, node, distance, comp, sig; all with size n."""
-    rows = groups.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+def _least_agreement(threshold: float, registers: int) -> float:
+    return threshold - DEVIATIONS * (threshold * (1 - threshold) / registers) ** 0.5
+
+
+def _links_within(groups: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join the components of members of one leader. groups: lead, n, node, distance, comp, sig, hashes, weights.
+
+    n: shingles of all members of the leader.
+    """
+    limit = 1.0 - threshold
+    rows = groups.withColumn("blocks", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a task for every pair of blocks; a group of one block is one task
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "distance", "comp", "sig")
+    rows = rows.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "distance", "comp", "sig", "hashes", "weights")
     rows = rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "block", "distance")
 
     def compare(block: list[tuple], same: bool) -> Iterator[tuple]:
         import numpy as np
 
-        first = [r for r in block if r[0] == block[0][0]]
-        second = first if same else [r for r in block if r[0] != block[0][0]]
-        if not second:
-            return
-        comps = {c: k for k, c in enumerate({r[3] for r in block})}
-        unpack = lambda rows: (np.array([r[2] for r in rows]), np.array([comps[r[3]] for r in rows]), np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), -1))
-        d1, c1, s1 = unpack(first)
-        d2, c2, s2 = unpack(second)
-        low, high = np.searchsorted(d2, d1 - limit - EPS, "left"), np.searchsorted(d2, d1 + limit + EPS, "right")
-        for k in range(len(first)):
-            a, b = (max(low[k], k + 1) if same else low[k]), high[k]
-            if a >= b:
-                continue
-            at = a + np.flatnonzero(c2[a:b] != c1[k])
-            if len(at):
-                agree = (s2[at] == s1[k]).mean(axis=1)
-                for m in at[agree >= MIN_AGREE].tolist():
-                    yield min(first[k][1], second[m][1]), max(first[k][1], second[m][1])
+        number = {c: k for k, c in enumerate({r[3] for r in block})}
+        top = list(range(len(number)))
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        cut = len(block) if same else next((k for k, r in enumerate(block) if r[0] != block[0][0]), len(block))
+        comp = np.array([number[r[3]] for r in block])
+        distance = np.array([r[2] for r in block])
+        short = np.frombuffer(b"".join(r[4] for r in block), "<u2").reshape(len(block), -1)
+        sets = [(r[5].view("u8"), r[6].astype("f8")) for r in block]
+        long = np.concatenate([signatures(sets[k : k + 512], LONG) for k in range(0, len(sets), 512)])
+        few, many = _least_agreement(threshold, short.shape[1]), _least_agreement(threshold, LONG)
+        begin, end = (0, len(block)) if same else (cut, len(block))
+        others = distance[begin:end]
+        for k in range(cut):
+            low = begin + int(np.searchsorted(others, distance[k] - limit - EPS, "left"))
+            high = begin + int(np.searchsorted(others, distance[k] + limit + EPS, "right"))
+            at = np.arange(max(low, k + 1) if same else low, high)
+            at = at[comp[at] != comp[k]]
+            at = at[(short[at] == short[k]).mean(axis=1) >= few] if len(at) else at
+            at = at[(long[at] == long[k]).mean(axis=1) >= many] if len(at) else at
+            for m in at.tolist():
+                a, b = find(comp[k]), find(comp[m])
+                if a != b and 1.0 - similarity(*sets[k], *sets[m]) <= limit + EPS:
+                    top[max(a, b)] = min(a, b)
+                    yield block[k][1], block[m][1]
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -290,21 +313,53 @@ def _similar_within(groups: DataFrame, limit: float) -> DataFrame:
         key, block = None, []
 
         def flush():
-            out = list(compare(block, key[1] == key[2])) if block and len({r[3] for r in block}) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["lead", "node"])
+            out = list(compare(block, key[1] == key[2])) if len({r[3] for r in block}) > 1 and (key[1] == key[2] or block[0][0] != block[-1][0]) else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in range(8)]
-            for lead, i, j, *row in zip(*columns):
+            for n, (lead, i, j, *row) in enumerate(zip(*columns)):
                 if (lead, i, j) != key:
                     if key:
                         yield flush()
                     key, block = (lead, i, j), []
-                block.append(tuple(row))
+                own = (batch.column(c)[n].values.to_numpy(zero_copy_only=False).copy() for c in (8, 9))
+                block.append((*row, *own))
         if key:
             yield flush()
 
-    return rows.mapInArrow(run, "lead binary, node binary").distinct()
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def _filter_bits(node: Column) -> Column:
+    return F.array(F.pmod(F.xxhash64(node), F.lit(FILTER_BITS)), F.pmod(F.xxhash64(F.lit(SECOND_SEED), node), F.lit(FILTER_BITS)))
+
+
+def _maybe_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, node, text) without most of those that wanted (node) lacks: a Bloom filter of fixed size.
+
+    It spares the exchange the texts that the exact join after it would drop; when it is full it lets all pass.
+    """
+    import numpy as np
+
+    bits = wanted.select(F.explode(_filter_bits(F.col("node"))).alias("bit"))
+    words = bits.groupBy(F.call_function("shiftright", "bit", F.lit(6)).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
+    got = words.toArrow()  # FILTER_BITS / 64 rows at most
+    table = np.zeros(FILTER_BITS // 64, "i8")
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        seen = shared.value.view("u8")
+        for batch in batches:
+            pos = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+            hit = (seen[pos >> 6] >> (pos & 63).astype("u8")) & np.uint64(1)
+            keep = pa.array(hit.all(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(3)], ["doc_id", "node", "text"]).filter(keep)
+
+    return docs.select("doc_id", "node", F.coalesce("text", F.lit("")).alias("text"), _filter_bits(F.col("node")).alias("pos")).mapInArrow(run, "doc_id bigint, node binary, text string")
 
 
 def _linked(found: DataFrame, limit: float) -> DataFrame:
@@ -316,20 +371,19 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     limit = 1.0 - threshold
     signed = staged(_signed(docs, bands, rows), "minhash-signed")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"))
-    bucketed = nodes.select("node", "doc_id", F.explode("buckets").alias("bucket"))
+    nodes = signed.groupBy("node").agg(F.first("buckets").alias("buckets"))
+    bucketed = nodes.select("node", F.explode("buckets").alias("bucket"))
     sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = staged(bucketed.join(sizes, "bucket"), "minhash-members")
-    centrality = members.groupBy("node").agg(F.sum("n").alias("met"), F.min("doc_id").alias("doc_id"))
-    ranked = staged(centrality, "minhash-centrality")
+    ranked = staged(members.groupBy("node").agg(F.sum("n").alias("met")), "minhash-centrality")
     best = F.max(F.struct("met", "node"))["node"].alias("lead")
-    with_met = members.select("bucket", "node").join(ranked.select("node", "met"), "node")
-    leads = with_met.groupBy("bucket").agg(best)
+    leads = members.select("bucket", "node").join(ranked, "node").groupBy("bucket").agg(best)
     pairs = members.select("bucket", "node").join(leads, "bucket").where("node != lead").select("lead", "node").distinct()
 
-    wanted = ranked.select(F.col("node").alias("w_node"), F.col("doc_id").alias("w_id"))
-    own = docs.select("doc_id", "text", _text_node(F.col("text")).alias("node"))
-    texts = own.join(wanted, (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
+    of_node = signed.join(ranked.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("w_id"), F.first("sig").alias("sig"))
+    wanted = staged(of_node.withColumnRenamed("node", "w_node"), "minhash-wanted")
+    own = _maybe_wanted(docs.select("doc_id", "text", _text_node(F.col("text")).alias("node")), ranked.select("node"))
+    texts = own.join(wanted.select("w_node", "w_id"), (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
     sets = staged(_shingled(texts).dropDuplicates(["node"]), "minhash-sets")
 
     found = staged(_verified(pairs, sets), "minhash-distances")
@@ -338,11 +392,11 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     # members of one leader in several components: the only places where a link can be missing
     at_lead = found.union(found.select("lead", F.col("lead").alias("node"), F.lit(0.0).alias("distance")).distinct())
     at_lead = at_lead.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = at_lead.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("lead", "n")
-    sigs = signed.select("node", "sig").dropDuplicates(["node"])
-    open_pairs = _similar_within(staged(at_lead.join(split, "lead").join(sigs, "node"), "minhash-open"), limit)
-    found2 = staged(_verified(open_pairs, sets), "minhash-distances")
-    links2 = _linked(found2, limit)
+    at_lead = at_lead.join(sets.select("node", F.size("hashes").alias("size")), "node")
+    split = at_lead.groupBy("lead").agg(F.sum("size").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("lead", "n")
+    open_ = staged(at_lead.join(split, "lead").drop("size"), "minhash-open")
+    full = open_.join(wanted.select(F.col("w_node").alias("node"), "sig"), "node").join(sets, "node")
+    links2 = staged(_links_within(full, threshold), "minhash-links")
     # links between components join those
     of = lambda end: comp.select(F.col("node").alias(end), F.col("comp").alias(f"c_{end}"))
     joined = links2.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
