@@ -22,10 +22,12 @@ def flatness_map(rows: DataFrame, labels: DataFrame, *, coil: str = "coil_id", p
     rows of a coil finds: no join of all positions with all labels.
     """
     at = labels.select(F.col(coil).alias("__c"), F.col(pos).alias("__p"), "label_no", "value").where("__p is not null")
-    # of labels at one position only the first counts, and whether there are more
-    at = at.groupBy("__c", "__p").agg(F.min_by(F.struct("label_no", "value"), "label_no").alias("l"), (F.count(F.lit(1)) > 1).alias("many"))
+    # of labels at one position only the first two by number can be among the two nearest
+    place = Window.partitionBy("__c", "__p").orderBy("label_no")
+    at = at.withColumn("__n", F.row_number().over(place)).where("__n <= 2")
+    at = at.groupBy("__c", "__p").agg(F.array_sort(F.collect_list(F.struct("label_no", "value"))).alias("l"))  # two at most
     near = Window.partitionBy("__c").orderBy("__p")
-    one = F.struct(F.col("__p").alias("p"), F.col("l.label_no").alias("no"), F.col("l.value").alias("v"), F.col("many").alias("many"))
+    one = F.struct(F.col("__p").alias("p"), F.col("l").alias("l"))
     at = at.withColumn("one", one)
     at = at.select("__c", "__p", F.array("one", F.lag("one").over(near)).alias("back"), F.array("one", F.lead("one").over(near)).alias("ahead"), F.lit(0).alias("__kind"), F.lit(None).cast(rows.schema[row_id].dataType).alias("__id"))
     own = rows.select(F.col(coil).alias("__c"), F.col(pos).alias("__p"), F.col(row_id).alias("__id"), F.lit(1).alias("__kind"))
@@ -34,13 +36,14 @@ def flatness_map(rows: DataFrame, labels: DataFrame, *, coil: str = "coil_id", p
     back = F.last("back", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first("ahead", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
     found = both.withColumns({"b": back, "a": ahead}).where("__kind = 1 and __p is not null")
-    empty = F.array().cast("array<struct<p:double,no:bigint,v:double,many:boolean>>")
-    four = F.filter(F.concat(F.coalesce(F.col("b"), empty), F.coalesce(F.col("a"), empty)), lambda x: x.isNotNull())
-    ranked = F.array_sort(F.transform(four, lambda x: F.struct(F.abs(x["p"] - F.col("__p")).alias("d"), x["no"].alias("no"), x["p"].alias("p"), x["v"].alias("v"), x["many"].alias("many"))))
+    empty = F.array().cast("array<struct<p:double,l:array<struct<label_no:bigint,value:double>>>>")
+    places = F.filter(F.concat(F.coalesce(F.col("b"), empty), F.coalesce(F.col("a"), empty)), lambda x: x.isNotNull())
+    every = F.flatten(F.transform(places, lambda x: F.transform(x["l"], lambda y: F.struct(F.abs(x["p"] - F.col("__p")).alias("d"), y["label_no"].alias("no"), x["p"].alias("p"), y["value"].alias("v")))))
+    ranked = F.array_sort(F.array_distinct(every))
     found = found.withColumn("near", ranked)
     l1, l2 = F.get("near", F.lit(0)), F.get("near", F.lit(1))
     line = l1["v"] + (F.col("__p") - l1["p"]) * (l2["v"] - l1["v"]) / (l2["p"] - l1["p"])
-    value = F.when(l1.isNull(), None).when(l1["many"] | l2.isNull() | (l1["p"] == l2["p"]), l1["v"]).otherwise(line)
+    value = F.when(l1.isNull(), None).when(l2.isNull() | (l1["p"] == l2["p"]), l1["v"]).otherwise(line)
     out = found.select(F.col("__c").alias("__rc"), F.col("__id").alias("__ri"), value.alias("flatness"))
     on = rows[coil].eqNullSafe(out["__rc"]) & rows[row_id].eqNullSafe(out["__ri"])
     return rows.join(out, on, "left").drop("__rc", "__ri")

@@ -167,8 +167,8 @@ class MovingMomentsEstimator(Transformer):
 
     def _transform(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
         require(df, p["key"], p["time"], "slice", "data", operator="MovingMomentsEstimator")
-        if p["late"]:
-            df = df.withWatermark(p["time"], p["late"])
+        if df.isStreaming:  # watermarks need a timestamp with a zone
+            df = df.withColumn(p["time"], F.col(p["time"]).cast("timestamp")).withWatermark(p["time"], p["late"] or "0 seconds")
         rows = per_feature(df, [p["key"]], keep=(p["time"],))
         out = rows.groupBy(F.window(p["time"], p["length"], p["slide"]), p["key"], "feature").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("variance"))
         return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), p["key"], "feature", "n", "mean", "variance")

@@ -72,6 +72,8 @@ def uniformity_confidence(i: int, k: int, d: int, m: int) -> float:
     def choose(a: int, b: int) -> float:
         return lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1) if 0 <= b <= a else float("-inf")
 
+    if k + d > i + m:
+        return 0.0
     whole = choose(i + m, k + d)
     return sum(exp(choose(i, x) + choose(m, k + d - x) - whole) for x in range(max(0, k + d - m), min(k, i) + 1))
 
