@@ -32,9 +32,10 @@ def flatness_map(rows: DataFrame, labels: DataFrame, *, coil: str = "coil_id", p
     at = at.select("__c", "__p", F.array("one", F.lag("one").over(near)).alias("back"), F.array("one", F.lead("one").over(near)).alias("ahead"), F.lit(0).alias("__kind"), F.lit(None).cast(rows.schema[row_id].dataType).alias("__id"))
     own = rows.select(F.col(coil).alias("__c"), F.col(pos).alias("__p"), F.col(row_id).alias("__id"), F.lit(1).alias("__kind"))
     both = at.unionByName(own, allowMissingColumns=True)
-    order = Window.partitionBy("__c").orderBy("__p", "__kind")
-    back = F.last("back", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("ahead", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # two passes with running frames, one in each direction: a frame up to the end would be quadratic
+    seen = lambda *by: Window.partitionBy("__c").orderBy(*by, "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    back = F.last("back", ignorenulls=True).over(seen("__p"))
+    ahead = F.last("ahead", ignorenulls=True).over(seen(F.desc("__p")))
     found = both.withColumns({"b": back, "a": ahead}).where("__kind = 1 and __p is not null")
     empty = F.array().cast("array<struct<p:double,l:array<struct<label_no:bigint,value:double>>>>")
     places = F.filter(F.concat(F.coalesce(F.col("b"), empty), F.coalesce(F.col("a"), empty)), lambda x: x.isNotNull())

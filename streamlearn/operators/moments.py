@@ -13,6 +13,7 @@ from ..base import Transformer
 from ..plans.fold import Fold, fold
 from ..plans.running import running
 from ..schemas import require
+from ..streaming.state import stream_fold
 
 
 def per_feature(df: DataFrame, keys: list[str], *, weighted: bool = False, keep: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -148,8 +149,6 @@ class ExponentialMomentsEstimator(Transformer):
         how = exponential(p["alpha"])
         rows = per_feature(df, [p["key"]])
         if df.isStreaming:
-            from ..plans.fold import stream_fold
-
             return stream_fold(rows, [p["key"]], ["seq"], how)
         return fold(rows, [p["key"]], ["seq"], how)
 

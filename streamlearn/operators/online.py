@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..base import Transformer
-from ..plans.fold import Fold, fold, stream_fold
+from ..plans.fold import Fold, fold
 from ..schemas import require
+from ..streaming.state import stream_fold
 
 
 class OnlineLearner(Protocol):

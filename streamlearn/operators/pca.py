@@ -14,6 +14,7 @@ from ..base import Predictor, Transformer
 from ..functions.vectors import dot
 from ..plans.fold import Fold, fold
 from ..schemas import require
+from ..streaming.state import stream_fold
 
 
 def ccipca(rows: np.ndarray, n: int, amnesic: float, state: tuple[int, np.ndarray] | None = None) -> tuple[int, np.ndarray]:
@@ -75,7 +76,10 @@ class CCIPCA(Transformer):
 
     def _transform(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
         require(df, p["key"], p["order"], "data", operator="CCIPCA")
-        return fold(df.select(p["key"], p["order"], "data"), [p["key"]], [p["order"]], _Components(p["components"], p["amnesic"]))
+        how = _Components(p["components"], p["amnesic"])
+        if df.isStreaming:  # each key's components after every micro-batch
+            return stream_fold(df.select(p["key"], F.col(p["order"]).alias("seq"), "data"), [p["key"]], ["seq"], how, with_state=True)
+        return fold(df.select(p["key"], p["order"], "data"), [p["key"]], [p["order"]], how)
 
 
 def _basis(vectors: list[list[float]]) -> list[Column]:

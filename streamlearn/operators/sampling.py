@@ -18,6 +18,7 @@ from ..base import Transformer
 from ..plans.fold import Fold, fold
 from ..plans.running import numbered
 from ..schemas import require
+from ..streaming.state import stream_fold
 
 
 def uniform(seed: int, *columns: str) -> Column:
@@ -25,10 +26,27 @@ def uniform(seed: int, *columns: str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
+class _Acceptance(Fold):
+    schema = "seq bigint, slot bigint"
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def start(self):
+        return 0
+
+    def block(self, state, rows: pd.DataFrame):
+        n = state + np.arange(len(rows))
+        slot = np.where(n < self.k, n, np.floor(rows["u"].to_numpy("f8") * (n + 1)).astype("i8"))
+        out = pd.DataFrame({"seq": rows["seq"].to_numpy("i8"), "slot": slot})
+        return state + len(rows), out[slot < self.k]
+
+
 class SimpleReservoirSampling(Transformer):
     """Algorithm R. Element n (from 0) of a key goes to slot n while n < k, then to slot floor(u * (n + 1)) if that is below k.
 
-    output="log": the accepted elements with their slots; "reservoir": the last element of each slot.
+    output="log": the accepted elements with their slots; "reservoir": the last element of each slot. A stream always
+    gives the log (order and slot of what is accepted), from which any consumer keeps the last of each slot.
     """
 
     defaults: dict[str, Any] = {"key": "pid", "order": "seq", "k": 10, "seed": 0, "uniform": None, "output": "log"}
@@ -37,6 +55,9 @@ class SimpleReservoirSampling(Transformer):
         key, order, k = p["key"], p["order"], p["k"]
         require(df, key, order, operator="SimpleReservoirSampling")
         u = F.col(p["uniform"]) if p["uniform"] else uniform(p["seed"], key, order)
+        if df.isStreaming:
+            rows = df.select(key, F.col(order).alias("seq"), u.alias("u"))
+            return stream_fold(rows, [key], ["seq"], _Acceptance(k))
         n = F.col("__rn") - 1
         slot = F.when(n < k, n).otherwise(F.floor(u * (n + 1)))
         log = numbered(df, [key], [order], "__rn").withColumn("slot", slot.cast("bigint")).where(F.col("slot") < k).drop("__rn")
@@ -161,4 +182,6 @@ class AdaptiveReservoirSampling(Transformer):
     def _transform(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
         require(df, p["key"], "seq", operator="AdaptiveReservoirSampling")
         how = _Adaptive(p["k"], p["change"], p["number_to_change"], p["threshold"], p["seed"], p["output"] == "log")
+        if df.isStreaming:
+            return stream_fold(df.select(p["key"], "seq"), [p["key"]], ["seq"], how, with_state=True)
         return fold(df.select(p["key"], "seq"), [p["key"]], ["seq"], how)

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..base import Operator, Predictor
-from ..plans.fold import Fold, stream_fold
+from ..plans.fold import Fold
 from ..plans.running import numbered
+from ..plans.shared import staged
 from ..schemas import require
+from ..streaming.state import stream_fold
 
 #: More dictionary rows than this are joined by an exchange and not by a broadcast.
 MAX_BROADCAST_WORDS = 1_000_000
@@ -131,7 +133,8 @@ class SAXDictionary(Predictor):
         if self.table is not None:
             old = self.table.select("class", "word", "freq")
             counts = counts.unionByName(old.join(counts.select("class").distinct(), "class", "left_anti"))
-        return self.with_table(weighted(counts), **params)
+        # a model is a table of its own: predictions do not count the words again
+        return self.with_table(staged(weighted(staged(counts, "bags")), "dictionary"), **params)
 
     def with_table(self, table: DataFrame, **params: Any) -> SAXDictionary:
         out = self.with_params(**params)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..base import Transformer
 from ..plans.fold import Fold, fold
 from ..schemas import require
+from ..streaming.state import stream_fold
 
 
 def shrink(b: np.ndarray, ell: int, at: int) -> np.ndarray:
@@ -56,6 +57,9 @@ class FrequentDirections(Transformer):
     def _transform(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
         require(df, p["key"], p["order"], "data", operator="FrequentDirections")
         how = _Directions(p["ell"])
+        if df.isStreaming:  # each key's sketch after every micro-batch
+            rows = df.select(p["key"], F.col(p["order"]).alias("seq"), "data")
+            return stream_fold(rows, [p["key"]], ["seq"], how, with_state=True)
         own = fold(df.select(p["key"], p["order"], "data"), [p["key"]], [p["order"]], how)
         if not p["aggregate"]:
             return own

@@ -8,7 +8,6 @@ state in the state store.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from typing import Any
 
@@ -39,7 +38,7 @@ def key_types(df: DataFrame, keys: list[str]) -> str:
 
 def fold(df: DataFrame, keys: list[str], order: list[str], how: Fold) -> DataFrame:
     """The rows that `how` returns, with their keys. Rows of one key are seen in the order of `order`."""
-    names = [f.strip().split(" ")[0].strip("`") for f in _fields(how.schema)]
+    names = columns_of(how.schema)
 
     def tagged(out: pd.DataFrame | None, key: tuple) -> pd.DataFrame | None:
         if out is None or not len(out):
@@ -72,39 +71,14 @@ def fold(df: DataFrame, keys: list[str], order: list[str], how: Fold) -> DataFra
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{key_types(df, keys)}, {how.schema}")
 
 
-def _fields(schema: str) -> list[str]:
+def columns_of(schema: str) -> list[str]:
+    """Names of the columns of a schema string."""
     out, depth, now = [], 0, ""
-    for c in schema:
+    for c in schema + ",":
         depth += (c == "<") - (c == ">")
         if c == "," and not depth:
-            out.append(now)
+            out.append(now.split()[0].strip("`"))
             now = ""
         else:
             now += c
-    return [*out, now]
-
-
-def stream_fold(df: DataFrame, keys: list[str], order: list[str], how: Fold, *, with_state: bool = False) -> DataFrame:
-    """The same fold over a stream: state per key in the state store; rows are ordered within each micro-batch.
-
-    A row that comes in a later micro-batch than rows after it in `order` is folded when it comes.
-    with_state: also return finish() rows after each micro-batch.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    names = [f.strip().split(" ")[0].strip("`") for f in _fields(how.schema)]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = pickle.loads(state.get[0]) if state.exists else how.start()
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        now, out = how.block(now, rows)
-        parts = [out, how.finish(now) if with_state else None]
-        state.update((pickle.dumps(now),))
-        for x in parts:
-            if x is not None and len(x):
-                x = x[names].copy()
-                for n, k in enumerate(keys):
-                    x.insert(n, k, [key[n]] * len(x))
-                yield x
-
-    return df.groupBy(*keys).applyInPandasWithState(run, f"{key_types(df, keys)}, {how.schema}", "state binary", "append", GroupStateTimeout.NoTimeout)
+    return out
