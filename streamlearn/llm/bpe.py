@@ -5,7 +5,7 @@ value: the last token of the encoding of its prefix. A byte-level BPE encoding i
 neighbours are all compatible, so the last token of a prefix is the one token that ends there and is compatible with
 the last token of the prefix before it; prefixes shared by words are thereby encoded once. A word's tokens are read
 off by walking back from its last node. Sorted words with their common prefix lengths give the depth-first order,
-so only one path of the trie is held at a time. Encodings are kept per worker in a bounded memo.
+so only one path of the trie is held at a time. Encodings are kept per worker in a memo of two bounded generations.
 
 The work is linear in a word's length (a merge loop is not), and texts pass in blocks, so a very long text or word
 needs memory in proportion to itself only.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: Pre-tokenisation of byte-level BPE: contractions, letters, numbers, other marks, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words encoded together, and words kept in a worker's memo.
-BLOCK_WORDS, MEMO_WORDS = 100_000, 400_000
+#: Words encoded together, and words in each of the two generations of a worker's memo.
+BLOCK_WORDS, MEMO_WORDS = 200_000, 300_000
 
 
 def byte_names() -> dict[str, int]:
@@ -41,6 +42,7 @@ class Vocabulary:
     """Tokens as bytes, which pairs merge, and which tokens may stand side by side."""
 
     def __init__(self, spec: dict):
+        import ahocorasick
         import regex
 
         names = byte_names()
@@ -55,12 +57,11 @@ class Vocabulary:
         self.single = [ids.get(bytes([b]), -1) for b in range(256)]
         self.bytes |= {i: s.encode() for s, i in self.special.items()}
         self.ids = {b: i for b, i in ids.items() if len(b) == 1 or self.merge(b) == [i]}
-        ends: dict[bytes, set[int]] = {}
-        for b in self.ids:
-            ends.setdefault(b[-2:], {1}).add(len(b))
-        #: Lengths of the tokens that end in two bytes, longest first.
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
-        self.one = (1,)
+        #: Finds the tokens that end at each byte, longest first.
+        self.finder = ahocorasick.Automaton()
+        for b, i in self.ids.items():
+            self.finder.add_word(b.decode("latin-1"), (i, len(b)))
+        self.finder.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.words = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -86,7 +87,7 @@ class Vocabulary:
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Each distinct word in order, with its tokens. words: sorted and distinct."""
-        ids, lengths, one, known, fits = self.ids, self.lengths, self.one, self.pairs, self.side_by_side
+        find, known, fits = self.finder.iter, self.pairs, self.side_by_side
         path: list[int] = []  # last token of every prefix on the way from the root
         widths: list[int] = []
         before = b""
@@ -97,16 +98,17 @@ class Vocabulary:
                     break
                 shared += 1
             del path[shared:], widths[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                for n in lengths.get(word[max(0, end - 2) : end], one) if end > 1 else one:
-                    if n <= end and (token := ids.get(word[end - n : end])) is not None:
-                        if n == end:
-                            break
-                        last = path[end - n - 1]
-                        if known.get(last << 32 | token) or fits(last, token):
-                            break
+            done = shared  # prefixes that have their last token
+            for at, (token, n) in find(word.decode("latin-1")):
+                if at != done:  # shared, or already settled by a longer token
+                    continue
+                if n <= at:
+                    last = path[at - n]
+                    if not (known.get(last << 32 | token) or fits(last, token)):
+                        continue
                 path.append(token)
                 widths.append(n)
+                done += 1
             out, at = [], len(word)
             while at:
                 out.append(path[at - 1])
@@ -122,6 +124,7 @@ class Codec:
     def __init__(self, spec: dict):
         self.v = Vocabulary(spec)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before, from which words still in use come back
 
     def _blocks(self, text: str) -> Iterator[list[str] | int]:
         """Lists of at most BLOCK_WORDS words, and ids of special tokens."""
@@ -146,11 +149,16 @@ class Codec:
     def _learn(self, blocks: Iterable[list[str]]) -> None:
         new = {w for b in blocks for w in b if w not in self.memo}
         if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
+            self.older, self.memo = self.memo, {}
             new = {w for b in blocks for w in b}
-        by_bytes = {w.encode(): w for w in new}
+        memo, older, by_bytes = self.memo, self.older, {}
+        for w in new:
+            if (known := older.get(w)) is None:
+                by_bytes[w.encode()] = w
+            else:
+                memo[w] = known
         for raw, ids in self.v.encode_words(sorted(by_bytes)):
-            self.memo[by_bytes[raw]] = b"".join([i.to_bytes(4, "little") for i in ids])
+            memo[by_bytes[raw]] = array("I", ids).tobytes()
 
     def texts(self, texts: Iterable[str]) -> Iterator[Iterator[bytes]]:
         """For each text an iterator of its ids as little-endian 32-bit integers, in pieces. Short texts share a trie."""
