@@ -20,10 +20,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Numbered
+
 WINDOW, MIN_TOKENS, MIN_WORDS = 8, 5, 3
 #: Characters of benchmark text broadcast at once.
 BLOCK_CHARS = 20_000_000
@@ -40,46 +43,24 @@ class Templates:
         import re
 
         self.find = re.compile(r"[.!?:;\n]|\d+(?:[.,]\d+)*|[^\W\d_]+|\w+").findall
-        self.units = set(UNITS.split())
-        self.keep = keep
-        self._clear()
-
-    def _clear(self):
-        self.memo: dict[str, int] = {}
-        self.kinds: list[int] = []
-        self.hashes: list[int] = []
+        self.units = frozenset(UNITS.split())
+        self.tokens = Numbered(self._token, "bQ", keep)
 
-    def _learn(self, tokens: set[str]):
+    def _token(self, t: str) -> tuple[int, int]:
+        """Kind and hash of a token."""
         import xxhash
 
-        for t in tokens:
-            c = t[0]
-            if c in ".!?:;\n":
-                kind = _MARK
-            elif c.isdigit():
-                kind = _NUM
-            elif t.lower() in self.units:
-                kind = _UNIT
-            elif c.isupper():
-                kind = _CAPITAL
-            else:
-                kind = _WORD
-            self.memo[t] = len(self.kinds)
-            self.kinds.append(kind)
-            self.hashes.append(xxhash.xxh64_intdigest(t.lower().encode("utf-8", "surrogatepass")))
+        c, low = t[0], t.lower()
+        kind = _MARK if c in ".!?:;\n" else _NUM if c.isdigit() else _UNIT if low in self.units else _CAPITAL if c.isupper() else _WORD
+        return kind, xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
 
     def __call__(self, texts: list[str]):
         """kinds, templates, raws of all tokens without marks, and bounds: text n has tokens bounds[n]:bounds[n + 1]."""
         import numpy as np
 
         lists = [self.find(t) for t in texts]
-        if len(self.memo) > self.keep:
-            self._clear()
-        memo = self.memo
-        self._learn({t for x in lists for t in x if t not in memo})
         size = [len(x) for x in lists]
-        ids = np.fromiter((memo[t] for x in lists for t in x), "i8", sum(size))
-        kinds, raws = np.array(self.kinds, "i1")[ids], np.array(self.hashes, "u8")[ids]
+        kinds, raws = self.tokens.values_of(chain.from_iterable(lists), sum(size))
         starts = np.concatenate([[0], np.cumsum(size)]).astype("i8")
         before = np.concatenate([[_MARK], kinds[:-1]]) if len(kinds) else kinds
         before[starts[:-1][starts[:-1] < len(kinds)]] = _MARK
