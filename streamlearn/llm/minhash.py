@@ -31,7 +31,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SECOND_SEED, staged
+from .common import SECOND_SEED, Numbered, staged
 
 SHINGLE_WORDS = 5
 #: bands x rows registers: at a similarity of 0.8 a pair shares no band with probability 5e-8.
@@ -55,23 +55,10 @@ class Shingler:
     def __init__(self):
         import re
 
-        self.words = re.compile(r"\w+").findall
-        self.memo: dict[str, int] = {}
-
-    def _word_hashes(self, words: list[str]):
-        import numpy as np
         import xxhash
 
-        memo = self.memo
-        if len(memo) > _WORDS_KEPT:
-            memo.clear()
-        try:
-            return np.array([memo[w] for w in words], "u8")
-        except KeyError:
-            for w in set(words):
-                if w not in memo:
-                    memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-            return np.array([memo[w] for w in words], "u8")
+        self.words = re.compile(r"\w+").findall
+        self.hashes = Numbered(lambda w: (xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")),), "Q", _WORDS_KEPT)
 
     def __call__(self, text: str):
         """Distinct shingle hashes in order, and their counts."""
@@ -80,7 +67,7 @@ class Shingler:
         words = self.words(text.lower())
         if not words:
             return np.empty(0, "u8"), np.empty(0, "f8")
-        h = self._word_hashes(words)
+        (h,) = self.hashes.values_of(words, len(words))
         n = max(1, len(h) - SHINGLE_WORDS + 1)
         out = np.zeros(n, "u8")
         for i in range(min(SHINGLE_WORDS, len(h))):
