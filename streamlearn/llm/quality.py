@@ -115,7 +115,7 @@ def fit_cutoffs(feats: DataFrame, labels: DataFrame, *, good: str = "quality", l
     clean = labels.select(F.col(label_id).alias("__id"), F.col(good).cast("int").alias("__good")).where("__id is not null and __good is not null")
     clean = clean.groupBy("__id").agg(F.min("__good").alias("__good"), F.count_distinct("__good").alias("__kinds")).where("__kinds = 1").drop("__kinds")
     rows = feats.where(~base_failed()).join(clean, feats["doc_id"] == clean["__id"])
-    rows = rows.select("stratum", "__good", (F.crc32(F.concat(F.lit("holdout:"), F.col("doc_id").cast("string"))) % 2 == 0).alias("holdout"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _ratio(r).alias("value")) for r in RULES])).alias("x"))
+    rows = rows.select("stratum", "__good", (F.substring(F.md5(F.concat(F.lit("holdout:"), F.col("doc_id").cast("string"))), 1, 1) < "8").alias("holdout"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _ratio(r).alias("value")) for r in RULES])).alias("x"))
     rows = rows.select("stratum", "__good", "holdout", "x.rule", "x.value")
     # the sums by distinct value are small: whatever follows reads these, not documents
     rows = rows.groupBy("stratum", "rule", "holdout", "__good", "value").agg(F.count(F.lit(1)).alias("n"))

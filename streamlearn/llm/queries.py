@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, linededup, minhash, pii, quality, secrets, sharding
+from . import bpe, chat, decontam, langid, linededup, minhash, oracles, pii, quality, secrets, sharding
 from .common import read, staged
 
 
@@ -56,7 +56,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(read(spark, sf_dir, "documents"), min_chars=1, min_docs=10)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(linededup.kept_text(F.col("text"), F.col("keep_runs")), 256).alias("kept_sha256"), "keep_runs")
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(linededup.kept_text(F.col("text"), F.col("keep_runs")), 256).alias("kept_sha256"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash_dedup, op2_pii, op3_sharding, op4_quality_rules, op5_bpe, op6_decontamination, op7_language, op8_chat, op9_line_dedup, op10_secrets)}
 
 
-SQL: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(oracles.SQL)
