@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..base import Predictor, Transformer
-from ..plans.shared import staged
+from ..plans.running import last_seen
 from .online import Lasso, Prequential
 
 
@@ -32,11 +32,10 @@ def flatness_map(rows: DataFrame, labels: DataFrame, *, coil: str = "coil_id", p
     at = at.select("__c", "__p", F.array("one", F.lag("one").over(near)).alias("back"), F.array("one", F.lead("one").over(near)).alias("ahead"), F.lit(0).alias("__kind"), F.lit(None).cast(rows.schema[row_id].dataType).alias("__id"))
     own = rows.select(F.col(coil).alias("__c"), F.col(pos).alias("__p"), F.col(row_id).alias("__id"), F.lit(1).alias("__kind"))
     both = at.unionByName(own, allowMissingColumns=True)
-    # two passes with running frames, one in each direction: a frame up to the end would be quadratic
-    seen = lambda *by: Window.partitionBy("__c").orderBy(*by, "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    back = F.last("back", ignorenulls=True).over(seen("__p"))
-    ahead = F.last("ahead", ignorenulls=True).over(seen(F.desc("__p")))
-    found = both.withColumns({"b": back, "a": ahead}).where("__kind = 1 and __p is not null")
+    # one pass in each direction; a frame up to the end would be quadratic, and a coil may span many tasks
+    both = both.select("__c", "__p", "__kind", "__id", F.col("back").alias("b"), F.col("ahead").alias("a"))
+    both = last_seen(both, ["__c"], ["__p", "__kind"], ["b"])
+    found = last_seen(both, ["__c"], [F.desc("__p"), "__kind"], ["a"]).where("__kind = 1 and __p is not null")
     empty = F.array().cast("array<struct<p:double,l:array<struct<label_no:bigint,value:double>>>>")
     places = F.filter(F.concat(F.coalesce(F.col("b"), empty), F.coalesce(F.col("a"), empty)), lambda x: x.isNotNull())
     every = F.flatten(F.transform(places, lambda x: F.transform(x["l"], lambda y: F.struct(F.abs(x["p"] - F.col("__p")).alias("d"), y["label_no"].alias("no"), x["p"].alias("p"), y["value"].alias("v")))))
@@ -53,24 +52,13 @@ def flatness_map(rows: DataFrame, labels: DataFrame, *, coil: str = "coil_id", p
 def impute(rows: DataFrame, features: list[str], *, order: str = "seq", by: list[str] | None = None, default: dict[str, float] | None = None) -> DataFrame:
     """Missing features (NaN or null) become the last value seen by `order`, else their default (0).
 
-    Without `by` the memory is one for all rows: rows are dealt by range, each task fills its stretch, and the last
-    values of the stretches before it (a row for each task) fill what is still open at its beginning.
+    Without `by` the memory is one for all rows.
     """
     default = default or {}
     seen = {f: F.when(F.isnan(F.col(f)) | F.col(f).isNull(), None).otherwise(F.col(f)) for f in features}
     filled = lambda f: F.coalesce(F.col(f), F.lit(float(default.get(f, 0.0))))
-    if by:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumns({f: F.last(c, ignorenulls=True).over(w) for f, c in seen.items()}).withColumns({f: filled(f) for f in features})
-    placed = staged(rows.withColumns(seen).repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()), "impute")
-    placed = placed.withColumn("__part", F.call_function("shiftright", "__at", F.lit(33)))
-    own = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.withColumns({f: F.last(f, ignorenulls=True).over(own) for f in features})
-    last = placed.groupBy("__part").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("__at"))).alias(f"__l_{f}") for f in features])
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
-    before = last.withColumns({f"__l_{f}": F.last(f"__l_{f}", ignorenulls=True).over(earlier) for f in features}).withColumnRenamed("__part", "__p")
-    out = local.join(F.broadcast(before), F.col("__part") == F.col("__p"), "left")
-    return out.withColumns({f: F.coalesce(F.col(f), F.col(f"__l_{f}"), F.lit(float(default.get(f, 0.0)))) for f in features}).select(rows.columns)
+    out = last_seen(rows.withColumns(seen), list(by or []), [order], features)
+    return out.withColumns({f: filled(f) for f in features})
 
 
 class LassoDelayed(Transformer):

@@ -17,6 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The files lie under the application's id and go when the driver's file systems close.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
+    return spark.read.schema(df.schema).parquet(path)
