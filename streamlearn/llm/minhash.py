@@ -3,15 +3,16 @@
 Method: a document's five-word shingles, weighted by how often they occur, arrive as Poisson processes with the
 weights as rates. Each arrival falls into a random one of the signature's registers, which keeps its earliest one; a
 shingle is done when its next arrival is later than all registers (early termination). Two signatures agree in a
-register with the probability Jaccard similarity J_P of the weighted shingle sets, which is the Jaccard similarity
-where no shingle repeats. Bands of registers give buckets of candidates; candidates are verified with the exact J_P.
+register with the probability Jaccard similarity J_P of the weighted shingle sets, which is the Jaccard similarity J
+where no shingle repeats. Bands of registers give buckets of candidates; a candidate is verified exactly and linked
+if J_P or J, which only differ where shingles repeat, reaches the threshold.
 
 No bucket emits all its pairs and none is capped. In every bucket the most central member leads (the one that meets
 most others over all its buckets, so a family of copies has the same leader everywhere) and first only pairs with a
 leader are verified; their links give components. Members of a leader that are still in several components are then
-compared with each other without leaving their task: 1 - J_P is a metric, so only members whose distances to the
-leader differ by at most 1 - threshold can be similar, and of those only pairs whose signatures, first short and then long
-ones, agree in so many registers that a similar pair is missed with a probability under 1e-6, are verified exactly.
+compared with each other without leaving their task: 1 - J_P and 1 - J are metrics, so only members whose distances
+to the leader differ by at most 1 - threshold can be similar, and of those only pairs whose signatures, first short
+and then long ones, agree in so many registers that a similar pair is missed with a probability under 1e-6, are verified exactly.
 A task joins what it links at once and skips pairs already joined, so it returns fewer links than it has members.
 Large groups are compared in blocks by many tasks. Classes are the connected components of all links, found with alternating large-star and
 small-star steps on distributed tables.
@@ -31,7 +32,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SECOND_SEED, Numbered, staged
+from .common import SECOND_SEED, WS_CLASS, Numbered, staged
 
 SHINGLE_WORDS = 5
 #: bands x rows registers: at a similarity of 0.8 a pair shares no band with probability 5e-8.
@@ -50,21 +51,28 @@ _WORDS_KEPT = 500_000
 
 
 class Shingler:
-    """Hashed five-word shingles of texts; words are runs of letters, digits and underscores in lower case."""
+    """Hashed five-word shingles of texts. Words are separated by white space and compared in lower case and without
+    the marks at their ends (a word of marks only is kept), so words that are equal stay equal."""
 
     def __init__(self):
         import re
 
         import xxhash
 
-        self.words = re.compile(r"\w+").findall
-        self.hashes = Numbered(lambda w: (xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")),), "Q", _WORDS_KEPT)
+        self.words = re.compile(rf"[^{WS_CLASS}]+").findall
+        ends = re.compile(r"^\W+|\W+$")
+
+        def number(word: str) -> tuple[int]:
+            low = word.lower()
+            return (xxhash.xxh64_intdigest((ends.sub("", low) or low).encode("utf-8", "surrogatepass")),)
+
+        self.hashes = Numbered(number, "Q", _WORDS_KEPT)
 
     def __call__(self, text: str):
         """Distinct shingle hashes in order, and their counts."""
         import numpy as np
 
-        words = self.words(text.lower())
+        words = self.words(text)
         if not words:
             return np.empty(0, "u8"), np.empty(0, "f8")
         (h,) = self.hashes.values_of(words, len(words))
@@ -137,6 +145,14 @@ def similarity(a, wa, b, wb) -> float:
     return float((1.0 / ((tail_x[first] + only_a) / x + (head_y[first] + only_b) / y)).sum())
 
 
+def jaccard(a, b) -> float:
+    """Jaccard similarity of two sets given by distinct hashes."""
+    import numpy as np
+
+    n = len(np.intersect1d(a, b, assume_unique=True))
+    return n / (len(a) + len(b) - n) if n else 0.0
+
+
 def _text_node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
@@ -194,7 +210,7 @@ def _shingled(texts: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """lead, node and their distance 1 - J_P. A leader's set goes once to each task that verifies its pairs."""
+    """lead, node and their distances d_p = 1 - J_P and d_j = 1 - J. A leader's set goes once to each task that verifies its pairs."""
     many = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
     salted = pairs.join(many, "lead").select("lead", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PAIRS_A_TASK)).alias("salt"))
     salted = staged(salted, "minhash-pairs")
@@ -215,10 +231,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if kind[i] == 0:
                     own = h.copy(), w
                 else:
-                    out.append((lead[i], node[i], 1.0 - similarity(*own, h, w)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.float64())], ["lead", "node", "distance"])
+                    out.append((lead[i], node[i], 1.0 - similarity(*own, h, w), 1.0 - jaccard(own[0], h)))
+            types = (pa.binary(), pa.binary(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(types)], ["lead", "node", "d_p", "d_j"])
 
-    return both.mapInArrow(run, "lead binary, node binary, distance double")
+    return both.mapInArrow(run, "lead binary, node binary, d_p double, d_j double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,7 +265,7 @@ def _least_agreement(threshold: float, registers: int) -> float:
 
 
 def _links_within(groups: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that join the components of members of one leader. groups: lead, n, node, distance, comp, sig, hashes, weights.
+    """Links (a, b) that join the components of members of one leader. groups: lead, n, node, d_p, d_j, comp, sig, hashes, weights.
 
     n: shingles of all members of the leader.
     """
@@ -257,13 +274,13 @@ def _links_within(groups: DataFrame, threshold: float) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a task for every pair of blocks; a group of one block is one task
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "distance", "comp", "sig", "hashes", "weights")
-    rows = rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "block", "distance")
+    rows = rows.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "d_p", "d_j", "comp", "sig", "hashes", "weights")
+    rows = rows.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "block")
 
     def compare(block: list[tuple], same: bool) -> Iterator[tuple]:
         import numpy as np
 
-        number = {c: k for k, c in enumerate({r[3] for r in block})}
+        number = {c: k for k, c in enumerate({r[4] for r in block})}
         top = list(range(len(number)))
 
         def find(x: int) -> int:
@@ -273,24 +290,23 @@ def _links_within(groups: DataFrame, threshold: float) -> DataFrame:
             return x
 
         cut = len(block) if same else next((k for k, r in enumerate(block) if r[0] != block[0][0]), len(block))
-        comp = np.array([number[r[3]] for r in block])
-        distance = np.array([r[2] for r in block])
-        short = np.frombuffer(b"".join(r[4] for r in block), "<u2").reshape(len(block), -1)
-        sets = [(r[5].view("u8"), r[6].astype("f8")) for r in block]
-        long = np.concatenate([signatures(sets[k : k + 512], LONG) for k in range(0, len(sets), 512)])
+        comp = np.array([number[r[4]] for r in block])
+        d_p, d_j = (np.array([r[c] for r in block]) for c in (2, 3))
+        short = np.frombuffer(b"".join(r[5] for r in block), "<u2").reshape(len(block), -1)
+        sets = [(r[6].view("u8"), r[7].astype("f8")) for r in block]
+        plain = [(h, np.ones(len(h))) for h, _ in sets]
+        long = [np.concatenate([signatures(x[k : k + 512], LONG) for k in range(0, len(x), 512)]) for x in (sets, plain)]
         few, many = _least_agreement(threshold, short.shape[1]), _least_agreement(threshold, LONG)
-        begin, end = (0, len(block)) if same else (cut, len(block))
-        others = distance[begin:end]
+        begin = 0 if same else cut
         for k in range(cut):
-            low = begin + int(np.searchsorted(others, distance[k] - limit - EPS, "left"))
-            high = begin + int(np.searchsorted(others, distance[k] + limit + EPS, "right"))
-            at = np.arange(max(low, k + 1) if same else low, high)
-            at = at[comp[at] != comp[k]]
+            start = max(begin, k + 1) if same else begin
+            near = (np.abs(d_p[start:] - d_p[k]) <= limit + EPS) | (np.abs(d_j[start:] - d_j[k]) <= limit + EPS)
+            at = start + np.flatnonzero(near & (comp[start:] != comp[k]))
             at = at[(short[at] == short[k]).mean(axis=1) >= few] if len(at) else at
-            at = at[(long[at] == long[k]).mean(axis=1) >= many] if len(at) else at
+            at = at[np.any([(x[at] == x[k]).mean(axis=1) >= many for x in long], axis=0)] if len(at) else at
             for m in at.tolist():
                 a, b = find(comp[k]), find(comp[m])
-                if a != b and 1.0 - similarity(*sets[k], *sets[m]) <= limit + EPS:
+                if a != b and max(similarity(*sets[k], *sets[m]), jaccard(sets[k][0], sets[m][0])) >= threshold - EPS:
                     top[max(a, b)] = min(a, b)
                     yield block[k][1], block[m][1]
 
@@ -300,17 +316,17 @@ def _links_within(groups: DataFrame, threshold: float) -> DataFrame:
         key, block = None, []
 
         def flush():
-            out = list(compare(block, key[1] == key[2])) if len({r[3] for r in block}) > 1 and (key[1] == key[2] or block[0][0] != block[-1][0]) else []
+            out = list(compare(block, key[1] == key[2])) if len({r[4] for r in block}) > 1 and (key[1] == key[2] or block[0][0] != block[-1][0]) else []
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(8)]
+            columns = [batch.column(c).to_pylist() for c in range(9)]
             for n, (lead, i, j, *row) in enumerate(zip(*columns)):
                 if (lead, i, j) != key:
                     if key:
                         yield flush()
                     key, block = (lead, i, j), []
-                own = (batch.column(c)[n].values.to_numpy(zero_copy_only=False).copy() for c in (8, 9))
+                own = (batch.column(c)[n].values.to_numpy(zero_copy_only=False).copy() for c in (9, 10))
                 block.append((*row, *own))
         if key:
             yield flush()
@@ -350,7 +366,7 @@ def _maybe_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _linked(found: DataFrame, limit: float) -> DataFrame:
-    return found.where(F.col("distance") <= limit + EPS).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return found.where(F.least("d_p", "d_j") <= limit + EPS).select(F.col("lead").alias("a"), F.col("node").alias("b"))
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -377,7 +393,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     links = _linked(found, limit)
     comp = components(links)
     # members of one leader in several components: the only places where a link can be missing
-    at_lead = found.union(found.select("lead", F.col("lead").alias("node"), F.lit(0.0).alias("distance")).distinct())
+    at_lead = found.union(found.select("lead", F.col("lead").alias("node"), F.lit(0.0).alias("d_p"), F.lit(0.0).alias("d_j")).distinct())
     at_lead = at_lead.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     at_lead = at_lead.join(sets.select("node", F.size("hashes").alias("size")), "node")
     split = at_lead.groupBy("lead").agg(F.sum("size").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("lead", "n")

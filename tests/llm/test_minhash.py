@@ -33,7 +33,7 @@ def brute_classes(rows, threshold=0.8):
     for n, (_, t) in enumerate(rows):
         top[find(n)] = find(texts.setdefault(t or "", n))
     for a, b in pairs:
-        if find(a) != find(b) and M.similarity(*sets[a], *sets[b]) >= threshold - 1e-9:
+        if find(a) != find(b) and max(M.similarity(*sets[a], *sets[b]), M.jaccard(sets[a][0], sets[b][0])) >= threshold - 1e-9:
             top[find(a)] = find(b)
     groups = defaultdict(list)
     for n in range(len(rows)):
@@ -100,6 +100,22 @@ def test_chains_and_mixed_buckets(spark):
     same(M.classes(docs, bands=64, rows=1).collect(), rows)
 
 
+def test_shingles_keep_equal_words_equal():
+    s = M.Shingler()
+    same_as = lambda a, b: list(s(a)[0]) == list(s(b)[0])
+    assert same_as("One, two THREE four five.", "one two\tthree (four) five") and not same_as("a b c d e", "a b c d f")
+    assert len(s("a b")[0]) == 1 and len(s("")[0]) == 0 and len(s("... !!! a b c")[0]) == 1
+
+
+def test_repeats_link_by_either_similarity(spark):
+    line = " ".join(f"r{i}" for i in range(8)) + " "
+    rest = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, line * 9 + rest), (1, line * 2 + rest), (2, " ".join(f"z{i}" for i in range(60)))]
+    sets = [M.Shingler()(t) for _, t in rows]
+    assert M.similarity(*sets[0], *sets[1]) < 0.8 <= M.jaccard(sets[0][0], sets[1][0])
+    same(M.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), rows)
+
+
 def test_components(spark):
     edges = [(bytes([a]), bytes([a + 1])) for a in range(1, 60) if a % 20] + [(b"\xf0", bytes([b])) for b in range(100, 140)]
     got = {bytes(r.node): bytes(r.comp) for r in M.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
