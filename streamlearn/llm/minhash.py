@@ -193,30 +193,15 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", _text_node(F.col("text")).alias("node"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, node binary, buckets array<bigint>, sig binary")
 
 
-def _shingled(texts: DataFrame) -> DataFrame:
-    """node, hashes, weights. texts: node, text."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        shingle = Shingler()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sets = [shingle(t.as_py()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.view("i8") for h, _ in sets], pa.list_(pa.int64())), pa.array([w.astype("i4") for _, w in sets], pa.list_(pa.int32()))], ["node", "hashes", "weights"])
-
-    return texts.mapInArrow(run, "node binary, hashes array<bigint>, weights array<int>")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """lead, node and their distances d_p = 1 - J_P and d_j = 1 - J. A leader's set goes once to each task that verifies its pairs."""
     many = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
     salted = pairs.join(many, "lead").select("lead", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PAIRS_A_TASK)).alias("salt"))
     salted = staged(salted, "minhash-pairs")
-    members = salted.join(sets, "node").select("lead", "salt", F.lit(1).alias("kind"), "node", "hashes", "weights")
-    leaders = salted.select("lead", "salt").distinct().join(sets.withColumnRenamed("node", "lead"), "lead").select("lead", "salt", F.lit(0).alias("kind"), F.col("lead").alias("node"), "hashes", "weights")
-    both = members.unionByName(leaders).repartition("lead", "salt").sortWithinPartitions("lead", "salt", "kind")
+    members = salted.select("node", "lead", "salt", F.lit(1).alias("kind"))
+    leaders = salted.select(F.col("lead").alias("node"), "lead", "salt", F.lit(0).alias("kind")).distinct()
+    both = members.unionByName(leaders).join(sets, "node").select("lead", "salt", "kind", "node", "hashes", "weights")
+    both = both.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "kind")
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -338,10 +323,11 @@ def _filter_bits(node: Column) -> Column:
     return F.array(F.pmod(F.xxhash64(node), F.lit(FILTER_BITS)), F.pmod(F.xxhash64(F.lit(SECOND_SEED), node), F.lit(FILTER_BITS)))
 
 
-def _maybe_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id, node, text) without most of those that wanted (node) lacks: a Bloom filter of fixed size.
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, hashes, weights of the wanted nodes. docs: node, text; wanted: node.
 
-    It spares the exchange the texts that the exact join after it would drop; when it is full it lets all pass.
+    A Bloom filter of fixed size keeps most other texts from being shingled, and each task shingles equal texts once;
+    an exact semi-join follows. A full filter lets all pass and costs time, not results.
     """
     import numpy as np
 
@@ -355,14 +341,23 @@ def _maybe_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        seen = shared.value.view("u8")
+        seen, shingle, bits = set(), Shingler(), shared.value.view("u8")
         for batch in batches:
-            pos = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
-            hit = (seen[pos >> 6] >> (pos & 63).astype("u8")) & np.uint64(1)
-            keep = pa.array(hit.all(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(3)], ["doc_id", "node", "text"]).filter(keep)
-
-    return docs.select("doc_id", "node", F.coalesce("text", F.lit("")).alias("text"), _filter_bits(F.col("node")).alias("pos")).mapInArrow(run, "doc_id bigint, node binary, text string")
+            pos = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+            hit = ((bits[pos >> 6] >> (pos & 63).astype("u8")) & np.uint64(1)).all(axis=1)
+            rows = np.flatnonzero(hit)
+            for start in range(0, len(rows), 256):
+                nodes, sets = [], []
+                for k in rows[start : start + 256].tolist():
+                    node = batch.column(0)[k].as_py()
+                    if node not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        sets.append(shingle(batch.column(1)[k].as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([h.view("i8") for h, _ in sets], pa.list_(pa.int64())), pa.array([w.astype("i4") for _, w in sets], pa.list_(pa.int32()))], ["node", "hashes", "weights"])
+
+    found = docs.select("node", F.coalesce("text", F.lit("")).alias("text"), _filter_bits(F.col("node")).alias("pos")).mapInArrow(run, "node binary, hashes array<bigint>, weights array<int>")
+    return found.dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi")
 
 
 def _linked(found: DataFrame, limit: float) -> DataFrame:
@@ -383,11 +378,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     leads = members.select("bucket", "node").join(ranked, "node").groupBy("bucket").agg(best)
     pairs = members.select("bucket", "node").join(leads, "bucket").where("node != lead").select("lead", "node").distinct()
 
-    of_node = signed.join(ranked.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("w_id"), F.first("sig").alias("sig"))
-    wanted = staged(of_node.withColumnRenamed("node", "w_node"), "minhash-wanted")
-    own = _maybe_wanted(docs.select("doc_id", "text", _text_node(F.col("text")).alias("node")), ranked.select("node"))
-    texts = own.join(wanted.select("w_node", "w_id"), (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
-    sets = staged(_shingled(texts).dropDuplicates(["node"]), "minhash-sets")
+    sigs = staged(signed.join(ranked.select("node"), "node").groupBy("node").agg(F.first("sig").alias("sig")), "minhash-signatures")
+    sets = staged(_sets_of(docs.select(_text_node(F.col("text")).alias("node"), "text"), ranked), "minhash-sets")
 
     found = staged(_verified(pairs, sets), "minhash-distances")
     links = _linked(found, limit)
@@ -398,7 +390,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     at_lead = at_lead.join(sets.select("node", F.size("hashes").alias("size")), "node")
     split = at_lead.groupBy("lead").agg(F.sum("size").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("lead", "n")
     open_ = staged(at_lead.join(split, "lead").drop("size"), "minhash-open")
-    full = open_.join(wanted.select(F.col("w_node").alias("node"), "sig"), "node").join(sets, "node")
+    full = open_.join(sigs, "node").join(sets, "node")
     links2 = staged(_links_within(full, threshold), "minhash-links")
     # links between components join those
     of = lambda end: comp.select(F.col("node").alias(end), F.col("comp").alias(f"c_{end}"))
