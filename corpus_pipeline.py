@@ -23,11 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines whose key stands in ten documents or more go from every text; n_chars follows."""
-    found = linededup.line_dedup(docs, min_chars=1, min_docs=10)
-    text = F.when(F.col("text").isNotNull(), linededup.kept_text(F.col("text"), F.col("keep_runs"))).alias("text")
+    found = linededup.line_dedup(docs, min_chars=1, min_docs=10, names=("__lines", "__dropped_lines", "__keep"))
+    text = F.when(F.col("text").isNotNull(), linededup.kept_text(F.col("text"), F.col("__keep"))).alias("text")
     new = found.withColumn("text", text)
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        new = new.withColumn("n_chars", F.when(F.col("__dropped_lines") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return new.select(docs.columns)
 
 

@@ -127,8 +127,8 @@ class Labeller:
             if len(self.memo) + len(unseen) > self.keep:
                 unseen = {w for ws in lists for w in ws}
             self._learn(unseen)
-        for words in lists:
-            if not words:
+        for text, words in zip(texts, lists):
+            if not words or not any(map(str.isalpha, text)):  # signs such as fractions are no letters
                 yield None, 0.0, None, words
                 continue
             s = self.scores[np.array([self.memo[w] for w in words])]

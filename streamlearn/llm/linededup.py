@@ -72,8 +72,11 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return drops.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with n_lines, n_dropped and keep_runs, the compressed keep bitmap, in place of nothing: text is untouched."""
+def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", names: tuple[str, str, str] = ("n_lines", "n_dropped", "keep_runs"), **how) -> DataFrame:
+    """docs with its number of lines, of dropped lines, and the compressed keep bitmap; text is untouched.
+
+    A column of docs that has one of `names` is replaced; other names can be given.
+    """
     t = _text(text)
     drops = keep_bitmaps(docs, doc_id=doc_id, text=text, **how).withColumnsRenamed({"doc_id": "__drop_id", "text_hash": "__drop_hash", "dropped": "__dropped"})
     own = docs.withColumn("__text_hash", F.xxhash64(t))
@@ -81,7 +84,8 @@ def line_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", *
     n_lines = F.size(F.split(t, "\n", -1))
     dropped = F.coalesce(F.col("__dropped"), F.array().cast("array<int>"))
     joined = own.join(drops, on, "left")
-    return joined.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.size(dropped).cast("long"), "keep_runs": _runs(dropped, n_lines)}).drop("__drop_id", "__drop_hash", "__dropped", "__text_hash")
+    values = (n_lines.cast("long"), F.size(dropped).cast("long"), _runs(dropped, n_lines))
+    return joined.withColumns(dict(zip(names, values))).drop("__drop_id", "__drop_hash", "__dropped", "__text_hash")
 
 
 def kept_text(text: Column, keep_runs: Column) -> Column:

@@ -35,12 +35,12 @@ def test_mixed_text(spark):
     ru = "кот сидел на ковре и собака бежала к дому где был человек "
     rows = [(i, t * 6, g) for i in range(0, 60, 3) for i, t, g in ((i, en, "en"), (i + 1, fr, "fr"), (i + 2, ru, "ru"))]
     mixed = en * 2 + fr * 3 + ru
-    rows += [(1000, mixed, None), (1001, None, "en"), (1002, "12 34 !", "fr"), (None, en, "fr"), (1003, "ж", None)]
+    rows += [(1000, mixed, None), (1001, None, "en"), (1002, "12 34 !", "fr"), (None, en, "fr"), (1003, "ж", None), (1004, "½ ² Ⅷ", None)]
     out = {r.doc_id: r for r in L.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
     spans = [x.split(":") for x in out[1000].spans.split(",")]
     assert [x[0] for x in spans] == ["en", "fr", "ru"] and out[1000].lang_pred == "fr"
     assert mixed[int(spans[2][1]) :].startswith("кот") and abs(int(spans[0][2]) - 2 * len(en)) < 12
-    assert out[1001].lang_pred == out[1002].lang_pred == "und" and out[1003].lang_pred == "ru" and out[None].lang_pred == "en"
+    assert out[1001].lang_pred == out[1002].lang_pred == out[1004].lang_pred == "und" and out[1003].lang_pred == "ru" and out[None].lang_pred == "en"
     assert all(0 <= r.score <= 1 for r in out.values())
 
 

@@ -51,6 +51,12 @@ def test_line_dedup_odd(odd_docs, min_docs):
     assert set(odd_docs.columns) < set(out.columns)
 
 
+def test_line_dedup_beside_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "a\nb", 7, "x"), (2, "b", 8, "y")], "doc_id bigint, text string, n_lines int, dropped string")
+    out = linededup.line_dedup(docs, min_docs=2, names=("lines_", "gone_", "runs_")).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.dropped, r.lines_, r.gone_, r.runs_) for r in out] == [(7, "x", 2, 1, [1, 1, 0]), (8, "y", 1, 1, [0, 1, 0])]
+
+
 def test_line_dedup_keeps_first(spark):
     docs = spark.createDataFrame([(1, "a\nb\na"), (2, "b\nc"), (3, "A \nd")], "doc_id bigint, text string")
     out = {r.doc_id: r.kept for r in linededup.line_dedup(docs, min_docs=1, keep_first=True).withColumn("kept", linededup.kept_text(F.col("text"), F.col("keep_runs"))).collect()}
