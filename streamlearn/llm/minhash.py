@@ -47,7 +47,7 @@ LONG, DEVIATIONS = 512, 5.0
 FILTER_BITS = 1 << 26
 #: Distances this close to the limit count as within it (rounding).
 EPS = 1e-9
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 200_000
 
 
 class Shingler:
