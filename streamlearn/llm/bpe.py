@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 #: Pre-tokenisation of byte-level BPE: contractions, letters, numbers, other marks, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words encoded together, and words in each of the two generations of a worker's memo.
-BLOCK_WORDS, MEMO_WORDS = 200_000, 300_000
+BLOCK_WORDS, MEMO_WORDS = 100_000, 150_000
+#: Pairs of tokens whose compatibility a worker remembers.
+MEMO_PAIRS = 300_000
 
 
 def byte_names() -> dict[str, int]:
@@ -80,7 +82,7 @@ class Vocabulary:
     def side_by_side(self, a: int, b: int) -> bool:
         key = a << 32 | b
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > MEMO_PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
         return known

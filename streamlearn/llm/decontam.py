@@ -39,7 +39,7 @@ SCHEMA = "doc_id bigint, text_hash bigint, item_id bigint, kind string, matched
 class Templates:
     """Template tokens of texts as arrays: hash of the template, hash of the raw value, start of each text."""
 
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 200_000):
         import re
 
         self.find = re.compile(r"[.!?:;\n]|\d+(?:[.,]\d+)*|[^\W\d_]+|\w+").findall
@@ -189,7 +189,7 @@ def _matches(own: DataFrame, block, min_cover: float, min_run: int) -> DataFrame
                 rows.append((i.as_py(), h.as_py()))
                 texts.append(t.as_py())
                 n += len(texts[-1])
-                if n > 1_000_000:
+                if n > 500_000:
                     yield flush(rows, texts)
                     rows, texts, n = [], [], 0
             if rows:

@@ -40,7 +40,7 @@ BANDS, ROWS = 32, 4
 #: Pairs of one leader verified by one task.
 PAIRS_A_TASK = 512
 #: Shingles of the members of one leader compared by one task with as many others.
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 250_000
 #: Registers of the long signatures, and standard deviations below the threshold that still pass.
 LONG, DEVIATIONS = 512, 5.0
 #: Bits of the fixed-size filter of wanted texts (8 MB).
@@ -184,7 +184,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 nodes.append(node.as_py())
                 sets.append(s)
                 n += len(s[0])
-                if n > 200_000:
+                if n > 100_000:
                     yield emit(ids, nodes, sets)
                     ids, nodes, sets, n = [], [], [], 0
             if ids:
@@ -280,7 +280,7 @@ def _links_within(groups: DataFrame, threshold: float) -> DataFrame:
         short = np.frombuffer(b"".join(r[5] for r in block), "<u2").reshape(len(block), -1)
         sets = [(r[6].view("u8"), r[7].astype("f8")) for r in block]
         plain = [(h, np.ones(len(h))) for h, _ in sets]
-        long = [np.concatenate([signatures(x[k : k + 512], LONG) for k in range(0, len(x), 512)]) for x in (sets, plain)]
+        long = [np.concatenate([signatures(x[k : k + 256], LONG).astype("u4") for k in range(0, len(x), 256)]) for x in (sets, plain)]
         few, many = _least_agreement(threshold, short.shape[1]), _least_agreement(threshold, LONG)
         begin = 0 if same else cut
         for k in range(cut):
