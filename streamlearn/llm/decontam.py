@@ -1,19 +1,20 @@
 """Benchmark decontamination by template windows with slot consistency.
 
 Method: texts and benchmark items are canonicalised: numbers, names (capitalised words inside a sentence) and units
-become typed placeholders, other words lose their case. Windows of eight template tokens are hashed and joined with
-the hash table of the benchmark's windows. Windows on one diagonal (same offset between document and item) form a
+become typed placeholders, other words lose their case. Windows of eight tokens are hashed twice, as templates and as
+they are, and joined with the hash tables of the benchmark's windows. Windows on one diagonal (same offset between document and item) form a
 match; its slots pair the item's values with the document's, and the pairing must be one-to-one within the match,
 else the match is dropped. A document is contaminated by an item if consistent matches cover `min_cover` of its
-windows or hold a run of `min_run` tokens. So a question with other numbers and names is found as well.
+windows, or of those that may match as templates and then of its tokens too, or hold a run of `min_run` tokens. So a
+question with other numbers and names is found as well, and a verbatim copy of any item always is.
 
 The benchmark is hash-partitioned into blocks of about BLOCK_CHARS characters; one block at a time is collected and
 broadcast, so what is broadcast has a fixed bound whatever the benchmark's size. Documents never leave their task
 and there is no shuffle; one passage that a third of the documents share is only found more often.
 
 Defined results: null texts have no tokens; items of fewer than MIN_TOKENS tokens match nothing; items shorter than a
-window have one window of their own length. Windows with fewer than three literal words match nothing. Equal items
-are all reported; repeated rows are reported row by row. Empty tables give empty results; other columns are ignored.
+window have one window of their own length. Windows with fewer than three literal words match only word for word.
+Equal items are all reported; repeated rows are reported row by row. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,6 +89,35 @@ def windows(kinds, templates, width: int):
     return mix(out), (literal[width : width + n] - literal[:n]) >= MIN_WORDS
 
 
+class Table:
+    """Sorted window hashes and where the windows begin, behind a bitmap that turns most other hashes away."""
+
+    BITS = 20
+
+    def __init__(self, hashes, at):
+        import numpy as np
+
+        self.at = at[np.argsort(hashes[at], kind="stable")]
+        self.hashes = hashes[self.at]
+        self.known = np.zeros(1 << self.BITS, bool)
+        self.known[self._cell(self.hashes)] = True
+
+    def _cell(self, hashes):
+        import numpy as np
+
+        return (hashes >> np.uint64(64 - self.BITS)).astype("i8")
+
+    def hits(self, hashes, ok=None):
+        """Positions whose hash is in the table, and the stretch of the table that equals each."""
+        import numpy as np
+
+        hit = self.known[self._cell(hashes)]
+        hit = np.flatnonzero(hit if ok is None else hit & ok)
+        low, high = (np.searchsorted(self.hashes, hashes[hit], side) for side in ("left", "right"))
+        real = low < high
+        return hit[real], low[real], high[real]
+
+
 class Benchmark:
     """Hash table of the windows of a block of items."""
 
@@ -99,14 +129,15 @@ class Benchmark:
         size = np.diff(self.bounds)
         self.width = np.where(size >= WINDOW, WINDOW, size)
         self.count = np.where(size >= MIN_TOKENS, size - self.width + 1, 0)
-        self.tables: dict[int, tuple] = {}
+        #: Windows of each width as templates and as they are; which windows may match as templates.
+        self.tables: dict[int, tuple[Table, Table]] = {}
+        self.eligible = np.zeros(len(self.kinds), bool)
         for width in sorted({int(w) for w, c in zip(self.width, self.count) if c}):
             h, ok = windows(self.kinds, self.templates, width)
             at = [np.arange(self.bounds[n], self.bounds[n] + self.count[n]) for n in range(len(items)) if self.width[n] == width and self.count[n]]
             at = np.concatenate(at)
-            at = at[ok[at]]
-            at = at[np.argsort(h[at], kind="stable")]
-            self.tables[width] = h[at], at
+            self.eligible[at] = ok[at]
+            self.tables[width] = Table(h, at[ok[at]]), Table(windows(self.kinds, self.raws, width)[0], at)
         self.owner = np.repeat(np.arange(len(items)), size)
 
 
@@ -122,23 +153,18 @@ class Matcher:
         b = self.b
         kinds, templates, raws, bounds = self.templates(texts)
         found: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for width, (hashes, where) in b.tables.items():
-            if not len(hashes):
-                continue
+        for width, (alike, equal) in b.tables.items():
             h, ok = windows(kinds, templates, width)
-            low = np.searchsorted(hashes, h)
-            hit = np.flatnonzero((hashes[np.minimum(low, len(hashes) - 1)] == h) & ok)
-            text = np.searchsorted(bounds, hit, "right") - 1
-            inside = hit + width <= bounds[text + 1]
-            for at, n in zip(hit[inside].tolist(), text[inside].tolist()):
-                for k in range(low[at], len(hashes)):
-                    if hashes[k] != h[at]:
-                        break
-                    j = int(where[k])
-                    found[n, int(b.owner[j])][at - j].append(j)
+            for table, (hit, low, high) in ((alike, alike.hits(h, ok)), (equal, equal.hits(windows(kinds, raws, width)[0]))):
+                text = np.searchsorted(bounds, hit, "right") - 1
+                inside = hit + width <= bounds[text + 1]
+                for at, n, x, y in zip(hit[inside].tolist(), text[inside].tolist(), low[inside].tolist(), high[inside].tolist()):
+                    for j in table.at[x:y].tolist():
+                        found[n, int(b.owner[j])][at - j].append(j)
         for (n, item), diagonals in sorted(found.items()):
             width, first, total = int(b.width[item]), int(b.bounds[item]), int(b.count[item])
-            covered, longest, exact, slots = set(), 0, True, 0
+            eligible = int(b.eligible[first : first + total].sum())
+            covered, copied, longest, exact, slots = set(), set(), 0, True, 0
             for offset, starts in diagonals.items():
                 own = sorted(set(starts))
                 tokens = sorted({j + d for j in own for d in range(width)})
@@ -147,14 +173,19 @@ class Matcher:
                 if any(there.setdefault((k, x), y) != y or back.setdefault((k, y), x) != x for k, x, y in pairs):
                     continue
                 covered.update(own)
+                copied.update(j for j in own if (b.raws[j : j + width] == raws[j + offset : j + offset + width]).all())
                 slots += len(pairs)
                 exact &= all(x == y for _, x, y in pairs)
                 run = 0
                 for a, c in zip([None, *own], own):
                     run = run + 1 if a is not None and c == a + 1 else width
                     longest = max(longest, run)
-            if covered and (len(covered) >= self.min_cover * total or longest >= self.min_run):
-                yield n, item, "exact" if exact else "template", len(covered), total, longest, slots
+            held = len({j + d for j in covered for d in range(width)})
+            enough = len(covered) >= self.min_cover * total or longest >= self.min_run
+            # windows that no template can match do not count against one, but half of the tokens must be matched
+            enough = enough or (int(b.eligible[sorted(covered)].sum()) >= self.min_cover * eligible > 0 and held >= self.min_cover * (total + width - 1))
+            if covered and enough:
+                yield n, item, "exact" if exact or len(copied) == total else "template", len(covered), total, longest, slots
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_cover: float = 0.5, min_run: int = 13) -> DataFrame:

@@ -26,6 +26,16 @@ def test_templates_and_slots(spark):
     assert set(got) == {(0, 0), (1, 0)}  # in text 2 one value stands for two
 
 
+def test_copies_dense_in_slots(spark):
+    dense = "Alice Smith paid 12 dollars, Bob Jones paid 15 dollars and Carol White paid 20 dollars in Paris, France"
+    items = [(0, dense), (1, "THE QUICK BROWN FOX JUMPS OVER THE LAZY DOG AND RUNS"), (2, "A Title Case Line About Some Names And Places In Spain"), (3, "1 2 3 5 8 13"), (4, "12 13 14 15 16 17 18 19 20 21")]
+    texts = ["before. " + t + ". After it" for _, t in items]
+    texts.append("before. Dora Green paid 31 dollars, Emil Brown paid 47 dollars and Fred Black paid 55 dollars in Rome, Italy. After it")
+    texts += ["SOME OTHER LINE IN CAPITALS THAT IS NO ITEM AT ALL", "Another Title Case Line Without Any Of Those Words", "3 4 5 6 7 8 9 10 11 22 23"]
+    got = found(spark, texts, items)
+    assert got == {(n, n): "exact" for n in range(5)} | {(5, 0): "template"}
+
+
 def test_short_items_and_blocks(spark, monkeypatch):
     items = [(0, "one two three four five six"), (1, "too short"), (2, None), (3, ITEM), (4, ITEM)]
     texts = ["zero one two three four five six seven", ITEM, "too short"]
