@@ -3,8 +3,8 @@
 Method: texts and benchmark items are canonicalised: numbers, names (capitalised words inside a sentence) and units
 become typed placeholders, other words lose their case. Windows of eight tokens are hashed twice, as templates and as
 they are, and joined with the hash tables of the benchmark's windows. Windows on one diagonal (same offset between document and item) form a
-match; its slots pair the item's values with the document's, and the pairing must be one-to-one within the match,
-else the match is dropped. A document is contaminated by an item if consistent matches cover `min_cover` of its
+match; its slots pair the item's values with the document's. Two values may become one and one may become two, but
+where both meet in a pair, the windows that hold its values are dropped, unless they are equal word for word. A document is contaminated by an item if consistent matches cover `min_cover` of its
 windows, or of those that may match as templates and then of its tokens too, or hold a run of `min_run` tokens. So a
 question with other numbers and names is found as well, and a verbatim copy of any item always is.
 
@@ -141,6 +141,17 @@ class Benchmark:
         self.owner = np.repeat(np.arange(len(items)), size)
 
 
+def clashes(values: dict[int, tuple[int, int, int]]) -> set[int]:
+    """Slots (kind, item's value, document's value) that share a value with a pair whose both values have other partners."""
+    there, back = defaultdict(set), defaultdict(set)
+    for k, x, y in values.values():
+        there[k, x].add(y)
+        back[k, y].add(x)
+    bad = [v for v in set(values.values()) if len(there[v[0], v[1]]) > 1 and len(back[v[0], v[2]]) > 1]
+    left, right = {(k, x) for k, x, _ in bad}, {(k, y) for k, _, y in bad}
+    return {j for j, (k, x, y) in values.items() if (k, x) in left or (k, y) in right}
+
+
 class Matcher:
     def __init__(self, bench: Benchmark, min_cover: float, min_run: int):
         self.b, self.min_cover, self.min_run = bench, min_cover, min_run
@@ -167,13 +178,13 @@ class Matcher:
             covered, copied, longest, exact, slots = set(), set(), 0, True, 0
             for offset, starts in diagonals.items():
                 own = sorted(set(starts))
-                tokens = sorted({j + d for j in own for d in range(width)})
-                pairs = [(int(b.kinds[j]), int(b.raws[j]), int(raws[j + offset])) for j in tokens if b.kinds[j] in (_NUM, _NAME, _UNIT)]
-                there, back = {}, {}
-                if any(there.setdefault((k, x), y) != y or back.setdefault((k, y), x) != x for k, x, y in pairs):
-                    continue
+                same = {j for j in own if (b.raws[j : j + width] == raws[j + offset : j + offset + width]).all()}
+                values = {j: (int(b.kinds[j]), int(b.raws[j]), int(raws[j + offset])) for j in {j + d for j in own for d in range(width)} if b.kinds[j] in (_NUM, _NAME, _UNIT)}
+                clash = clashes(values)
+                own = [j for j in own if j in same or not any(j + d in clash for d in range(width))]
+                pairs = [values[j] for j in {j + d for j in own for d in range(width)} if j in values]
                 covered.update(own)
-                copied.update(j for j in own if (b.raws[j : j + width] == raws[j + offset : j + offset + width]).all())
+                copied.update(same)
                 slots += len(pairs)
                 exact &= all(x == y for _, x, y in pairs)
                 run = 0

@@ -36,6 +36,20 @@ def test_copies_dense_in_slots(spark):
     assert got == {(n, n): "exact" for n in range(5)} | {(5, 0): "template"}
 
 
+def test_clashing_slots_cost_only_their_windows(spark):
+    shop = "Now Anna has 12 apples and Bob has 15 pears. How many pieces of fruit do they hold together on that day"
+    twice = "There are 5 apples in a box and then 5 pears in a bag. How much fruit is there in all of it"
+    passage = "When Maria came home at 7 she " + " ".join(f"thing{chr(97 + i % 26)}{chr(97 + i // 2)}" for i in range(40)) + " and so Maria went out again at 7 with Peter to walk a while"
+    items = [(0, shop), (1, twice), (2, passage)]
+    texts = [
+        "Yes. " + shop.replace("12", "7").replace("15", "7"),
+        "Yes. " + twice.replace("5 apples", "6 apples").replace("5 pears", "8 pears"),
+        "Yes. " + passage.replace("Maria went", "Peter went"),
+        "Yes. " + passage.replace("again at 7", "again at 9"),
+    ]
+    assert set(found(spark, texts, items)) == {(0, 0), (1, 1), (2, 2), (3, 2)}
+
+
 def test_short_items_and_blocks(spark, monkeypatch):
     items = [(0, "one two three four five six"), (1, "too short"), (2, None), (3, ITEM), (4, ITEM)]
     texts = ["zero one two three four five six seven", ITEM, "too short"]
