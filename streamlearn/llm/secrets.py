@@ -6,9 +6,11 @@ log-likelihood ratio; tokens above a threshold give the added spans (markov).
 
 Both models are trained here from labelled samples: random strings are those the base rules find in at most
 `train_docs` documents (a documented bound, chosen by hash) and strings drawn uniformly from the usual
-alphabets; ordinary ones are the other tokens of those documents. Every second document is held out, and the
-threshold is the least that keeps the rate of flagged ordinary held-out tokens at `false_rate`, but never below
-`least` nats.
+alphabets; ordinary ones are made-up identifiers and the other tokens of those documents. Secrets that no rule finds
+are among those tokens, so a first model of identifiers and short tokens only scores the long ones, and those beyond
+its threshold that look dealt at random (letters, and many different characters) are kept out of the ordinary class.
+Every second document is held out; a threshold is the least that keeps the rates of flagged identifiers and of flagged
+ordinary held-out tokens at `false_rate`, but never below `least` nats.
 
 Defined results: a null text counts as empty and has no span. Offsets are code points, ends exclusive; an assign span
 is the whole match. Repeated rows are scanned row by row. Other columns are ignored.
@@ -54,6 +56,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{names[k]}:{a}:{b}" for k, a, b in spans)
 
 
+def _mixed(token: str) -> bool:
+    """Whether a token may be dealt at random: it holds letters and is no row of a few characters."""
+    return len(set(token)) >= LEAST_CHARS // 2 - 1 and any(c.isalpha() for c in token)
+
+
 def _codes():
     import numpy as np
 
@@ -118,17 +125,32 @@ class Model:
                 if not any(a < m.end() and m.start() < b for _, a, b in spans):
                     plain[n % 2].append(m.group())
         # identifiers of these words and of the corpus's own, in the usual notations
-        stock = [*IDENTIFIER_WORDS, *IDENTIFIER_WORDS, *(x.lower() for x in plain[0][:400] if x.isalpha())]
-        for n in range(4 * drawn):
-            w = rnd.choices(stock, k=rnd.randint(2, 4))
-            forms = ("_".join(w), "-".join(w), w[0] + "".join(x.title() for x in w[1:]), "".join(x.title() for x in w), "_".join(w).upper(), "/".join(w), f"{'_'.join(w)}_{n % 100}", "".join(w))
-            plain[n // len(forms) % 2].append(forms[n % len(forms)])
-        ratio = Model.log_model(secret) - Model.log_model(plain[0] or ["identifier"])
-        model = Model(ratio, least)
-        held = [t for t in plain[1] if len(t) >= LEAST_CHARS]
-        if held:
-            s = np.sort(model.scores(held))[::-1]
-            model.threshold = max(least, float(s[min(len(s) - 1, int(false_rate * len(s)))]) + 1e-9)
+        stock = [*IDENTIFIER_WORDS, *IDENTIFIER_WORDS, *(x.lower() for x in plain[0][:400] if x.isalpha() and len(x) < LEAST_CHARS)]
+
+        def identifiers(count: int) -> list[str]:
+            out = []
+            for n in range(count):
+                w = rnd.choices(stock, k=rnd.randint(2, 4))
+                forms = ("_".join(w), "-".join(w), w[0] + "".join(x.title() for x in w[1:]), "".join(x.title() for x in w), "_".join(w).upper(), "/".join(w), f"{'_'.join(w)}_{n % 100}", "".join(w))
+                out.append(forms[n % len(forms)])
+            return out
+
+        made, fresh = identifiers(2 * drawn), [t for t in identifiers(int(2 / false_rate)) if len(t) >= LEAST_CHARS]
+        random_ones = Model.log_model(secret)
+
+        def fitted(ordinary: list[str], held: list[str]) -> Model:
+            model = Model(random_ones - Model.log_model(ordinary), least)
+            for tokens in (fresh, held):
+                if tokens:
+                    s = np.sort(model.scores(tokens))[::-1]
+                    model.threshold = max(model.threshold, float(s[min(len(s) - 1, int(false_rate * len(s)))]) + 1e-9)
+            return model
+
+        short, long = ([t for t in plain[0] if len(t) < LEAST_CHARS], [[t for t in half if len(t) >= LEAST_CHARS] for half in plain])
+        # what no rule finds may still be a secret: it must neither teach the ordinary class nor lift the threshold
+        first = fitted(made + short, [])
+        long = [[t for t, s in zip(half, first.scores(half)) if s <= first.threshold or not _mixed(t)] for half in long]
+        model = fitted(made + short + long[0], long[1])
         return model
 
 

@@ -123,6 +123,22 @@ def test_markov_finds_keys_and_spares_words(spark, sf_dir):
     assert flagged <= 1
 
 
+def test_markov_finds_keys_of_a_corpus_that_holds_many():
+    rnd = random.Random(5)
+    words = "the of and table report about where people write long house river market account value number".split()
+    key = lambda: "".join(rnd.choices(secrets.ALPHABET[:62], k=rnd.choice((20, 24, 32))))
+    texts = []
+    for n in range(600):
+        w = rnd.choices(words, k=80)
+        if n % 3 < 2:  # in the training half and in the held-out half
+            w.insert(rnd.randrange(80), key())
+        texts.append(" ".join([*w, "get_user_account_details", "-" * 40, "=" * 30, f"20{rnd.randrange(10, 30)}-0{rnd.randrange(1, 10)}-{rnd.randrange(10, 29)}_{rnd.randrange(10, 24)}-{rnd.randrange(10, 60)}-{rnd.randrange(10, 60)}"]))
+    model = secrets.Model.train(texts)
+    assert (model.scores([key() for _ in range(500)]) > model.threshold).mean() > 0.98
+    spare = ["internationalization_table", "configurationManagerFactory", "get_user_account_details", "-" * 25, "=" * 50, "responsibilities", "2026-05-17_11-42-38"]
+    assert not (model.scores(spare) > model.threshold).any()
+
+
 @pytest.mark.parametrize("where", ["sf", "odd"])
 def test_queries(spark, sf_dir, small_dir, where):
     d = sf_dir if where == "sf" else small_dir
