@@ -2,14 +2,15 @@
 
 Base spans come from fixed rules (email, ip, card, phone) and always stay. The CRF labels a document's candidate
 tokens (those with a digit or an at sign) with a kind or none. Its potentials are features of the token and its
-neighbours, transitions between candidates that stand side by side, and skip edges between consecutive occurrences
-of the same digits (or the same letters) anywhere in the document, so a number that is plainly a phone number in one
-place is found again where its prefix is missing. Inference is loopy sum-product message passing over the whole
-document's graph. Tokens labelled with a marginal of at least `sure` that touch no base span give the added spans
+neighbours, transitions between candidates that stand side by side, and skip edges from one occurrence of the same
+digits (or the same letters), the first in a base span if any is, to every other one in the document, so a number that is plainly a phone number in
+one place is found again where its prefix is missing, however far away. Tokens in base spans have their kind as a known
+label. Inference is loopy sum-product message passing over the whole document's graph until nothing changes. Tokens labelled with a marginal of at least `sure` that touch no base span give the added spans
 (crf_email, crf_ip, crf_card, crf_phone).
 
 The model is trained here: the base spans of at most `train_docs` documents (a documented bound, chosen by hash)
-label its tokens, token features are dropped at random so that the neighbours' and the skip edges' weights are
+label its tokens (those outside whose value stands in a base span elsewhere are left out, as they may be either), each value is
+repeated without its + and in a form unknown, beside a label that is known, token features are dropped at random so that the neighbours' and the skip edges' weights are
 learnt, and the pseudo-likelihood is maximised. The skip graph of a document is linear in its tokens.
 
 Defined results: a null text counts as empty and has no span. Offsets are code points, ends exclusive. Repeated rows
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -94,17 +96,29 @@ def _shape(token: str) -> str:
     return "".join(out)
 
 
+def _features(core: str, raw: str, before: str, after: str) -> list[int]:
+    import xxhash
+
+    digits = _digits(core)
+    names = [
+        "bias", f"shape={_shape(core)}", f"digits={min(len(digits), 20)}", f"at={'@' in core}", f"dots={min(core.count('.'), 4)}",
+        f"plus={raw.startswith('+')}", f"luhn={len(digits) >= 13 and luhn(digits)}", f"letters={any(c.isalpha() for c in core)}",
+        f"before={_shape(before) if _DIGIT.search(before) else before[-12:]}", f"after={_shape(after) if _DIGIT.search(after) else after[:12]}",
+    ]
+    return [xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) % FEATURES for x in names]
+
+
 class Document:
     """Candidate tokens of a text: spans, features, and the edges of the graph."""
 
     def __init__(self, text: str):
         import numpy as np
-        import xxhash
 
         tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
         self.spans: list[tuple[int, int]] = []
         self.features: list[list[int]] = []
-        chain, skip, seen = [], [], {}
+        self.words: list[tuple[str, str, str, str]] = []
+        chain, skip, tells, seen = [], [], [], {}
         last = -2
         for n, (a, b) in enumerate(tokens):
             raw = text[a:b]
@@ -121,37 +135,61 @@ class Document:
             digits = _digits(core)
             before = text[slice(*tokens[n - 1])].lower() if n else "^"
             after = text[slice(*tokens[n + 1])].lower() if n + 1 < len(tokens) else "$"
-            names = [
-                "bias", f"shape={_shape(core)}", f"digits={min(len(digits), 20)}", f"at={'@' in core}", f"dots={min(core.count('.'), 4)}",
-                f"plus={raw.startswith('+')}", f"luhn={len(digits) >= 13 and luhn(digits)}", f"letters={any(c.isalpha() for c in core)}",
-                f"before={_shape(before) if _DIGIT.search(before) else before[-12:]}", f"after={_shape(after) if _DIGIT.search(after) else after[:12]}",
-            ]
             k = len(self.spans)
             self.spans.append((left, right))
-            self.features.append([xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) % FEATURES for x in names])
+            self.words.append((core, raw, before, after))
+            self.features.append(_features(core, raw, before, after))
             if last == n - 1:
                 chain.append((k - 1, k))
             last = n
             key = digits if len(digits) >= 6 else core.lower()
+            tells.append(len(digits) >= 6 or "@" in core)
             if key in seen:
                 skip.append((seen[key], k))
-            seen[key] = k
+            else:
+                seen[key] = k
+        self.tells = np.array(tells, bool)
         self.chain = np.array(chain, "i8").reshape(-1, 2)
         self.skip = np.array(skip, "i8").reshape(-1, 2)
 
+    def hang(self, labels) -> None:
+        """Hang the skip edges of a value on its first labelled occurrence, so that all hear of it directly.
+
+        Values that many things share (fewer than six digits and no at sign) lose theirs.
+        """
+        self.skip = self.skip[self.tells[self.skip[:, 0]]]
+        for k in range(len(self.skip)):
+            hub, n = self.skip[k]
+            if labels[n] and not labels[hub]:
+                self.skip[self.skip[:, 0] == hub, 0] = n
+                self.skip[k] = n, hub
+
 
 def _labels(doc: Document, spans: list[tuple[int, int, int]]):
     """0 for none, else 1 + kind of the base span that overlaps a token."""
     import numpy as np
 
     out = np.zeros(len(doc.spans), "i8")
+    ends = [y for _, y in doc.spans]
     for k, a, b in spans:
-        for n, (x, y) in enumerate(doc.spans):
-            if x < b and a < y and not out[n]:
-                out[n] = k + 1
+        n = bisect_right(ends, a)
+        while n < len(ends) and doc.spans[n][0] < b:
+            out[n] = out[n] or k + 1
+            n += 1
     return out
 
 
+def _unsure(doc: Document, labels):
+    """Tokens outside base spans whose value stands in a base span elsewhere."""
+    import numpy as np
+
+    hub = np.arange(len(labels))
+    hub[doc.skip[:, 1]] = doc.skip[:, 0]
+    held = np.zeros(len(labels), bool)
+    held[hub[labels > 0]] = True
+    return held[hub] & (labels == 0)
+
+
 class Model:
     """Weights: unary (feature, label), transition and skip (label, label)."""
 
@@ -163,26 +201,39 @@ class Model:
         """Pseudo-likelihood: each token given its features (half of them hidden) and its neighbours' labels."""
         import numpy as np
 
-        rows, ys, neighbours, at = [], [], [], 0
+        rows, ys, used, neighbours, at = [], [], [], [], 0
         for text in texts:
             doc = Document(text)
             if not doc.spans:
                 continue
             y = _labels(doc, base_spans(text))
+            doc.hang(y)
+            use = ~_unsure(doc, y)
             rows += doc.features
             ys.append(y)
+            used.append(use)
             # (token, label beside, which table, direction)
             for table, edges in ((0, doc.chain), (1, doc.skip)):
                 for a, b in edges.tolist():
-                    neighbours += [(at + a, y[b], table, 0), (at + b, y[a], table, 1)]
+                    neighbours += [(at + i, y[j], table, way) for i, j, way in ((a, b, 0), (b, a, 1)) if use[j]]
             at += len(y)
+            # each value that tells is repeated without its +, and in a form unknown, as few texts do so by themselves
+            again = np.flatnonzero(doc.tells & use)
+            for k in again.tolist():
+                core, raw, *beside = doc.words[k]
+                rows += [_features(core.lstrip("+"), raw.lstrip("+"), *beside), [FEATURES - 1] * 10]
+                neighbours += [(at + i, y[k], 1, way) for i in range(2) for way in range(2)]
+                at += 2
+            ys.append(np.repeat(y[again], 2))
+            used.append(np.repeat(use[again], 2))
         unary, pair = np.zeros((FEATURES, LABELS)), np.zeros((2, LABELS, LABELS))
         if not rows:
             return Model(unary, pair[0], pair[1])
         x, y = np.array(rows), np.concatenate(ys)
         n = np.array(neighbours, "i8").reshape(-1, 4)
         rnd, total = np.random.default_rng(seed), len(y)
-        weight = 1.0 / np.maximum(np.bincount(y, minlength=LABELS), 1)[y]
+        use = np.concatenate(used)
+        weight = use / np.maximum(np.bincount(y[use], minlength=LABELS), 1)[y]
         weight /= weight.sum()
         for _ in range(epochs):
             seen = (rnd.random(x.shape) > drop).astype("f8")
@@ -204,11 +255,15 @@ class Model:
             pair += rate * 20 * (side - decay * pair)
         return Model(unary, pair[0], (pair[1] + pair[1].T) / 2)
 
-    def marginals(self, doc: Document, rounds: int = 12, damping: float = 0.3):
-        """Loopy belief propagation over chain and skip edges."""
+    def marginals(self, doc: Document, rounds: int = 500, damping: float = 0.3, known=None, close: float = 1e-6):
+        """Loopy belief propagation over chain and skip edges until messages change by less than `close`; known: labels, 0 where open."""
         import numpy as np
 
         unary = self.unary[np.array(doc.features)].sum(axis=1)
+        if known is not None and known.any():
+            sure = np.flatnonzero(known)
+            unary[sure] = -1e3
+            unary[sure, known[sure]] = 0.0
         edges = np.concatenate([doc.chain, doc.skip])
         if len(edges):
             table = np.concatenate([np.repeat(self.transition[None], len(doc.chain), 0), np.repeat(self.skip[None], len(doc.skip), 0)])
@@ -223,7 +278,10 @@ class Model:
                 top = out.max(axis=1, keepdims=True)
                 new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
                 new -= new.max(axis=1, keepdims=True)
+                change = np.abs(new - log_m).max()
                 log_m = damping * log_m + (1 - damping) * new
+                if change < close:
+                    break
             unary = unary.copy()
             np.add.at(unary, dst, log_m)
         p = np.exp(unary - unary.max(axis=1, keepdims=True))
@@ -237,7 +295,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: Model, sure:
     doc = Document(text)
     if not doc.spans:
         return []
-    p = model.marginals(doc)
+    known = _labels(doc, base)
+    doc.hang(known)
+    p = model.marginals(doc, known=known)
     taken = Taken([(a, b) for _, a, b in base])
     out: list[tuple[int, int, int]] = []
     last = -2

@@ -1,6 +1,7 @@
 """Personal data and secrets: base spans against plain regular expressions, added spans on planted cases."""
 
 import hashlib
+import inspect
 import random
 import re
 
@@ -93,6 +94,20 @@ def test_crf_uses_skip_edges():
     assert pii.added_spans(alone, pii.base_spans(alone), model, 0.9) == []
 
 
+@pytest.mark.parametrize("repeats", [1, 20])
+def test_crf_adds_bare_repeats_at_the_sureness_of_the_query(repeats):
+    rnd = random.Random(3)
+    number = lambda: f"{rnd.randint(2000000000, 9899999999)}"
+    model = pii.Model.train([document(rnd, [f"+1{number()}", f"+1{number()}", f"{rnd.randint(1000000000, 9999999999)}"]) for _ in range(300)])
+    sure = inspect.signature(pii.find_pii).parameters["sure"].default
+    n = number()
+    # far from the evidence, with a number of the same form that has none
+    t = " ".join([f"call +1{n} today", *["or the word"] * 50, f"19{n[::-1][:9]} here", *[f"and mail 1{n} again"] * repeats])
+    added = pii.added_spans(t, pii.base_spans(t), model, sure)
+    assert [t[a:b] for _, a, b in added] == [f"1{n}"] * repeats
+    assert {pii.ADDED[k - len(pii.KINDS)] for k, _, _ in added} == {"crf_phone"}
+
+
 def test_marginals_are_exact_on_a_tree():
     import itertools
 
