@@ -316,7 +316,7 @@ def lasso_impute(spark, d):
 
 
 def _sensors(spark, d):
-    t = T.table(spark, d, "events").select((F.col("event_id") % 1000000).alias("seq"), (F.col("event_id") / 40).cast("bigint").alias("coil_id"), (F.col("event_id") % 40).cast("double").alias("x"), "value", "user_id")
+    t = T.table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") / 40).cast("bigint").alias("coil_id"), (F.col("event_id") % 40).cast("double").alias("x"), "value", "user_id")
     nan = F.lit(float("nan"))
     rows = t.select("coil_id", "seq", "x", F.when(F.col("seq") % 4 == 0, nan).otherwise(F.col("value") / 100).alias("f1"), ((F.col("seq") % 9) / 9.0).alias("f2"))
     # a coil's labels come when the next coil is half through

@@ -167,3 +167,16 @@ def test_impute_by_coil_and_defaults(spark):
     assert values(lasso.impute(df, ["f"], default={"f": 9.0})) == [9.0, 5.0, 5.0, 5.0]
     assert values(lasso.impute(df, ["f"], by=["coil"], default={"f": 9.0})) == [9.0, 5.0, 9.0, 5.0]
     assert T.SENSOR_DEFAULTS[26] == 1.846
+
+
+def test_sensor_rows_keep_their_order_after_a_million(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from streamlearn.plans import catalogue
+
+    events = spark.createDataFrame([(i, float(i % 7), i % 5) for i in (*range(80), *range(1_000_000, 1_000_080))], "event_id bigint, value double, user_id bigint")
+    monkeypatch.setattr(catalogue.T, "table", lambda spark, d, name: events)
+    rows, bundles = catalogue._sensors(spark, "")
+    assert rows.select("seq").distinct().count() == 160
+    late = rows.join(bundles.select("coil_id", F.col("seq").alias("labelled")), "coil_id").where("labelled > seq + 60 or labelled <= seq")
+    assert late.count() == 0
