@@ -493,7 +493,7 @@ def lda_tokens(spark, d):
 @query("lda_topics")
 def lda_topics(spark, d):
     docs = topics.tokenised(T.table(spark, d, "documents"))
-    return topics.OnlineLDA(topics=6, words=500, batches=2).fit(docs).topics(spark)
+    return topics.OnlineLDA().fit(docs).topics(spark)
 
 
 # --- G. evaluation ----------------------------------------------------------------------------------------------

@@ -146,3 +146,18 @@ def test_metrics(spark):
     assert old.precision == old.recall == 2 / 3
     only = evaluation.confusion(spark.createDataFrame([(-1.0, -1.0)], "prediction double, label double")).first()
     assert (only.precision, only.recall, only.fpr, only.f) == (1, 0, 0, 0)
+
+
+def test_topics_query_is_the_whole_job(monkeypatch, spark, sf_dir):
+    from streamlearn.operators import topics
+    from streamlearn.plans import catalogue
+
+    seen = []
+
+    class Fitted:
+        def topics(self, spark):
+            return None
+
+    monkeypatch.setattr(topics.OnlineLDA, "fit", lambda self, docs: seen.append(dict(self.params)) or Fitted())
+    catalogue.QUERIES["lda_topics"](spark, sf_dir)
+    assert [(p["topics"], p["words"], p["batches"]) for p in seen] == [(20, 10_000, 4)]
