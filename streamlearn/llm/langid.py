@@ -152,7 +152,7 @@ class Labeller:
         total = s.sum(axis=0)
         best = int(total.argmax())
         gain = np.concatenate([np.zeros((1, s.shape[1])), np.cumsum(s - s[:, best : best + 1], axis=0)])
-        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= self.m.penalty:
+        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= self.m.penalty / 2:  # m segments gain m / 2 penalties at most and pay m - 1
             return best
         return viterbi(s, self.m.penalty)
 

@@ -60,3 +60,11 @@ def test_query(spark, sf_dir, small_dir, where):
 
 def test_empty(empty_docs):
     assert L.identify(empty_docs).count() == 0
+
+
+def test_two_halves_beat_a_third_language():
+    label = L.Labeller(L.Model(["a", "b", "c"], None, {}, 12.0))
+    s = np.zeros((6, 3))
+    s[:3, 0], s[3:, 1], s[:3, 1], s[3:, 0] = 3, 3, -9, -9  # 9 nats for each half, c has the best total
+    assert list(label.path(s)) == [0, 0, 0, 1, 1, 1]
+    assert label.path(np.where(s > 0, 1.0, s)) == 2
