@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import SECOND_SEED, WS_CLASS, Numbered, staged
 
 SHINGLE_WORDS = 5
-#: bands x rows registers: at a similarity of 0.8 a pair shares no band with probability 5e-8.
+#: bands x rows registers: at a J_P of 0.8 a pair shares no band with probability 5e-8; a high J alone promises nothing.
 BANDS, ROWS = 32, 4
 #: Pairs of one leader verified by one task.
 PAIRS_A_TASK = 512
