@@ -3,16 +3,19 @@
 An assistant message may hold calls, each `<tool_call>{"id": ..., "name": ..., "arguments": {...}}</tool_call>`; a
 message of role tool is a result, `{"tool_call_id": ..., "content": ...}`. Calls and results are exploded to narrow
 rows and hash-joined by (conversation, identifier). A call whose arguments mention another call's result as
-"$identifier" depends on it; levels of the topological order come from repeated joins along these dependencies, as
-many as the longest chain, and calls on a cycle get none. Arguments are validated against the schema of the named
-tool. Each message comes back as one line of canonical JSON (sorted keys, no spaces, whole numbers without fraction)
-with its place (level, then turn) in the conversation.
+"$identifier" depends on it. Levels of the topological order are settled inside blocks of BLOCK_CALLS neighbouring
+calls, then what blocks owe each other is joined and they are settled again: as many rounds as the longest chain
+crosses blocks, not as it has calls. Calls on a cycle, and those that wait for one or for an unknown call, get no
+level. Arguments are validated against the schema of the named tool. Each message comes back as one line of canonical
+JSON (sorted keys, no spaces, whole numbers without fraction) with its place (level, then turn) in the conversation.
 
 Conversations are never gathered into one task or row: a result is a row per message, so one huge conversation is
-many rows. Calls and results of one message stay with it.
+many rows. Messages without a call or an answer pass without an exchange. Calls and results of one message stay with it.
 
 Defined results: a null text is an empty content and a null role "unknown"; null conv_id and turn are ordinary
-values (null links to nothing). Broken JSON makes an invalid call; of several calls with one identifier the first by
+values (null links to nothing). Broken JSON makes an invalid call; numbers beyond the range of doubles, NaN, numbers
+of thousands of digits and nesting beyond the interpreter's limit are broken JSON. Lone surrogates are kept, written as
+escapes. Of several calls with one identifier the first by
 turn and position is linked and the others are marked duplicate; a result without a call is an orphan; equal results
 all link. Repeated message rows are one message each, but their calls are duplicates of each other. Empty tables give
 empty results; other columns are ignored.
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +33,10 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
-REFERENCE = re.compile(r"^\$([A-Za-z0-9_-]+)$")
+REFERENCE = re.compile(r"^\$([A-Za-z0-9_-]+)\Z")
+#: Calls whose order one task settles at once.
+BLOCK_CALLS = 200_000
+_SURROGATE = re.compile("[\ud800-\udfff]")
 #: Schemas of tools the query knows: a subset of JSON Schema.
 TOOLS = {
     "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
@@ -38,17 +45,33 @@ TOOLS = {
 }
 
 
+def _refused(number: str):
+    raise ValueError(f"no JSON number: {number}")
+
+
+def _finite(number: str) -> float:
+    out = float(number)
+    return out if abs(out) != float("inf") else _refused(number)
+
+
+def loads(text: str):
+    """The value of JSON text; what has no finite value is refused with a ValueError or RecursionError."""
+    return json.loads(text, parse_float=_finite, parse_constant=_refused)
+
+
 def canonical(value) -> str:
     """One spelling of a JSON value: sorted keys, no spaces, integers for whole numbers, no escapes beyond need."""
 
     def plain(v):
         if isinstance(v, float):
-            return int(v) if v == v and abs(v) != float("inf") and v == int(v) and abs(v) < 2**53 else v
+            return int(v) if v.is_integer() and abs(v) < 2**53 else v
         if isinstance(v, dict):
             return {k: plain(x) for k, x in v.items()}
         return [plain(x) for x in v] if isinstance(v, list) else v
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    out = json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    # columns hold no lone surrogates, JSON escapes do
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", out)
 
 
 _TYPES = {
@@ -58,7 +81,7 @@ _TYPES = {
     "boolean": lambda v: isinstance(v, bool),
     "null": lambda v: v is None,
     "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
-    "integer": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and v == int(v),
+    "integer": lambda v: (isinstance(v, int) and not isinstance(v, bool)) or (isinstance(v, float) and v.is_integer()),
 }
 
 
@@ -102,7 +125,7 @@ def parse(role: str | None, text: str | None, tools: dict) -> tuple[str, list[tu
     text = text or ""
     if role == "tool":
         try:
-            body = json.loads(text)
+            body = loads(text)
             if isinstance(body, dict) and isinstance(body.get("tool_call_id"), str):
                 content = body.get("content", "")
                 return content if isinstance(content, str) else canonical(content), [], body["tool_call_id"]
@@ -113,11 +136,11 @@ def parse(role: str | None, text: str | None, tools: dict) -> tuple[str, list[tu
     if role == "assistant" and "<tool_call>" in text:
         for m in CALL.finditer(text):
             try:
-                body = json.loads(m.group(1))
+                body = loads(m.group(1))
                 if not isinstance(body, dict) or not isinstance(body.get("id"), str) or not isinstance(body.get("name"), str):
                     raise ValueError("no id or name")
                 args = body.get("arguments", {})
-                args = json.loads(args) if isinstance(args, str) else args
+                args = loads(args) if isinstance(args, str) else args
                 wrong = errors(args, tools[body["name"]]) if body["name"] in tools else ["unknown tool"]
                 calls.append((body["id"], body["name"], canonical(args), "; ".join(wrong) or None, references(args)))
             except (ValueError, RecursionError):
@@ -126,6 +149,7 @@ def parse(role: str | None, text: str | None, tools: dict) -> tuple[str, list[tu
     return text, calls, None
 
 
+#: Strings out of JSON (content, answers, id, name, error, needs) travel as canonical JSON.
 _PARSED = "conv_id bigint, turn bigint, role string, content string, answers string, calls array<struct<id:string,name:string,arguments:string,error:string,needs:array<string>>>"
 
 
@@ -134,29 +158,78 @@ def _parsed(messages: DataFrame, tools: dict) -> DataFrame:
         import pyarrow as pa
 
         call = pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("error", pa.string()), ("needs", pa.list_(pa.string()))])
+        coded = lambda s: None if s is None else canonical(s)
         for batch in batches:
             got = [parse(r.as_py(), t.as_py(), tools) for r, t in zip(batch.column(2), batch.column(3))]
-            calls = [[dict(zip(("id", "name", "arguments", "error", "needs"), c)) for c in g[1]] for g in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string()), pa.array(calls, pa.list_(call))], ["conv_id", "turn", "role", "content", "answers", "calls"])
+            calls = [[{"id": coded(i), "name": coded(n), "arguments": a, "error": coded(e), "needs": [canonical(x) for x in needs]} for i, n, a, e, needs in g[1]] for g in got]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([canonical(g[0]) for g in got], pa.string()), pa.array([coded(g[2]) for g in got], pa.string()), pa.array(calls, pa.list_(call))], ["conv_id", "turn", "role", "content", "answers", "calls"])
 
     return messages.mapInArrow(run, _PARSED)
 
 
+def settle(rows: list[tuple]) -> list[tuple[int, list[str]]]:
+    """(level, needs still open) of calls (conv_id, id, floor, open needs) among themselves; a level without open needs is final."""
+    index = {(c, i): n for n, (c, i, _, _) in enumerate(rows)}
+    level, left = [r[2] for r in rows], [set(r[3]) for r in rows]
+    waiting = defaultdict(list)
+    for n, (c, _, _, needs) in enumerate(rows):
+        for need in left[n]:
+            if (m := index.get((c, need))) is not None:
+                waiting[m].append(n)
+    ready = [n for n in range(len(rows)) if not left[n]]
+    while ready:
+        m = ready.pop()
+        for n in waiting.pop(m, ()):
+            level[n] = max(level[n], level[m] + 1)
+            left[n].discard(rows[m][1])
+            if not left[n]:
+                ready.append(n)
+    return [(a, sorted(b)) for a, b in zip(level, left)]
+
+
+def _settled(calls: DataFrame) -> DataFrame:
+    """calls (conv_id, id, at, level, open) after each block has settled what it can."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def flush(rows):
+            got = settle([(c, i, f, o) for c, i, _, f, o in rows])
+            columns = ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [g[0] for g in got], [g[1] for g in got])
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["conv_id", "id", "at", "level", "open"])
+
+        rows: list[tuple] = []
+        for batch in batches:
+            rows += zip(*(c.to_pylist() for c in batch.columns))
+            if len(rows) >= BLOCK_CALLS:
+                yield flush(rows)
+                rows = []
+        if rows:
+            yield flush(rows)
+
+    near = calls.select("conv_id", "id", "at", "level", "open").repartitionByRange("conv_id", "at").sortWithinPartitions("conv_id", "at", "id")
+    return near.mapInArrow(run, "conv_id bigint, id string, at bigint, level int, open array<string>")
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, id and level of calls whose needs can all be met: 1 + the highest level among them. calls: conv_id, id, needs."""
-    open_ = staged(calls.select("conv_id", "id", F.size("needs").alias("missing")), "chat-open")
-    edges = staged(calls.select("conv_id", F.explode("needs").alias("need"), "id"), "chat-edges")
-    ready = staged(open_.where("missing = 0").select("conv_id", "id", F.lit(0).alias("level")), "chat-level")
-    done, level = ready, 0
-    open_ = open_.where("missing > 0")
-    while not ready.isEmpty():
-        level += 1
-        met = edges.join(ready.select("conv_id", F.col("id").alias("need")), ["conv_id", "need"]).groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("met"))
-        open_ = staged(open_.join(met, ["conv_id", "id"], "left").select("conv_id", "id", (F.col("missing") - F.coalesce("met", F.lit(0))).alias("missing")), "chat-open")
-        ready = staged(open_.where("missing = 0").select("conv_id", "id", F.lit(level).alias("level")), "chat-level")
-        open_ = open_.where("missing > 0")
-        done = done.unionByName(ready)
-    return done
+    """conv_id, id and level of calls whose needs can all be met: 1 + the highest level among them.
+
+    calls: conv_id, id, needs, and at, a place near the calls they need; it decides about the work, not the result.
+    """
+    state = calls.select("conv_id", "id", F.coalesce("at", F.lit(0)).cast("bigint").alias("at"), F.lit(0).alias("level"), F.col("needs").alias("open"))
+    done = None
+    while True:
+        state = staged(_settled(state), "chat-levels")
+        new = state.where(F.size("open") == 0).select("conv_id", "id", "level")
+        done = new if done is None else done.unionByName(new)
+        state = state.where(F.size("open") > 0)
+        if new.isEmpty() or state.isEmpty():
+            return done
+        owed = state.select("conv_id", "id", F.explode("open").alias("need"))
+        met = owed.join(new.withColumnsRenamed({"id": "need", "level": "theirs"}), ["conv_id", "need"])
+        met = met.groupBy("conv_id", "id").agg((F.max("theirs") + 1).alias("floor"), F.collect_set("need").alias("met"))
+        state = state.join(met, ["conv_id", "id"], "left").select("conv_id", "id", "at", F.greatest("level", F.coalesce("floor", F.lit(0))).alias("level"), F.array_except("open", F.coalesce("met", F.array().cast("array<string>"))).alias("open"))
 
 
 def format_chats(messages: DataFrame, *, tools: dict | None = None, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -166,10 +239,10 @@ def format_chats(messages: DataFrame, *, tools: dict | None = None, conv_id: str
     calls = parsed.select("conv_id", "turn", "msg", F.posexplode("calls").alias("pos", "call")).select("conv_id", "turn", "msg", "pos", "call.*")
     named = calls.where("id is not null and conv_id is not null")
     first = named.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "msg", "pos")).alias("first"), F.min_by("needs", F.struct("turn", "msg", "pos")).alias("needs"))
-    first = staged(first.select("conv_id", "id", F.col("first.msg").alias("first_msg"), F.col("first.pos").alias("first_pos"), "needs"), "chat-calls")
+    first = staged(first.select("conv_id", "id", F.col("first.turn").alias("at"), F.col("first.msg").alias("first_msg"), F.col("first.pos").alias("first_pos"), "needs"), "chat-calls")
     order = levels(first)
     results = parsed.where("answers is not null and conv_id is not null").groupBy("conv_id", F.col("answers").alias("id")).agg(F.count(F.lit(1)).alias("n_results"))
-    known = first.join(results, ["conv_id", "id"], "left").join(order, ["conv_id", "id"], "left").drop("needs")
+    known = first.join(results, ["conv_id", "id"], "left").join(order, ["conv_id", "id"], "left").drop("needs", "at")
     linked = calls.join(known, ["conv_id", "id"], "left")
     status = F.when(F.col("error").isNotNull(), "invalid").when(F.col("first_msg").isNotNull() & ((F.col("first_msg") != F.col("msg")) | (F.col("first_pos") != F.col("pos"))), "duplicate").when(F.col("level").isNull(), "cycle").when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
     by_msg = linked.withColumn("status", status).groupBy("msg").agg(
@@ -177,8 +250,12 @@ def format_chats(messages: DataFrame, *, tools: dict | None = None, conv_id: str
         F.max("level").alias("level"),
     )  # the calls of one message
     answered = known.select("conv_id", F.col("id").alias("answers"), F.lit(True).alias("found"), F.col("level").alias("call_level"))
-    out = parsed.drop("calls").join(by_msg, "msg", "left").join(answered, ["conv_id", "answers"], "left")
-    return _written(out)
+    # most messages neither call nor answer: they meet no exchange
+    calling, answering = F.size("calls") > 0, F.col("answers").isNotNull()
+    own_calls = parsed.where(calling).drop("calls").join(by_msg, "msg", "left").withColumns({"found": F.lit(None).cast("boolean"), "call_level": F.lit(None).cast("int")})
+    own_results = parsed.where(~calling & answering).drop("calls").join(answered, ["conv_id", "answers"], "left")
+    plain = parsed.where(~calling & ~answering).drop("calls")
+    return _written(own_calls.unionByName(own_results, allowMissingColumns=True).unionByName(plain, allowMissingColumns=True))
 
 
 _WRITTEN = "conv_id bigint, turn bigint, role string, level int, n_calls bigint, n_linked bigint, n_invalid bigint, status string, message string"
@@ -190,22 +267,20 @@ def _written(rows: DataFrame) -> DataFrame:
 
         names = ["conv_id", "turn", "role", "level", "n_calls", "n_linked", "n_invalid", "status", "message"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+        def joined(**parts: str | None) -> str:
+            """An object whose values are canonical JSON already."""
+            return "{" + ",".join(f'"{k}":{v}' for k, v in sorted(parts.items()) if v is not None) + "}"
+
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 calls = r["linked"] or []
-                body = {"content": r["content"], "role": r["role"]}
-                if calls:
-                    body["tool_calls"] = [{k: v for k, v in (("arguments", json.loads(c["arguments"]) if c["arguments"] else None), ("error", c["error"]), ("id", c["id"]), ("name", c["name"]), ("status", c["status"])) if v is not None} for c in calls]
-                state = "plain"
-                if r["role"] == "tool":
-                    state = "result" if r["found"] else "orphan"
-                    if r["answers"] is not None:
-                        body["tool_call_id"] = r["answers"]
-                elif calls:
-                    state = "calls"
+                told = [joined(arguments=c["arguments"], error=c["error"], id=c["id"], name=c["name"], status=canonical(c["status"])) for c in calls]
+                state = ("result" if r["found"] else "orphan") if r["role"] == "tool" else "calls" if calls else "plain"
                 level = r["level"] if r["level"] is not None else r["call_level"]
-                out.append((r["conv_id"], r["turn"], r["role"], level or 0, len(calls), sum(c["status"] == "linked" for c in calls), sum(c["status"] != "linked" for c in calls), state, canonical(body)))
+                message = joined(content=r["content"], role=canonical(r["role"]), tool_calls=f"[{','.join(told)}]" if told else None, tool_call_id=r["answers"])
+                out.append((r["conv_id"], r["turn"], r["role"], level or 0, len(calls), sum(c["status"] == "linked" for c in calls), sum(c["status"] != "linked" for c in calls), state, message))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(types)], names)
 
     return rows.select("conv_id", "turn", "role", "content", "answers", "linked", "level", "found", "call_level").mapInArrow(run, _WRITTEN)
