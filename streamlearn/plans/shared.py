@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor sees, as the session names it; one of this machine only where there is no other."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:  # only in tests and on one machine
-        path = "/tmp/checkpoints"
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = f"{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
