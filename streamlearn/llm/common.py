@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterable
@@ -10,6 +9,10 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import shared_dir, staged
+
+__all__ = ["SECOND_SEED", "WS", "WS_CLASS", "Numbered", "Taken", "hash_pair", "let", "read", "sampled", "shared_dir", "staged", "training_texts"]
+
 #: The white space that separates words, as a Python string and inside a regex class.
 WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"\x20\x09-\x0D"
@@ -17,29 +20,6 @@ WS_CLASS = r"\x20\x09-\x0D"
 SECOND_SEED = 0x5DEECE66D
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; only where none is configured is a default set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The files lie under the application's id and go when the driver's file systems close.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    made = spark._jvm.org.apache.hadoop.fs.Path(path)
-    made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate value once and use it many times in body (lambda variables are bound, columns would be inlined)."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -54,11 +34,39 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _chance(*key: Column) -> Column:
+    """A number from 0 to 2^30 - 1 by hash."""
+    return F.pmod(F.xxhash64(F.lit(SECOND_SEED), *key), F.lit(1 << 30))
+
+
 def sampled(docs: DataFrame, rows: int, *key: str) -> DataFrame:
     """About `rows` rows of docs (all, if there are no more), chosen by a hash of key; nothing is sorted or sent around."""
     total = docs.count()
     share = min(1.0, rows / total) if total else 1.0
-    return docs.where(F.pmod(F.xxhash64(F.lit(SECOND_SEED), *key), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return docs.where(_chance(*map(F.col, key)) < int(share * (1 << 30)))
+
+
+def training_texts(docs: DataFrame, doc_id: str, text: str, *, rows: int, chars: int) -> list[str]:
+    """Whole texts of a sample of at most `rows` different documents (doc_id, text) and `chars` characters in all.
+
+    Documents are taken in the order of a hash of doc_id (of the text, where that is null); one that does not fit into
+    what is left of `chars` is passed over. Repeated rows count once, whatever their number; sorted by text.
+    """
+    i, t = F.col(doc_id), F.col(text)
+    total = docs.count()
+    share = min(1.0, 1.2 * rows / total) if total else 1.0
+    # the text is read and hashed only where there is no doc_id, and for what is chosen
+    chance = F.when(i.isNotNull(), _chance(i)).otherwise(_chance(t))
+    some = docs.where(chance < int(share * (1 << 30))).where(t.isNotNull()).select(chance.alias("c"), F.xxhash64(i, t).alias("h"), t.alias("t"))
+    order = some.groupBy("c", "h").agg(F.max(F.char_length("t")).alias("n")).orderBy("c", "h").limit(rows).collect()
+    chosen, left = [], chars
+    for r in order:
+        if r.n <= left:
+            chosen.append(r.h)
+            left -= r.n
+    if not chosen:
+        return []
+    return sorted(r.t for r in some.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).select("t").collect())
 
 
 class Taken:

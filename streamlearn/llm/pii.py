@@ -3,15 +3,18 @@
 Base spans come from fixed rules (email, ip, card, phone) and always stay. The CRF labels a document's candidate
 tokens (those with a digit or an at sign) with a kind or none. Its potentials are features of the token and its
 neighbours, transitions between candidates that stand side by side, and skip edges from one occurrence of the same
-digits (or the same letters), the first in a base span if any is, to every other one in the document, so a number that is plainly a phone number in
-one place is found again where its prefix is missing, however far away. Tokens in base spans have their kind as a known
-label. Inference is loopy sum-product message passing over the whole document's graph until nothing changes. Tokens labelled with a marginal of at least `sure` that touch no base span give the added spans
-(crf_email, crf_ip, crf_card, crf_phone).
-
-The model is trained here: the base spans of at most `train_docs` documents (a documented bound, chosen by hash)
-label its tokens (those outside whose value stands in a base span elsewhere are left out, as they may be either), each value is
-repeated without its + and in a form unknown, beside a label that is known, token features are dropped at random so that the neighbours' and the skip edges' weights are
-learnt, and the pseudo-likelihood is maximised. The skip graph of a document is linear in its tokens.
+digits (or the same letters), the first in a base span if any is, to every other one in the document, so a number that
+is plainly a phone number in one place is found again where its prefix is missing, however far away. Tokens in base
+spans have their kind as a known label. Inference is loopy sum-product message passing over the whole document's graph
+until nothing changes; messages whose sources have settled are not sent again, and messages are made in blocks, so
+memory is some 300 bytes a candidate token, whatever the text's length. Tokens labelled with a marginal of at least
+`sure` that touch no base span give the added spans (crf_email, crf_ip, crf_card, crf_phone).
+
+The model is trained here: the base spans of at most `train_docs` whole documents, `train_chars` characters together
+(documented bounds, chosen by hash), label its tokens (those outside whose value stands in a base span elsewhere are
+left out, as they may be either), each value is repeated without its + and in a form unknown, beside a label that is
+known, token features are dropped at random so that the neighbours' and the skip edges' weights are learnt, and the
+pseudo-likelihood is maximised. The skip graph of a document is linear in its tokens.
 
 Defined results: a null text counts as empty and has no span. Offsets are code points, ends exclusive. Repeated rows
 are scanned row by row; without training rows nothing is added. Other columns are ignored.
@@ -21,13 +24,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Taken, sampled
+from .common import Taken, training_texts
 
 #: Kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -42,6 +47,8 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'()[]{}<>"
 FEATURES, LABELS = 1 << 12, 5
+#: Features of a token; messages made at once.
+PER_TOKEN, BLOCK_MESSAGES = 10, 1 << 16
 
 
 def luhn(digits: str) -> bool:
@@ -109,71 +116,76 @@ def _features(core: str, raw: str, before: str, after: str) -> list[int]:
 
 
 class Document:
-    """Candidate tokens of a text: spans, features, and the edges of the graph."""
+    """Candidate tokens of a text: spans, features, and the edges of the graph, all in typed arrays."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, with_words: bool = False):
         import numpy as np
+        import xxhash
 
-        tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-        self.spans: list[tuple[int, int]] = []
-        self.features: list[list[int]] = []
+        self.starts, self.ends = array("q"), array("q")
         self.words: list[tuple[str, str, str, str]] = []
-        chain, skip, tells, seen = [], [], [], {}
-        last = -2
-        for n, (a, b) in enumerate(tokens):
-            raw = text[a:b]
-            if not (_DIGIT.search(raw) or "@" in raw):
-                continue
-            left, right = a, b
-            while left < right and text[left] in _EDGE:
-                left += 1
-            while right > left and text[right - 1] in _EDGE:
-                right -= 1
-            if left == right:
+        features, follows, keys, tells = array("H"), array("b"), array("Q"), array("b")
+        before, adjacent = "^", False
+        for m, after in pairwise(chain(_TOKEN.finditer(text), [None])):
+            raw, (left, right) = m.group(), m.span()
+            core = ""
+            if _DIGIT.search(raw) or "@" in raw:
+                core = raw.strip(_EDGE)
+                left += len(raw) - len(raw.lstrip(_EDGE))
+            if not core:
+                before, adjacent = raw, False
                 continue
-            core = text[left:right]
+            told = after.group() if after else "$"
+            self.starts.append(left)
+            self.ends.append(left + len(core))
+            features.extend(_features(core, raw, before.lower(), told.lower()))
+            if with_words:
+                self.words.append((core, raw, before.lower(), told.lower()))
+            follows.append(adjacent)
             digits = _digits(core)
-            before = text[slice(*tokens[n - 1])].lower() if n else "^"
-            after = text[slice(*tokens[n + 1])].lower() if n + 1 < len(tokens) else "$"
-            k = len(self.spans)
-            self.spans.append((left, right))
-            self.words.append((core, raw, before, after))
-            self.features.append(_features(core, raw, before, after))
-            if last == n - 1:
-                chain.append((k - 1, k))
-            last = n
-            key = digits if len(digits) >= 6 else core.lower()
+            keys.append(xxhash.xxh64_intdigest((f"#{digits}" if len(digits) >= 6 else core.lower()).encode("utf-8", "surrogatepass")))
             tells.append(len(digits) >= 6 or "@" in core)
-            if key in seen:
-                skip.append((seen[key], k))
-            else:
-                seen[key] = k
+            before, adjacent = raw, True
+        n = len(self.starts)
+        self.features = np.frombuffer(features, "u2").reshape(n, PER_TOKEN) if n else np.empty((0, PER_TOKEN), "u2")
         self.tells = np.array(tells, bool)
-        self.chain = np.array(chain, "i8").reshape(-1, 2)
-        self.skip = np.array(skip, "i8").reshape(-1, 2)
+        second = np.flatnonzero(np.array(follows, bool))
+        self.chain = np.stack([second - 1, second], axis=1).astype("i4")
+        _, first, group = np.unique(np.array(keys, "u8"), return_index=True, return_inverse=True)
+        hub = first[group] if n else np.empty(0, "i8")
+        later = np.flatnonzero(hub != np.arange(n))
+        self.skip = np.stack([hub[later], later], axis=1).astype("i4")
+
+    @property
+    def spans(self) -> list[tuple[int, int]]:
+        return list(zip(self.starts, self.ends))
 
     def hang(self, labels) -> None:
         """Hang the skip edges of a value on its first labelled occurrence, so that all hear of it directly.
 
         Values that many things share (fewer than six digits and no at sign) lose theirs.
         """
+        import numpy as np
+
         self.skip = self.skip[self.tells[self.skip[:, 0]]]
-        for k in range(len(self.skip)):
-            hub, n = self.skip[k]
-            if labels[n] and not labels[hub]:
-                self.skip[self.skip[:, 0] == hub, 0] = n
-                self.skip[k] = n, hub
+        hub, who = self.skip[:, 0], self.skip[:, 1]
+        n = len(self.starts)
+        best = np.full(n, n, "i8")
+        told = (labels[who] > 0) & (labels[hub] == 0)
+        np.minimum.at(best, hub[told], who[told])
+        moved = best[hub] < n
+        new = np.where(moved, best[hub], hub)
+        self.skip = np.stack([new, np.where(who == new, hub, who)], axis=1).astype("i4")
 
 
 def _labels(doc: Document, spans: list[tuple[int, int, int]]):
     """0 for none, else 1 + kind of the base span that overlaps a token."""
     import numpy as np
 
-    out = np.zeros(len(doc.spans), "i8")
-    ends = [y for _, y in doc.spans]
+    out = np.zeros(len(doc.starts), "i8")
     for k, a, b in spans:
-        n = bisect_right(ends, a)
-        while n < len(ends) and doc.spans[n][0] < b:
+        n = bisect_right(doc.ends, a)
+        while n < len(out) and doc.starts[n] < b:
             out[n] = out[n] or k + 1
             n += 1
     return out
@@ -203,13 +215,13 @@ class Model:
 
         rows, ys, used, neighbours, at = [], [], [], [], 0
         for text in texts:
-            doc = Document(text)
-            if not doc.spans:
+            doc = Document(text, with_words=True)
+            if not len(doc.starts):
                 continue
             y = _labels(doc, base_spans(text))
             doc.hang(y)
             use = ~_unsure(doc, y)
-            rows += doc.features
+            rows.append(doc.features)
             ys.append(y)
             used.append(use)
             # (token, label beside, which table, direction)
@@ -221,7 +233,7 @@ class Model:
             again = np.flatnonzero(doc.tells & use)
             for k in again.tolist():
                 core, raw, *beside = doc.words[k]
-                rows += [_features(core.lstrip("+"), raw.lstrip("+"), *beside), [FEATURES - 1] * 10]
+                rows.append(np.array([_features(core.lstrip("+"), raw.lstrip("+"), *beside), [FEATURES - 1] * PER_TOKEN], "u2"))
                 neighbours += [(at + i, y[k], 1, way) for i in range(2) for way in range(2)]
                 at += 2
             ys.append(np.repeat(y[again], 2))
@@ -229,15 +241,15 @@ class Model:
         unary, pair = np.zeros((FEATURES, LABELS)), np.zeros((2, LABELS, LABELS))
         if not rows:
             return Model(unary, pair[0], pair[1])
-        x, y = np.array(rows), np.concatenate(ys)
+        x, y = np.concatenate(rows), np.concatenate(ys)
         n = np.array(neighbours, "i8").reshape(-1, 4)
         rnd, total = np.random.default_rng(seed), len(y)
         use = np.concatenate(used)
         weight = use / np.maximum(np.bincount(y[use], minlength=LABELS), 1)[y]
         weight /= weight.sum()
         for _ in range(epochs):
-            seen = (rnd.random(x.shape) > drop).astype("f8")
-            score = (unary[x] * seen[:, :, None]).sum(axis=1)
+            seen = rnd.random(x.shape) > drop
+            score = sum(unary[x[:, j]] * seen[:, j, None] for j in range(PER_TOKEN))
             first = n[:, 3] == 0
             extra = np.where(first[:, None], pair[n[:, 2], :, n[:, 1]], pair[n[:, 2], n[:, 1], :])
             np.add.at(score, n[:, 0], extra)
@@ -247,7 +259,8 @@ class Model:
             g[np.arange(total), y] += 1
             g *= weight[:, None] * LABELS
             up = np.zeros_like(unary)
-            np.add.at(up, x.ravel(), (g[:, None, :] * seen[:, :, None]).reshape(-1, LABELS))
+            for j in range(PER_TOKEN):
+                np.add.at(up, x[:, j], g * seen[:, j, None])
             side = np.zeros_like(pair)
             np.add.at(side, (n[first, 2], slice(None), n[first, 1]), g[n[first, 0]])
             np.add.at(side, (n[~first, 2], n[~first, 1]), g[n[~first, 0]])
@@ -255,76 +268,78 @@ class Model:
             pair += rate * 20 * (side - decay * pair)
         return Model(unary, pair[0], (pair[1] + pair[1].T) / 2)
 
-    def marginals(self, doc: Document, rounds: int = 500, damping: float = 0.3, known=None, close: float = 1e-6):
+    def marginals(self, doc: Document, rounds: int = 500, damping: float = 0.3, known=None, close: float = 1e-7):
         """Loopy belief propagation over chain and skip edges until messages change by less than `close`; known: labels, 0 where open."""
         import numpy as np
 
-        unary = self.unary[np.array(doc.features)].sum(axis=1)
+        belief = np.zeros((len(doc.starts), LABELS))
+        for j in range(PER_TOKEN):
+            belief += self.unary[doc.features[:, j]]
         if known is not None and known.any():
             sure = np.flatnonzero(known)
-            unary[sure] = -1e3
-            unary[sure, known[sure]] = 0.0
-        edges = np.concatenate([doc.chain, doc.skip])
-        if len(edges):
-            table = np.concatenate([np.repeat(self.transition[None], len(doc.chain), 0), np.repeat(self.skip[None], len(doc.skip), 0)])
-            src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-            psi = np.concatenate([table, table.transpose(0, 2, 1)])  # (from, to)
-            back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-            log_m = np.zeros((len(src), LABELS))
-            for _ in range(rounds):
-                belief = unary.copy()
-                np.add.at(belief, dst, log_m)
-                out = (belief[src] - log_m[back])[:, :, None] + psi
+            belief[sure] = -1e3
+            belief[sure, known[sure]] = 0.0
+        edges, cut = np.concatenate([doc.chain, doc.skip]), len(doc.chain)
+        n = len(edges)
+        src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+        tables = np.stack([self.transition, self.transition.T, self.skip, self.skip.T])  # (from, to)
+        log_m, active = np.zeros((2 * n, LABELS)), np.arange(2 * n)
+        for _ in range(rounds):
+            if not len(active):
+                break
+            moved, own = np.zeros(len(belief), bool), np.zeros(2 * n, bool)
+            for k in range(0, len(active), BLOCK_MESSAGES):
+                m = active[k : k + BLOCK_MESSAGES]
+                out = belief[src[m]] - log_m[(m + n) % (2 * n)]
+                out = out[:, :, None] + tables[2 * (m % n >= cut) + (m >= n)]
                 top = out.max(axis=1, keepdims=True)
                 new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
                 new -= new.max(axis=1, keepdims=True)
-                change = np.abs(new - log_m).max()
-                log_m = damping * log_m + (1 - damping) * new
-                if change < close:
-                    break
-            unary = unary.copy()
-            np.add.at(unary, dst, log_m)
-        p = np.exp(unary - unary.max(axis=1, keepdims=True))
+                change = (1 - damping) * (new - log_m[m])
+                log_m[m] += change
+                np.add.at(belief, dst[m], change)
+                big = np.abs(change).max(axis=1) >= close
+                own[m[big]] = True
+                moved[dst[m[big]]] = True
+            active = np.flatnonzero(own | moved[src])
+        p = np.exp(belief - belief.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: Model, sure: float) -> list[tuple[int, int, int]]:
     """(4 + kind, start, end) of what the CRF finds beside the base spans."""
+    import numpy as np
+
     if not (_DIGIT.search(text) or "@" in text):
         return []
     doc = Document(text)
-    if not doc.spans:
+    if not len(doc.starts):
         return []
     known = _labels(doc, base)
     doc.hang(known)
     p = model.marginals(doc, known=known)
+    label = p.argmax(axis=1)
     taken = Taken([(a, b) for _, a, b in base])
     out: list[tuple[int, int, int]] = []
     last = -2
-    for n, (a, b) in enumerate(doc.spans):
-        label = int(p[n].argmax())
-        if label and p[n, label] >= sure and taken.free(a, b):
-            if out and last == n - 1 and out[-1][0] == len(KINDS) + label - 1 and text[out[-1][2] : a].strip(" ()") == "":
-                out[-1] = (out[-1][0], out[-1][1], b)
+    for n in np.flatnonzero((label > 0) & (p.max(axis=1) >= sure)).tolist():
+        a, b, kind = doc.starts[n], doc.ends[n], len(KINDS) + int(label[n]) - 1
+        if taken.free(a, b):
+            if out and last == n - 1 and out[-1][0] == kind and text[out[-1][2] : a].strip(" ()") == "":
+                out[-1] = (kind, out[-1][1], b)
             else:
-                out.append((len(KINDS) + label - 1, a, b))
+                out.append((kind, a, b))
             last = n
     return sorted(out)
 
 
-def training_texts(docs: DataFrame, doc_id: str, text: str, train_docs: int) -> list[str]:
-    """The whole texts with candidates among about train_docs documents."""
-    some = sampled(docs.select(doc_id, text), train_docs, doc_id, text).select(F.col(text).alias("t"))
-    some = some.where(F.col("t").rlike("[0-9@]") & (F.char_length("t") < 20_000))
-    return sorted(r.t for r in some.limit(2 * train_docs).collect())
-
-
 SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
 
 
-def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", train_docs: int = 4000, sure: float = 0.98) -> DataFrame:
+def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", train_docs: int = 4000, train_chars: int = 8_000_000, sure: float = 0.98) -> DataFrame:
     """Spans of personal data of every whole text, as digests and as a list."""
-    model = docs.sparkSession.sparkContext.broadcast(Model.train(training_texts(docs, doc_id, text, train_docs)))
+    texts = training_texts(docs.where(F.col(text).rlike("[0-9@]")), doc_id, text, rows=train_docs, chars=train_chars)
+    model = docs.sparkSession.sparkContext.broadcast(Model.train(texts))
 
     def run(batches):
         import pyarrow as pa

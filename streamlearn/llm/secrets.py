@@ -5,7 +5,7 @@ random strings and one of ordinary identifiers and words, score every other toke
 log-likelihood ratio; tokens above a threshold give the added spans (markov).
 
 Both models are trained here from labelled samples: random strings are those the base rules find in at most
-`train_docs` documents (a documented bound, chosen by hash) and strings drawn uniformly from the usual
+`train_docs` whole documents of `train_chars` characters together (documented bounds, chosen by hash) and strings drawn uniformly from the usual
 alphabets; ordinary ones are made-up identifiers and the other tokens of those documents. Secrets that no rule finds
 are among those tokens, so a first model of identifiers and short tokens only scores the long ones, and those beyond
 its threshold that look dealt at random (letters, and many different characters) are kept out of the ordinary class.
@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Taken, sampled
+from .common import Taken, training_texts
 
 KINDS = ("assign", "access", "hex")
 ADDED = "markov"
@@ -157,7 +157,7 @@ class Model:
 def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], model: Model) -> list[list[tuple[int, int, int]]]:
     """Tokens of each text beyond the threshold that touch no base span."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    where, tokens = [], []
+    where, tokens, chars = [], [], 0
 
     def score():
         for (n, a, b), s in zip(where, model.scores(tokens)):
@@ -173,24 +173,20 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], model
             if taken.free(a, b):
                 where.append((n, a, b))
                 tokens.append(m.group())
-        if len(tokens) > 50_000:
-            score()
+                chars += b - a
+                if chars > 2_000_000:
+                    score()
+                    chars = 0
     score()
     return found
 
 
-def training_texts(docs: DataFrame, doc_id: str, text: str, train_docs: int) -> list[str]:
-    """The whole texts of about train_docs documents."""
-    some = sampled(docs.select(doc_id, text), train_docs, doc_id, text).select(F.col(text).alias("t"))
-    return sorted(r.t for r in some.where(F.char_length("t") < 20_000).limit(2 * train_docs).collect())
-
-
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_added bigint"
 
 
-def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", train_docs: int = 2000) -> DataFrame:
+def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", train_docs: int = 2000, train_chars: int = 8_000_000) -> DataFrame:
     """Spans of secrets of every whole text, as digests and as a list."""
-    model = docs.sparkSession.sparkContext.broadcast(Model.train(training_texts(docs, doc_id, text, train_docs)))
+    model = docs.sparkSession.sparkContext.broadcast(Model.train(training_texts(docs, doc_id, text, rows=train_docs, chars=train_chars)))
 
     def run(batches):
         import pyarrow as pa

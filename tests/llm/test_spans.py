@@ -8,10 +8,11 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from streamlearn.llm import pii, secrets
 from streamlearn.llm import queries as Q
-from streamlearn.llm.common import Taken
+from streamlearn.llm.common import Taken, training_texts
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -88,7 +89,7 @@ def test_crf_uses_skip_edges():
     t = document(rnd, [f"+1{n}", f"+1{n}", f"1{n}"])
     base = pii.base_spans(t)
     added = pii.added_spans(t, base, model, 0.5)
-    assert [t[a:b] for _, a, b in added] in ([f"1{n}"], [])
+    assert [t[a:b] for _, a, b in added] == [f"1{n}"]
     assert model.skip[4, 4] > model.skip[4, 0]
     alone = document(rnd, ["7."])
     assert pii.added_spans(alone, pii.base_spans(alone), model, 0.9) == []
@@ -126,6 +127,166 @@ def test_marginals_are_exact_on_a_tree():
     assert np.allclose(model.marginals(doc, rounds=60), want / want.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def plain_propagation(doc, model, known, rounds=400):
+    """Sum-product by dictionaries, a message at a time."""
+    import math
+
+    n = len(doc.starts)
+    unary = [[sum(model.unary[f][k] for f in doc.features[i]) for k in range(5)] for i in range(n)]
+    for i, y in enumerate(known):
+        if y:
+            unary[i] = [0.0 if k == y else -1e3 for k in range(5)]
+    pair = {}
+    for edges, table in ((doc.chain, model.transition), (doc.skip, model.skip)):
+        for a, b in edges.tolist():
+            pair.setdefault((a, b), []).append(table)
+            pair.setdefault((b, a), []).append(table.T)
+    links = [(a, b, t, c) for (a, b), tables in pair.items() for c, t in enumerate(tables)]
+    said = {(a, b, c): [0.0] * 5 for a, b, _, c in links}
+    for _ in range(rounds):
+        new = {}
+        for a, b, t, c in links:
+            held = [unary[a][k] + sum(m[k] for (x, y, d), m in said.items() if y == a and (x, d) != (b, c)) for k in range(5)]
+            out = [math.log(sum(math.exp(held[k] + t[k][j] - max(held)) for k in range(5))) for j in range(5)]
+            new[a, b, c] = [0.5 * u + 0.5 * (o - max(out)) for o, u in zip(out, said[a, b, c])]
+        said = new
+    out = []
+    for i in range(n):
+        e = [math.exp(unary[i][k] + sum(m[k] for (_, y, _), m in said.items() if y == i)) for k in range(5)]
+        out.append([x / sum(e) for x in e])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_marginals_on_loops(monkeypatch, seed):
+    import numpy as np
+
+    rnd = np.random.default_rng(seed)
+    t = " ".join(rnd.choice(["111222333", "+111222333", "44", "zz", "u@x.org", "55", "and"], 12))
+    doc = pii.Document(t)
+    known = np.where(rnd.random(len(doc.starts)) < 0.2, 4, 0)
+    doc.hang(known)
+    half = rnd.normal(size=(5, 5)) / 2
+    model = pii.Model(rnd.normal(size=(pii.FEATURES, 5)) / 3, rnd.normal(size=(5, 5)) / 2, half + half.T)
+    want = plain_propagation(doc, model, known)
+    assert np.allclose(model.marginals(doc, known=known), want, atol=1e-5)
+    monkeypatch.setattr(pii, "BLOCK_MESSAGES", 3)
+    assert np.allclose(model.marginals(doc, known=known), want, atol=1e-5)
+
+
+def test_values_hang_on_their_first_labelled_occurrence():
+    import numpy as np
+
+    doc = pii.Document("123456789 7 x 123456789 123456789 7 a@b a@b")
+    doc.hang(np.array([0, 0, 4, 4, 0, 0, 0]))
+    assert sorted(map(tuple, doc.skip.tolist())) == [(2, 0), (2, 3), (5, 6)]
+
+
+def test_long_texts_take_bounded_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from streamlearn.llm import pii
+model = pii.Model.train(["call +1 555 123 4567 or 5551234567 at noon, mail a@b.org"] * 20)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+t = " ".join(f"{i % 5003}5550{i % 89}" for i in range(300_000)) + " +1 988 555 2485"
+pii.added_spans(t, pii.base_spans(t), model, 0.98)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr
+    assert float(out.stdout) < 400  # 300,000 tokens
+
+
+def test_training_texts(spark):
+    long = "1" * 50_000
+    rows = [(1, "a 1"), (1, "a 1"), (2, long), (None, "b 2"), (3, None), (4, ""), *[(9, "c 3")] * 500]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, h string").repartition(5)
+    assert training_texts(docs, "doc_id", "text", rows=600, chars=60_000) == sorted(["a 1", long, "b 2", "", "c 3"])
+    assert long not in training_texts(docs, "doc_id", "text", rows=600, chars=40_000)
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    some = training_texts(many, "doc_id", "text", rows=100, chars=10**6)
+    assert len(some) == 100 == len(set(some)) and some == training_texts(many.repartition(7), "doc_id", "text", rows=100, chars=10**6)
+    assert training_texts(many.where("doc_id < 0"), "doc_id", "text", rows=100, chars=10**6) == []
+
+
+def test_scores_are_the_likelihood_ratio():
+    import math
+
+    import numpy as np
+
+    rnd = random.Random(1)
+    a, b = (["".join(rnd.choices(alphabet, k=20)) for _ in range(50)] for alphabet in ("abc", "bcdXY_9"))
+    size = len(secrets.ALPHABET) + 1
+
+    def plain(tokens):
+        three, two, one = ({} for _ in range(3))
+        for t in tokens:
+            for x, y, z in zip("\0\0" + t, "\0" + t, t):
+                for table, k in ((three, (x, y, z)), (two, (y, z)), (one, z)):
+                    table[k] = table.get(k, 0) + 1
+        every = sum(one.values()) + 0.5 * size
+
+        def log_p(x, y, z):
+            p1 = (one.get(z, 0) + 0.5) / every
+            seen = {k: v for k, v in two.items() if k[0] == y}
+            p2 = (two.get((y, z), 0) + 4 * p1) / (sum(seen.values()) + 4)
+            seen = {k: v for k, v in three.items() if k[:2] == (x, y)}
+            return math.log((three.get((x, y, z), 0) + 4 * p2) / (sum(seen.values()) + 4))
+
+        return lambda t: sum(log_p(x, y, z) for x, y, z in zip("\0\0" + t, "\0" + t, t))
+
+    model = secrets.Model(secrets.Model.log_model(a) - secrets.Model.log_model(b), 0.0)
+    asked, pa, pb = a[:5] + b[:5] + ["cab_9Xzz"], plain(a), plain(b)
+    assert np.allclose(model.scores(asked), [pa(t) - pb(t) for t in asked])
+
+
+def test_planted_secrets_through_the_query(spark, sf_dir, tmp_path):
+    rnd = random.Random(12)
+    base = [(r.doc_id, r.text) for r in Q.read(spark, sf_dir, "documents").collect()]
+    rows, planted = [], {}
+    for n, (i, t) in enumerate(base):
+        if t and n % 4 == 0:
+            k = "".join(rnd.choices(secrets.ALPHABET[:62], k=rnd.choice((24, 32, 40))))
+            w = t.split(" ")
+            w.insert(rnd.randrange(len(w) + 1), k)
+            t = " ".join(w)
+            planted[i] = (t.index(k), t.index(k) + len(k))
+        rows.append((i, t))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("markov")] for r in Q.op10_secrets(spark, str(tmp_path)).collect()}
+    hit = sum(span in got[i] for i, span in planted.items())
+    extra = sum(len(v) for v in got.values()) - hit
+    assert hit >= 0.97 * len(planted) and extra <= 0.01 * len(rows)
+
+
+def test_planted_bare_repeats_through_the_query(spark, sf_dir, tmp_path):
+    rnd = random.Random(13)
+    base = [(r.doc_id, r.text) for r in Q.read(spark, sf_dir, "documents").collect()]
+    rows, planted = [], {}
+    for n, (i, t) in enumerate(base):
+        if t and n % 4 == 0:
+            k = f"1{rnd.randint(2000000000, 9899999999)}"
+            t = f"call +{k} now\n{t}\nor again {k} at noon"
+            at = t.rindex(k)
+            planted[i] = (at, at + len(k))
+        rows.append((i, t))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("crf_")] for r in Q.op2_pii(spark, str(tmp_path)).collect()}
+    hit = sum(span in got[i] for i, span in planted.items())
+    extra = sum(len(v) for v in got.values()) - hit
+    assert hit >= 0.9 * len(planted) and extra <= 0.02 * len(rows)
+
+
+@pytest.mark.parametrize("find", [pii.find_pii, secrets.find_secrets])
+def test_clashing_columns(odd_docs, find):
+    names = {"pos": "spans", "h1": "n_added", "size": "h", "lang": "base_sha256"}
+    one, two = find(odd_docs), find(odd_docs.withColumnsRenamed(names))
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
+
+
 def test_markov_finds_keys_and_spares_words(spark, sf_dir):
     texts = [r.text for r in Q.read(spark, sf_dir, "documents").collect() if r.text]
     model = secrets.Model.train(texts[::2])
