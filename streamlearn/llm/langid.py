@@ -1,6 +1,6 @@
 """Language of mixed texts: scripts narrow the candidates, a Viterbi path over words labels spans.
 
-A word is a run of letters. The script of its first letter picks the candidate languages (those that had at least
+A word is a letter and the letters and combining marks after it. The script of its first letter picks the candidate languages (those that had at least
 `script_share` of their training letters in it; all, if none had). Each candidate scores the word by the log
 probabilities of its character trigrams (with a border at both ends), hashed into a fixed number of cells. A switch
 of language costs `penalty` nats; the best path over the whole document labels every word, and runs of words with one
@@ -21,16 +21,16 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sampled
 
 CELLS = 1 << 15
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Last code point of a stretch and its script; fixed values of the Unicode blocks.
 SCRIPT_RANGES = (
     (0x24F, "latin"), (0x2FF, "latin"), (0x36F, "mark"), (0x3FF, "greek"), (0x52F, "cyrillic"), (0x58F, "armenian"),
@@ -127,8 +127,8 @@ class Labeller:
             if len(self.memo) + len(unseen) > self.keep:
                 unseen = {w for ws in lists for w in ws}
             self._learn(unseen)
-        for text, words in zip(texts, lists):
-            if not words or not any(map(str.isalpha, text)):  # signs such as fractions are no letters
+        for words in lists:
+            if not words:
                 yield None, 0.0, None, words
                 continue
             s = self.scores[np.array([self.memo[w] for w in words])]
@@ -180,7 +180,7 @@ def viterbi(s, penalty: float):
 
 def train(docs: DataFrame, *, doc_id: str, text: str, lang: str, train_docs: int, penalty: float, script_share: float) -> Model:
     usable = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("i").isNotNull() & F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("i")))
-    some = sampled(usable, train_docs, "i", "t").select("l", "t")
+    some = sampled(usable, train_docs, "i").select("l", "t")
 
     def count(batches):
         import numpy as np

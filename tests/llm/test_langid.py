@@ -68,3 +68,60 @@ def test_two_halves_beat_a_third_language():
     s[:3, 0], s[3:, 1], s[:3, 1], s[3:, 0] = 3, 3, -9, -9  # 9 nats for each half, c has the best total
     assert list(label.path(s)) == [0, 0, 0, 1, 1, 1]
     assert label.path(np.where(s > 0, 1.0, s)) == 2
+
+
+def test_words_keep_their_vowel_signs():
+    assert L._WORD.findall("\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e, \u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22 \u0301x e\u0301te\u0301 a_b 1\u00bd") == ["\u0939\u093f\u0928\u094d\u0926\u0940", "\u092d\u093e\u0937\u093e", "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22", "x", "e\u0301te\u0301", "a", "b"]
+
+
+def plain_counts(rows):
+    """Trigrams and letters of each language's words, by dictionaries."""
+    import unicodedata
+    from collections import Counter
+
+    grams, letters = {}, {}
+    for text, lang in rows:
+        word = ""
+        for c in text.lower() + " ":
+            kind = unicodedata.category(c)[0]
+            if kind == "L" or (word and kind == "M"):
+                word += c
+                continue
+            if word:
+                padded = f" {word} "
+                grams.setdefault(lang, Counter()).update(padded[k : k + 3] for k in range(len(word)))
+                letters.setdefault(lang, Counter())[L.script(word[0])] += len(word)
+            word = ""
+    return grams, letters
+
+
+def test_counts_and_labels_against_plain_python(spark):
+    rnd = np.random.default_rng(3)
+    words = {"en": "the cat sat on a mat with their dog".split(), "hi": "\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e \u092e\u0947\u0902 \u0932\u093f\u0916\u093e".split(), "ru": "\u043a\u043e\u0442 \u0441\u0438\u0434\u0435\u043b \u043d\u0430 \u043a\u043e\u0432\u0440\u0435 \u0438".split()}
+    rows = [(n, " ".join(rnd.choice(words[g], 30)), g) for n, g in enumerate(list(words) * 15)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = L.train(docs, doc_id="doc_id", text="text", lang="lang", train_docs=4000, penalty=12.0, script_share=0.01)
+    grams, letters = plain_counts([(t, g) for n, t, g in rows if zlib.crc32(str(n).encode()) % 4 != 2])
+    assert model.languages == sorted(grams)
+    assert model.scripts == {"latin": [0], "devanagari": [1], "cyrillic": [2]} and set(letters) == set(grams)
+    for k, g in enumerate(model.languages):
+        seen = np.zeros(L.CELLS)
+        for x, n in grams[g].items():
+            # the cell of a trigram is that of the only one of a one-letter word, or of the middle ones
+            at, begin = L.cells([x.strip() or "x"]) if len(x.strip()) == 1 else L.cells([x[1:].strip() if x[0] == " " else x[:-1].strip() if x[2] == " " else x])
+            seen[at[0] if len(x.strip()) == 1 or x[0] == " " else at[-1] if x[2] == " " else at[1]] += n
+        assert np.allclose(model.log_p[:, k], np.log((seen + 0.3) / (seen.sum() + 0.3 * L.CELLS)))
+    # a text of halves is labelled as the best path over all its words
+    mixed = " ".join([*rnd.choice(words["en"], 20), *rnd.choice(words["hi"], 9), *rnd.choice(words["ru"], 12)])
+    (lang, score, labels, found), = L.Labeller(model).texts([mixed])
+    assert lang == "en" and found == mixed.split() and 0 < score < 1
+    assert labels.tolist() == [0] * 20 + [1] * 9 + [2] * 12
+
+
+def test_very_long_and_clashing(spark, odd_docs):
+    long = "the cat sat on the mat " * 200_000
+    rows = [(1, "the cat sat on the mat", "en"), (2, "le chat est sur le tapis", "fr"), (3, long, "en")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, lang string, spans string, held_out int")
+    out = {r.doc_id: r.lang_pred for r in L.identify(docs).collect()}
+    assert out[3] == out[1]
+    assert L.identify(odd_docs).count() == odd_docs.count()
