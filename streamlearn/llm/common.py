@@ -46,11 +46,11 @@ def sampled(docs: DataFrame, rows: int, *key: str) -> DataFrame:
     return docs.where(_chance(*map(F.col, key)) < int(share * (1 << 30)))
 
 
-def training_texts(docs: DataFrame, doc_id: str, text: str, *, rows: int, chars: int) -> list[str]:
+def training_texts(docs: DataFrame, doc_id: str, text: str, *, rows: int, chars: int, holding: str | None = None) -> list[str]:
     """Whole texts of a sample of at most `rows` different documents (doc_id, text) and `chars` characters in all.
 
     Documents are taken in the order of a hash of doc_id (of the text, where that is null); one that does not fit into
-    what is left of `chars` is passed over. Repeated rows count once, whatever their number; sorted by text.
+    what is left of `chars` is passed over, as is what does not hold the pattern. Repeated rows count once, whatever their number; sorted by text.
     """
     i, t = F.col(doc_id), F.col(text)
     total = docs.count()
@@ -58,6 +58,7 @@ def training_texts(docs: DataFrame, doc_id: str, text: str, *, rows: int, chars:
     # the text is read and hashed only where there is no doc_id, and for what is chosen
     chance = F.when(i.isNotNull(), _chance(i)).otherwise(_chance(t))
     some = docs.where(chance < int(share * (1 << 30))).where(t.isNotNull()).select(chance.alias("c"), F.xxhash64(i, t).alias("h"), t.alias("t"))
+    some = some.where(F.col("t").rlike(holding)) if holding else some
     order = some.groupBy("c", "h").agg(F.max(F.char_length("t")).alias("n")).orderBy("c", "h").limit(rows).collect()
     chosen, left = [], chars
     for r in order:

@@ -338,7 +338,7 @@ SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone big
 
 def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", train_docs: int = 4000, train_chars: int = 8_000_000, sure: float = 0.98) -> DataFrame:
     """Spans of personal data of every whole text, as digests and as a list."""
-    texts = training_texts(docs.where(F.col(text).rlike("[0-9@]")), doc_id, text, rows=train_docs, chars=train_chars)
+    texts = training_texts(docs, doc_id, text, rows=train_docs, chars=train_chars, holding="[0-9@]")
     model = docs.sparkSession.sparkContext.broadcast(Model.train(texts))
 
     def run(batches):
