@@ -1,9 +1,11 @@
 """Line deduplication (DataFrame operations only).
 
 Method: the 128-bit hash of every line's key is dealt out by range over (hash, document) with a secondary sort by
-document and position, so one very common line is spread over many tasks. Each task streams its sorted run and sums
-it up to one row per hash; those sums meet in a second, small exchange, which knows for each hash the number of
-documents and its first occurrence. What comes back is a run-length coded keep bitmap per document, never text.
+document and position, so one very common line is spread over many tasks. Each task streams its sorted run, in which
+the first occurrence of a line in a document is plain, and is written once. Sums of these runs (a row for each task
+and hash) meet in a second exchange, which knows for each hash the number of documents and its first occurrence. The
+hashes that drop lines go back to the runs: broadcast if there are few, else joined by (run, hash), so that a common
+line stays spread over its runs. What comes back is a run-length coded keep bitmap per document, never text.
 
 Defined results: a null text counts as empty and has one empty line; a key shorter than `min_chars` never drops.
 A document is a distinct (doc_id, text): repeated rows count once and each of them gets the same bitmap; null
@@ -14,11 +16,14 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WS, hash_pair, let, staged
 
+#: Most common lines (32 to 64 bytes each) that are broadcast; beyond it they are joined by an exchange.
+MAX_BROADCAST_LINES = 500_000
+
 
 def _text(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
@@ -54,20 +59,25 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     lines = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("text_hash"), F.posexplode(_keys(t)).alias("pos", "key"))
     h1, h2 = hash_pair(F.col("key"))
     lines = lines.where(F.char_length("key") >= min_chars).select(h1.alias("h1"), h2.alias("h2"), "doc_id", "text_hash", "pos")
-    lines = staged(lines, "line-hashes")  # read four times below, texts once
     by_doc = ["h1", "h2", "doc_id", "text_hash"]
     ranged = lines.repartitionByRange(*by_doc).sortWithinPartitions(*by_doc, "pos")
-    # the range over by_doc already brings a document's equal lines together: no exchange here
-    per_doc = ranged.groupBy(*by_doc).agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
-    first = F.min(F.struct("doc_id", "text_hash", "pos")).alias("first")
-    groups = per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n"), first)
+    # the range over by_doc brings a document's equal lines together and in order: no exchange and no sort here
+    first_in_doc = F.row_number().over(Window.partitionBy(*by_doc).orderBy("pos")) == 1
+    runs = staged(ranged.withColumns({"first": first_in_doc, "run": F.spark_partition_id()}), "line-runs")
+    n_docs = F.count_if("first").alias("n_docs")
     if keep_first:
-        common = groups.where((F.col("n_docs") >= min_docs) & (F.col("n") > 1))
+        groups = runs.groupBy("h1", "h2").agg(n_docs, F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("at"))
+        common = groups.where((F.col("n_docs") >= min_docs) & (F.col("n") > 1)).select("h1", "h2", "at")
+    else:
+        common = runs.groupBy("h1", "h2").agg(n_docs).where(F.col("n_docs") >= min_docs).select("h1", "h2")
+    common = staged(common, "line-common")
+    if common.limit(MAX_BROADCAST_LINES + 1).count() <= MAX_BROADCAST_LINES:
+        drops = runs.join(F.broadcast(common), ["h1", "h2"])
     else:
-        common = groups.where(F.col("n_docs") >= min_docs)
-    drops = ranged.join(common.select("h1", "h2", "first"), ["h1", "h2"])
+        held = runs.select("run", "h1", "h2").distinct().join(common, ["h1", "h2"])
+        drops = runs.join(held, ["run", "h1", "h2"])
     if keep_first:
-        drops = drops.where(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
+        drops = drops.where(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("at")))
     # repeated rows of one document bring the same position several times
     return drops.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 

@@ -8,10 +8,15 @@ LINE_DEDUP = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
   l AS (SELECT r, doc_id, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
   k AS (SELECT *, translate(trim(line, {_WS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-  common AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT (doc_id, t)) >= 10)
-SELECT k.doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (common.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN common ON common.key = k.key GROUP BY k.r, k.doc_id
+  common AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT (doc_id, t)) >= 10),
+  m AS (SELECT k.*, common.key IS NOT NULL AS gone FROM k LEFT JOIN common ON common.key = k.key),
+  s AS (SELECT *, gone <> lag(gone, 1, false) OVER (PARTITION BY r ORDER BY pos) AS turned FROM m),
+  b AS (SELECT r, run, count(*) AS n FROM (SELECT r, sum(turned::INT) OVER (PARTITION BY r ORDER BY pos) AS run FROM s) GROUP BY r, run),
+  e AS (SELECT r, max(run) AS last FROM b GROUP BY r),
+  c AS (SELECT e.r, string_agg(coalesce(b.n, 0), ',' ORDER BY g.run) AS keep_runs FROM (SELECT r, last, unnest(range(0, (last + 1 + last % 2)::BIGINT)) AS run FROM e) g JOIN e ON e.r = g.r LEFT JOIN b ON b.r = g.r AND b.run = g.run GROUP BY e.r)
+SELECT m.doc_id, count(*) AS n_lines, count_if(gone) AS n_dropped, any_value(keep_runs) AS keep_runs,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m JOIN c ON c.r = m.r GROUP BY m.r, m.doc_id
 """
 
 _RISK, _ALPHA, _GRID, _COST = 0.05, 0.05, 32, 5

@@ -56,7 +56,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(read(spark, sf_dir, "documents"), min_chars=1, min_docs=10)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(linededup.kept_text(F.col("text"), F.col("keep_runs")), 256).alias("kept_sha256"))
+    runs = F.array_join("keep_runs", ",")  # lengths of kept and dropped runs in turn, the first kept
+    return out.select("doc_id", "n_lines", "n_dropped", runs.alias("keep_runs"), F.sha2(linededup.kept_text(F.col("text"), F.col("keep_runs")), 256).alias("kept_sha256"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from streamlearn.llm import linededup, quality, sharding
 from streamlearn.llm import queries as Q
+from streamlearn.plans.shared import staged as real
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -42,8 +43,10 @@ def brute_counts(t):
     return len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t), len(lines) - len(set(lines)), len(inside)
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
 @pytest.mark.parametrize("min_docs", [2, 4])
-def test_line_dedup_odd(odd_docs, min_docs):
+def test_line_dedup_odd(odd_docs, min_docs, broadcast, monkeypatch):
+    monkeypatch.setattr(linededup, "MAX_BROADCAST_LINES", broadcast)
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     out = linededup.line_dedup(odd_docs, min_docs=min_docs)
     got = Counter((r.doc_id, r.n_lines, r.n_dropped, sha(r.kept)) for r in out.withColumn("kept", linededup.kept_text(F.col("text"), F.col("keep_runs"))).collect())
@@ -65,8 +68,32 @@ def test_line_dedup_keeps_first(spark):
 
 def test_line_dedup_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in Q.read(spark, sf_dir, "documents").collect()]
-    got = Counter(tuple(r)[:4] for r in Q.op9_line_dedup(spark, sf_dir).collect())
-    assert got == brute_lines(rows, 10)
+    out = Q.op9_line_dedup(spark, sf_dir).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in out) == brute_lines(rows, 10)
+    texts = dict(rows)
+    for r in out:  # the bitmap says which lines those are
+        keep = [n % 2 == 0 for n, k in enumerate(map(int, r.keep_runs.split(","))) for _ in range(k)]
+        lines = (texts[r.doc_id] or "").split("\n")
+        assert len(keep) == len(lines) == r.n_lines and keep.count(False) == r.n_dropped
+        assert sha("\n".join(x for x, k in zip(lines, keep) if k)) == r.kept_sha256
+
+
+def test_common_lines_stay_spread(spark, monkeypatch):
+    """One line of a third of all documents: no task of the join reads all of it."""
+    monkeypatch.setattr(linededup, "MAX_BROADCAST_LINES", 0)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 3 == 0, "common\n").otherwise(""), F.lit("line "), "id").alias("text"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        staged = []
+        monkeypatch.setattr(linededup, "staged", lambda df, name: (staged.append(real(df, name)), staged[-1])[1])
+        out = linededup.line_dedup(docs)
+        assert out.where("n_dropped = 1").count() == 2000 and out.where("n_dropped = 0").count() == 4000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    runs = staged[0].groupBy("run").count().collect()
+    assert max(r["count"] for r in runs) < 8000 / 4
 
 
 def test_empty(spark, empty_docs):
