@@ -59,6 +59,7 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     lines = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("text_hash"), F.posexplode(_keys(t)).alias("pos", "key"))
     h1, h2 = hash_pair(F.col("key"))
     lines = lines.where(F.char_length("key") >= min_chars).select(h1.alias("h1"), h2.alias("h2"), "doc_id", "text_hash", "pos")
+    lines = staged(lines, "line-hashes")  # dealing out by range reads its input twice; the texts are read once
     by_doc = ["h1", "h2", "doc_id", "text_hash"]
     ranged = lines.repartitionByRange(*by_doc).sortWithinPartitions(*by_doc, "pos")
     # the range over by_doc brings a document's equal lines together and in order: no exchange and no sort here
