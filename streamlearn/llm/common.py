@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import shared_dir, staged
 
-__all__ = ["SECOND_SEED", "WS", "WS_CLASS", "Numbered", "Taken", "hash_pair", "let", "read", "sampled", "shared_dir", "staged", "training_texts"]
+__all__ = ["SECOND_SEED", "WS", "WS_CLASS", "Numbered", "Taken", "bit_table", "hash_pair", "let", "read", "sampled", "shared_dir", "staged", "training_texts"]
 
 #: The white space that separates words, as a Python string and inside a regex class.
 WS = " \t\n\x0b\x0c\r"
@@ -70,6 +70,18 @@ def training_texts(docs: DataFrame, doc_id: str, text: str, *, rows: int, chars:
     return sorted(r.t for r in some.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).select("t").collect())
 
 
+def bit_table(positions: DataFrame, bits: int):
+    """A table of `bits` bits (in words of 64) in which those of the column `bit` are set; its size is fixed by `bits`."""
+    import numpy as np
+
+    word, bit = F.call_function("shiftright", "bit", F.lit(6)), F.pmod("bit", F.lit(64)).cast("int")
+    words = positions.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    got = words.toArrow()  # bits / 64 rows at most
+    table = np.zeros(bits // 64, "i8")
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return table
+
+
 class Taken:
     """Which stretches of a text are taken by spans."""
 

@@ -32,7 +32,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SECOND_SEED, WS_CLASS, Numbered, staged
+from .common import SECOND_SEED, WS_CLASS, Numbered, bit_table, staged
 
 SHINGLE_WORDS = 5
 #: bands x rows registers: at a J_P of 0.8 a pair shares no band with probability 5e-8; a high J alone promises nothing.
@@ -331,11 +331,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     import numpy as np
 
-    bits = wanted.select(F.explode(_filter_bits(F.col("node"))).alias("bit"))
-    words = bits.groupBy(F.call_function("shiftright", "bit", F.lit(6)).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
-    got = words.toArrow()  # FILTER_BITS / 64 rows at most
-    table = np.zeros(FILTER_BITS // 64, "i8")
-    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    table = bit_table(wanted.select(F.explode(_filter_bits(F.col("node"))).alias("bit")), FILTER_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterable) -> Iterator:
