@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterable
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import shared_dir, staged
 
-__all__ = ["SECOND_SEED", "WS", "WS_CLASS", "Numbered", "Taken", "bit_table", "hash_pair", "let", "read", "sampled", "shared_dir", "staged", "training_texts"]
+__all__ = ["SECOND_SEED", "WS", "WS_CLASS", "Coded", "Taken", "bit_table", "hash_pair", "let", "read", "sampled", "shared_dir", "staged", "training_texts"]
 
 #: The white space that separates words, as a Python string and inside a regex class.
 WS = " \t\n\x0b\x0c\r"
@@ -100,29 +99,24 @@ class Taken:
         return k == 0 or self.ends[k - 1] <= a
 
 
-class Numbered(dict):
-    """Numbers strings as they come; `made` gives a value for each new one, kept in typed arrays. Bounded by `keep`.
+class Coded(dict):
+    """Codes of strings, made once each by `made` (below 2^64) and kept; bounded by `keep`.
 
     Looking strings up by the mapping itself learns the unknown ones, so a block of tokens is one C-speed pass.
     """
 
-    def __init__(self, made: Callable[[str], tuple[int, ...]], codes: str, keep: int):
+    def __init__(self, made: Callable[[str], int], keep: int):
         super().__init__()
-        self.made, self.codes, self.keep = made, codes, keep
-        self.columns = [array(c) for c in codes]
+        self.made, self.keep = made, keep
 
     def __missing__(self, token: str) -> int:
-        number = self[token] = len(self)
-        for column, value in zip(self.columns, self.made(token)):
-            column.append(value)
-        return number
+        code = self[token] = self.made(token)
+        return code
 
-    def values_of(self, tokens: Iterable[str], n: int) -> list:
-        """An array of each column's values for the n tokens."""
+    def of(self, tokens: Iterable[str], n: int):
+        """An array of the n tokens' codes."""
         import numpy as np
 
         if len(self) > self.keep:
             self.clear()
-            self.columns = [array(c) for c in self.codes]
-        at = np.fromiter(map(self.__getitem__, tokens), "i8", n)
-        return [np.frombuffer(c, c.typecode)[at] if len(c) else np.empty(0, c.typecode) for c in self.columns]
+        return np.fromiter(map(self.__getitem__, tokens), "u8", n)

@@ -37,7 +37,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbered, bit_table, staged
+from .common import Coded, bit_table, staged
 
 WINDOW, MIN_TOKENS, MIN_WORDS = 8, 5, 3
 #: Most characters of benchmark text that are broadcast.
@@ -67,22 +67,23 @@ class Templates:
 
         self.find = re.compile(r"[.!?:;\n]|\d+(?:[.,]\d+)*|[^\W\d_]+|\w+").findall
         self.units = frozenset(UNITS.split())
-        self.tokens = Numbered(self._token, "bQ", keep)
+        self.tokens = Coded(self._token, keep)
 
-    def _token(self, t: str) -> tuple[int, int]:
-        """Kind and hash of a token."""
+    def _token(self, t: str) -> int:
+        """Hash of a token, with its kind in the last three bits."""
         import xxhash
 
         c, low = t[0], t.lower()
         kind = _LINE if c == "\n" else _MARK if c in ".!?:;" else _NUM if c.isdigit() else _UNIT if low in self.units else _CAPITAL if c.isupper() else _WORD
-        return kind, xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
+        return (xxhash.xxh64_intdigest(low) & -8) | kind
 
     def __call__(self, texts: list[str]) -> tuple[View, View, tuple]:
         import numpy as np
 
         lists = [self.find(t) for t in texts]
         size = [len(x) for x in lists]
-        kinds, raws = self.tokens.values_of(chain.from_iterable(lists), sum(size))
+        codes = self.tokens.of(chain.from_iterable(lists), sum(size))
+        kinds, raws = (codes & np.uint64(7)).astype("i1"), codes >> np.uint64(3)
         starts = np.concatenate([[0], np.cumsum(size)]).astype("i8")
         starts = starts[:-1][starts[:-1] < len(kinds)]
         before = np.concatenate([[_MARK], kinds[:-1]]) if len(kinds) else kinds

@@ -32,7 +32,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SECOND_SEED, WS_CLASS, Numbered, bit_table, staged
+from .common import SECOND_SEED, WS_CLASS, Coded, bit_table, staged
 
 SHINGLE_WORDS = 5
 #: bands x rows registers: at a J_P of 0.8 a pair shares no band with probability 5e-8; a high J alone promises nothing.
@@ -62,11 +62,11 @@ class Shingler:
         self.words = re.compile(rf"[^{WS_CLASS}]+").findall
         ends = re.compile(r"^\W+|\W+$")
 
-        def number(word: str) -> tuple[int]:
+        def code(word: str) -> int:
             low = word.lower()
-            return (xxhash.xxh64_intdigest((ends.sub("", low) or low).encode("utf-8", "surrogatepass")),)
+            return xxhash.xxh64_intdigest(low if low.isalnum() else ends.sub("", low) or low)
 
-        self.hashes = Numbered(number, "Q", _WORDS_KEPT)
+        self.hashes = Coded(code, _WORDS_KEPT)
 
     def __call__(self, text: str):
         """Distinct shingle hashes in order, and their counts."""
@@ -75,7 +75,7 @@ class Shingler:
         words = self.words(text)
         if not words:
             return np.empty(0, "u8"), np.empty(0, "f8")
-        (h,) = self.hashes.values_of(words, len(words))
+        h = self.hashes.of(words, len(words))
         n = max(1, len(h) - SHINGLE_WORDS + 1)
         out = np.zeros(n, "u8")
         for i in range(min(SHINGLE_WORDS, len(h))):
