@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import shared_dir, staged
 
-__all__ = ["SECOND_SEED", "WS", "WS_CLASS", "Coded", "Taken", "bit_table", "hash_pair", "let", "read", "sampled", "shared_dir", "staged", "training_texts"]
+__all__ = ["SECOND_SEED", "WS", "WS_CLASS", "Coded", "Taken", "bit_table", "hash_pair", "let", "read", "sampled", "shared_dir", "spread_join", "staged", "training_texts"]
 
 #: The white space that separates words, as a Python string and inside a regex class.
 WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"\x20\x09-\x0D"
 #: Mixed in front of a value to get a second, independent 64-bit hash of it.
 SECOND_SEED = 0x5DEECE66D
+#: A key is hot if it has more than one of so many rows; there are at most as many hot keys.
+HOT_SHARE = 2048
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -69,6 +71,24 @@ def training_texts(docs: DataFrame, doc_id: str, text: str, *, rows: int, chars:
     return sorted(r.t for r in some.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).select("t").collect())
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """rows left-joined with table (a row for each key; keys are not null), without a task that gets all rows of a hot key.
+
+    The column n of table is the number of rows with its key, or an upper bound of it. Hot keys, at most HOT_SHARE of
+    them, are broadcast; rows that have found theirs go on under a key of their own. table is read three times and should
+    be written.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    values = [c for c in table.columns if c != key]
+    hot, given = F.col(n) * HOT_SHARE > total, F.struct(*values)
+    few = F.broadcast(table.where(hot).select(key, given.alias("__hot")))
+    far = table.where(~hot).select(F.col(key).alias("__key"), F.lit(0).alias("__zero"), given.alias("__cold"))
+    one = rows.join(few, key, "left").withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)).cast("int")))
+    out = one.join(far, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__zero")), "left")
+    found = F.coalesce("__hot", "__cold")
+    return out.select(*rows.columns, *[found[c].alias(c) for c in values])
+
+
 def bit_table(positions: DataFrame, bits: int):
     """A table of `bits` bits (in words of 64) in which those of the column `bit` are set; its size is fixed by `bits`."""
     import numpy as np

@@ -14,7 +14,8 @@ compared with each other without leaving their task: 1 - J_P and 1 - J are metri
 to the leader differ by at most 1 - threshold can be similar, and of those only pairs whose signatures, first short
 and then long ones, agree in so many registers that a similar pair is missed with a probability under 1e-6, are verified exactly.
 A task joins what it links at once and skips pairs already joined, so it returns fewer links than it has members.
-Large groups are compared in blocks by many tasks. Classes are the connected components of all links, found with alternating large-star and
+Large groups are compared in blocks by many tasks. Joins on buckets, leaders, classes and texts spread the rows of hot
+keys. Classes are the connected components of all links, found with alternating large-star and
 small-star steps on distributed tables.
 
 Equal texts are one node (the MD5 of the text) from the start, so copies cost a row each and no pairs.
@@ -32,15 +33,16 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SECOND_SEED, WS_CLASS, Coded, bit_table, staged
+from .common import SECOND_SEED, WS_CLASS, Coded, bit_table, spread_join, staged
 
 SHINGLE_WORDS = 5
 #: bands x rows registers: at a J_P of 0.8 a pair shares no band with probability 5e-8; a high J alone promises nothing.
 BANDS, ROWS = 32, 4
 #: Pairs of one leader verified by one task.
 PAIRS_A_TASK = 512
-#: Shingles of the members of one leader compared by one task with as many others.
-BLOCK_SHINGLES = 250_000
+#: Shingles of the members of one leader compared by one task with as many others; a member goes to as many tasks as
+#: its leader has blocks.
+BLOCK_SHINGLES = 1_500_000
 #: Registers of the long signatures, and standard deviations below the threshold that still pass.
 LONG, DEVIATIONS = 512, 5.0
 #: Bits of the fixed-size filter of wanted texts (8 MB).
@@ -195,8 +197,8 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """lead, node and their distances d_p = 1 - J_P and d_j = 1 - J. A leader's set goes once to each task that verifies its pairs."""
-    many = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
-    salted = pairs.join(many, "lead").select("lead", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PAIRS_A_TASK)).alias("salt"))
+    many = staged(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n")), "minhash-many")
+    salted = spread_join(pairs, many, "lead", "n").select("lead", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PAIRS_A_TASK)).alias("salt"))
     salted = staged(salted, "minhash-pairs")
     members = salted.select("node", "lead", "salt", F.lit(1).alias("kind"))
     leaders = salted.select(F.col("lead").alias("node"), "lead", "salt", F.lit(0).alias("kind")).distinct()
@@ -278,20 +280,30 @@ def _links_within(groups: DataFrame, threshold: float) -> DataFrame:
         comp = np.array([number[r[4]] for r in block])
         d_p, d_j = (np.array([r[c] for r in block]) for c in (2, 3))
         short = np.frombuffer(b"".join(r[5] for r in block), "<u2").reshape(len(block), -1)
-        sets = [(r[6].view("u8"), r[7].astype("f8")) for r in block]
-        plain = [(h, np.ones(len(h))) for h, _ in sets]
-        long = [np.concatenate([signatures(x[k : k + 256], LONG).astype("u4") for k in range(0, len(x), 256)]) for x in (sets, plain)]
+        sets = lambda k: (block[k][6].view("u8"), block[k][7].astype("f8"))
+        long: dict[int, tuple] = {}
         few, many = _least_agreement(threshold, short.shape[1]), _least_agreement(threshold, LONG)
+
+        def signed(members: list[int]) -> list:
+            """Long signatures, weighted and plain, made when a short one has passed."""
+            new = [k for k in members if k not in long]
+            for start in range(0, len(new), 256):
+                part = new[start : start + 256]
+                own = [sets(k) for k in part]
+                both = signatures(own, LONG).astype("u4"), signatures([(h, np.ones(len(h))) for h, _ in own], LONG).astype("u4")
+                long.update(zip(part, zip(*both)))
+            return [np.array([long[k][way] for k in members]) for way in range(2)]
+
         begin = 0 if same else cut
         for k in range(cut):
             start = max(begin, k + 1) if same else begin
             near = (np.abs(d_p[start:] - d_p[k]) <= limit + EPS) | (np.abs(d_j[start:] - d_j[k]) <= limit + EPS)
             at = start + np.flatnonzero(near & (comp[start:] != comp[k]))
             at = at[(short[at] == short[k]).mean(axis=1) >= few] if len(at) else at
-            at = at[np.any([(x[at] == x[k]).mean(axis=1) >= many for x in long], axis=0)] if len(at) else at
+            at = at[np.any([(x[1:] == x[0]).mean(axis=1) >= many for x in signed([k, *at.tolist()])], axis=0)] if len(at) else at
             for m in at.tolist():
                 a, b = find(comp[k]), find(comp[m])
-                if a != b and max(similarity(*sets[k], *sets[m]), jaccard(sets[k][0], sets[m][0])) >= threshold - EPS:
+                if a != b and max(similarity(*sets(k), *sets(m)), jaccard(sets(k)[0], sets(m)[0])) >= threshold - EPS:
                     top[max(a, b)] = min(a, b)
                     yield block[k][1], block[m][1]
 
@@ -361,18 +373,20 @@ def _linked(found: DataFrame, limit: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (MD5 of the text), class_key, class_id and class_size of every row, and links, the node's verified links."""
+    """doc_id, node (MD5 of the text), class_key, class_id and class_size of every row, and links: the node's
+    verified pairs at the threshold that were looked at, with leaders and between components, not all its neighbours."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     limit = 1.0 - threshold
     signed = staged(_signed(docs, bands, rows), "minhash-signed")
-    nodes = signed.groupBy("node").agg(F.first("buckets").alias("buckets"))
+    nodes = staged(signed.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least_id"), F.first("buckets").alias("buckets")), "minhash-nodes")
     bucketed = nodes.select("node", F.explode("buckets").alias("bucket"))
-    sizes = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = staged(bucketed.join(sizes, "bucket"), "minhash-members")
+    sizes = staged(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-sizes")
+    members = staged(spread_join(bucketed, sizes, "bucket", "n").where("n is not null"), "minhash-members")
     ranked = staged(members.groupBy("node").agg(F.sum("n").alias("met")), "minhash-centrality")
     best = F.max(F.struct("met", "node"))["node"].alias("lead")
-    leads = members.select("bucket", "node").join(ranked, "node").groupBy("bucket").agg(best)
-    pairs = members.select("bucket", "node").join(leads, "bucket").where("node != lead").select("lead", "node").distinct()
+    leads = staged(members.join(ranked, "node").groupBy("bucket").agg(best, F.max("n").alias("n")), "minhash-leads")
+    pairs = spread_join(members.select("bucket", "node"), leads, "bucket", "n").where("node != lead").select("lead", "node").distinct()
+    pairs = staged(pairs, "minhash-led")
 
     sigs = staged(signed.join(ranked.select("node"), "node").groupBy("node").agg(F.first("sig").alias("sig")), "minhash-signatures")
     sets = staged(_sets_of(docs.select(_text_node(F.col("text")).alias("node"), "text"), ranked), "minhash-sets")
@@ -383,9 +397,10 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     # members of one leader in several components: the only places where a link can be missing
     at_lead = found.union(found.select("lead", F.col("lead").alias("node"), F.lit(0.0).alias("d_p"), F.lit(0.0).alias("d_j")).distinct())
     at_lead = at_lead.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    at_lead = at_lead.join(sets.select("node", F.size("hashes").alias("size")), "node")
-    split = at_lead.groupBy("lead").agg(F.sum("size").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("lead", "n")
-    open_ = staged(at_lead.join(split, "lead").drop("size"), "minhash-open")
+    at_lead = staged(at_lead.join(sets.select("node", F.size("hashes").alias("size")), "node"), "minhash-at-lead")
+    split = at_lead.groupBy("lead").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("members"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2")
+    split = staged(split.select("lead", "n", "members"), "minhash-split")
+    open_ = staged(spread_join(at_lead, split, "lead", "members").where("n is not null").drop("size", "members"), "minhash-open")
     full = open_.join(sigs, "node").join(sets, "node")
     links2 = staged(_links_within(full, threshold), "minhash-links")
     # links between components join those
@@ -394,11 +409,16 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     comp2 = components(joined).withColumnsRenamed({"node": "c_node", "comp": "c_comp"})
 
     degree = links.unionByName(links2).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    out = signed.select("doc_id", "node").join(comp, "node", "left").join(degree, "node", "left").withColumn("key", F.coalesce("comp", "node"))
-    out = out.join(comp2, F.col("key") == F.col("c_node"), "left")
-    out = out.select("doc_id", "node", F.coalesce("c_comp", "key").alias("key"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-    ids = out.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return out.join(ids, "key").select("doc_id", "node", "class_id", F.lower(F.hex("key")).alias("class_key"), "class_size", "links")
+    own = nodes.drop("buckets").join(comp, "node", "left").join(degree, "node", "left")
+    own = staged(own.select("node", "rows", "least_id", F.coalesce("comp", "node").alias("comp"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links")), "minhash-own")
+    # classes are summed up from components, and go back to components, nodes and rows in turn
+    comps = own.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.min("least_id").alias("least_id"))
+    comps = staged(comps.join(comp2, F.col("comp") == F.col("c_node"), "left").select("comp", "n", "rows", "least_id", F.coalesce("c_comp", "comp").alias("key")), "minhash-comps")
+    ids = staged(comps.groupBy("key").agg(F.min("least_id").alias("class_id"), F.sum("rows").alias("class_size"), F.count(F.lit(1)).alias("comps")), "minhash-ids")
+    comps = staged(spread_join(comps.select("comp", "n", "key"), ids, "key", "comps").drop("comps"), "minhash-classes")
+    own = staged(spread_join(own.select("node", "rows", "links", "comp"), comps, "comp", "n").drop("comp", "n"), "minhash-classed")
+    out = spread_join(signed.select("doc_id", "node"), own, "node", "rows")
+    return out.select("doc_id", "node", "class_id", F.lower(F.hex("key")).alias("class_key"), "class_size", "links")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
