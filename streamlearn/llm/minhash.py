@@ -378,7 +378,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     limit = 1.0 - threshold
     signed = staged(_signed(docs, bands, rows), "minhash-signed")
-    nodes = staged(signed.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least_id"), F.first("buckets").alias("buckets")), "minhash-nodes")
+    nodes = staged(signed.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least_id"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig")), "minhash-nodes")
     bucketed = nodes.select("node", F.explode("buckets").alias("bucket"))
     sizes = staged(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-sizes")
     members = staged(spread_join(bucketed, sizes, "bucket", "n").where("n is not null"), "minhash-members")
@@ -387,8 +387,6 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     leads = staged(members.join(ranked, "node").groupBy("bucket").agg(best, F.max("n").alias("n")), "minhash-leads")
     pairs = spread_join(members.select("bucket", "node"), leads, "bucket", "n").where("node != lead").select("lead", "node").distinct()
     pairs = staged(pairs, "minhash-led")
-
-    sigs = staged(signed.join(ranked.select("node"), "node").groupBy("node").agg(F.first("sig").alias("sig")), "minhash-signatures")
     sets = staged(_sets_of(docs.select(_text_node(F.col("text")).alias("node"), "text"), ranked), "minhash-sets")
 
     found = staged(_verified(pairs, sets), "minhash-distances")
@@ -401,7 +399,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     split = at_lead.groupBy("lead").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("members"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2")
     split = staged(split.select("lead", "n", "members"), "minhash-split")
     open_ = staged(spread_join(at_lead, split, "lead", "members").where("n is not null").drop("size", "members"), "minhash-open")
-    full = open_.join(sigs, "node").join(sets, "node")
+    full = open_.join(nodes.select("node", "sig"), "node").join(sets, "node")
     links2 = staged(_links_within(full, threshold), "minhash-links")
     # links between components join those
     of = lambda end: comp.select(F.col("node").alias(end), F.col("comp").alias(f"c_{end}"))
@@ -409,7 +407,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     comp2 = components(joined).withColumnsRenamed({"node": "c_node", "comp": "c_comp"})
 
     degree = links.unionByName(links2).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    own = nodes.drop("buckets").join(comp, "node", "left").join(degree, "node", "left")
+    own = nodes.drop("buckets", "sig").join(comp, "node", "left").join(degree, "node", "left")
     own = staged(own.select("node", "rows", "least_id", F.coalesce("comp", "node").alias("comp"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links")), "minhash-own")
     # classes are summed up from components, and go back to components, nodes and rows in turn
     comps = own.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.min("least_id").alias("least_id"))
