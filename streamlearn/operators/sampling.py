@@ -116,57 +116,63 @@ def least_extra(i: int, k: int, d: int, threshold: float, most: int = 10_000_000
     return high
 
 
+def kept_of_old(i: int, m: int, size: int, u: float) -> int:
+    """How many of a uniform sample of `size` out of i old and m new elements are old: the hypergeometric law at u."""
+
+    def choose(a: int, b: int) -> float:
+        return lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1) if 0 <= b <= a else float("-inf")
+
+    x, top = max(0, size - m), min(size, i)
+    below = exp(choose(i, x) + choose(m, size - x) - choose(i + m, size))
+    while below <= u and x < top:
+        x += 1
+        below += exp(choose(i, x) + choose(m, size - x) - choose(i + m, size))
+    return x
+
+
 class _Adaptive(Fold):
     schema = "seq bigint, size int, members array<bigint>"
 
-    def __init__(self, k: int, change: int, number_to_change: int, threshold: float, seed: int, every: bool):
-        self.k, self.change, self.at, self.threshold, self.seed, self.every = k, change, number_to_change * k, threshold, seed, every
+    def __init__(self, k: int, change: int, number_to_change: int, threshold: float, every: bool):
+        self.k, self.change, self.at, self.threshold, self.every = k, change, number_to_change * k, threshold, every
 
     def start(self):
-        return {"n": 0, "k": self.k, "held": [], "refill": None, "rnd": np.random.default_rng(self.seed), "seq": None}
+        return {"n": 0, "k": self.k, "held": [], "left": 0, "want": 0, "seq": None}
 
-    def step(self, s: dict[str, Any], seq: int) -> None:
-        rnd, held = s["rnd"], s["held"]
+    def step(self, s: dict[str, Any], seq: int, u: float, v: float) -> None:
+        """held: (v, seq) by slot. u decides about slots and how many stay, v about which stay and what fills up."""
         s["n"] += 1
         n = s["n"]
         if n - 1 == self.at and self.change != s["k"]:
-            d = self.change - s["k"]
-            if d < 0:
-                s["held"] = held = [held[i] for i in sorted(rnd.choice(len(held), min(self.change, len(held)), replace=False))]
-            else:
+            d, keep = self.change - s["k"], self.change
+            if d > 0:
                 m = least_extra(n - 1, s["k"], d, self.threshold)
-                # x of the old stay with the hypergeometric law of a uniform sample of k + d out of n + m
-                x = int(rnd.hypergeometric(n - 1, m, s["k"] + d))
-                x = min(max(x, s["k"] + d - m), len(held))
-                s["held"] = held = [held[i] for i in sorted(rnd.choice(len(held), x, replace=False))]
-                s["refill"] = {"left": m, "want": self.change - x}
-            s["k"] = self.change
-        if (r := s["refill"]) is not None:
-            # selection sampling of `want` among the next `left`
-            if rnd.random() * r["left"] < r["want"]:
-                held.append(seq)
-                r["want"] -= 1
-            r["left"] -= 1
-            if not r["left"]:
-                s["refill"] = None
+                keep = min(max(kept_of_old(n - 1, m, s["k"] + d, u), s["k"] + d - m), len(s["held"]))
+                s["left"], s["want"] = m, self.change - keep
+            stay = set(sorted(s["held"])[:keep])
+            s["held"], s["k"] = [x for x in s["held"] if x in stay], self.change
+        held = s["held"]
+        if s["left"]:  # selection sampling of `want` among the next `left`
+            if v * s["left"] < s["want"]:
+                held.append((v, seq))
+                s["want"] -= 1
+            s["left"] -= 1
         elif len(held) < s["k"]:
-            held.append(seq)
-        else:
-            j = int(rnd.integers(0, n))
-            if j < s["k"]:
-                held[j] = seq
+            held.append((v, seq))
+        elif (j := int(u * n)) < s["k"]:
+            held[j] = (v, seq)
         s["seq"] = seq
 
     def block(self, state, rows: pd.DataFrame):
         out = []
-        for seq in rows["seq"].tolist():
-            self.step(state, seq)
+        for seq, u, v in zip(rows["seq"].tolist(), rows["u"].tolist(), rows["v"].tolist()):
+            self.step(state, seq, u, v)
             if self.every:
-                out.append((seq, state["k"], list(state["held"])))
+                out.append((seq, state["k"], [x for _, x in state["held"]]))
         return state, pd.DataFrame(out, columns=["seq", "size", "members"]).astype({"size": "int32"}) if out else None
 
     def finish(self, state):
-        return None if self.every else pd.DataFrame({"seq": [state["seq"]], "size": np.array([state["k"]], "i4"), "members": [list(state["held"])]})
+        return None if self.every else pd.DataFrame({"seq": [state["seq"]], "size": np.array([state["k"]], "i4"), "members": [[x for _, x in state["held"]]]})
 
 
 class AdaptiveReservoirSampling(Transformer):
@@ -175,13 +181,16 @@ class AdaptiveReservoirSampling(Transformer):
     Shrinking keeps a random subset. Growing looks at the least number m of further elements for which the
     uniformity confidence reaches `threshold`, keeps a hypergeometric number of old members and draws the rest from
     those m. output="final" gives the last reservoir of each key, "log" the reservoir after each element.
+    `uniform` names two columns of independent uniforms in (0, 1); without it they come from a hash.
     """
 
-    defaults: dict[str, Any] = {"key": "pid", "k": 4, "number_to_change": 2, "threshold": 0.99, "change": 5, "seed": 0, "output": "final"}
+    defaults: dict[str, Any] = {"key": "pid", "k": 4, "number_to_change": 2, "threshold": 0.99, "change": 5, "seed": 0, "uniform": None, "output": "final"}
 
     def _transform(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
         require(df, p["key"], "seq", operator="AdaptiveReservoirSampling")
-        how = _Adaptive(p["k"], p["change"], p["number_to_change"], p["threshold"], p["seed"], p["output"] == "log")
+        how = _Adaptive(p["k"], p["change"], p["number_to_change"], p["threshold"], p["output"] == "log")
+        u, v = map(F.col, p["uniform"]) if p["uniform"] else (uniform(p["seed"], p["key"], "seq"), uniform(~p["seed"], p["key"], "seq"))
+        rows = df.select(p["key"], "seq", u.alias("u"), v.alias("v"))
         if df.isStreaming:
-            return stream_fold(df.select(p["key"], "seq"), [p["key"]], ["seq"], how, with_state=True)
-        return fold(df.select(p["key"], "seq"), [p["key"]], ["seq"], how)
+            return stream_fold(rows, [p["key"]], ["seq"], how, with_state=True)
+        return fold(rows, [p["key"]], ["seq"], how)

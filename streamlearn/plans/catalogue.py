@@ -135,38 +135,128 @@ def weighted_reservoir(spark, d):
     return sampling.WeightedReservoirSampling(k=4, uniform="u", weight="value").transform(_draws(spark, d)).select("pid", "seq", "value", "rank")
 
 
-@query("adaptive_reservoir")
+_CHOOSE = "(lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - {b} + 1))"
+
+
+def _hyper(x: str) -> str:
+    """P(x old among 9 of 8 old and m new)."""
+    parts = [_CHOOSE.format(a=a, b=b) for a, b in (("8", x), ("m", f"(9 - {x})"), ("(8 + m)", "9"))]
+    return f"exp({parts[0]} + {parts[1]} - {parts[2]})"
+
+
+@query(
+    "adaptive_reservoir",
+    f"""WITH RECURSIVE e AS (SELECT event_type AS pid, event_id AS seq, {_U} AS u, ((event_id * 104729) % 10009 + 1) / 10010.0::DOUBLE AS v, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+      least AS (SELECT min(m) AS m FROM (SELECT m, sum({_hyper("x")}) AS c FROM (SELECT unnest(range(1, 2000)) AS m) CROSS JOIN (SELECT unnest(range(0, 5)) AS x) WHERE x <= 9 AND 9 - x <= m GROUP BY m) WHERE c >= 0.9),
+      law AS (SELECT any_value(m) AS m, greatest(0, 9 - any_value(m)) AS low, list(c ORDER BY x) AS cdf FROM (SELECT m, x, sum({_hyper("x")}) OVER (ORDER BY x) AS c FROM least CROSS JOIN (SELECT unnest(range(0, 9)) AS x) WHERE 9 - x <= m)),
+      r AS (SELECT pid, 0::BIGINT AS n, []::STRUCT(v DOUBLE, s BIGINT)[] AS held, 0::BIGINT AS rest, 0::BIGINT AS want FROM (SELECT DISTINCT pid FROM e)
+        UNION ALL
+        SELECT pid, n, CASE WHEN rest > 0 THEN CASE WHEN v * rest < want THEN list_append(held, z) ELSE held END WHEN len(held) < k THEN list_append(held, z) WHEN j < k THEN held[1:j] || [z] || held[j + 2:] ELSE held END,
+          greatest(rest - 1, 0), want - CASE WHEN rest > 0 AND v * rest < want THEN 1 ELSE 0 END
+        FROM (SELECT pid, n, u, v, {{'v': v, 's': seq}} AS z, floor(u * n)::BIGINT AS j, CASE WHEN n > 8 THEN 9 ELSE 4 END AS k,
+            CASE WHEN n = 9 THEN list_filter(held, lambda h: list_contains(list_sort(held)[1:keep], h)) ELSE held END AS held, CASE WHEN n = 9 THEN m ELSE rest END AS rest, CASE WHEN n = 9 THEN 9 - keep ELSE want END AS want
+          FROM (SELECT r.pid, e.n, e.seq, e.u, e.v, r.held, r.rest, r.want, law.m, least(greatest(low + len(list_filter(cdf, lambda c: c <= e.u)), 9 - law.m), len(r.held))::BIGINT AS keep FROM r JOIN e ON e.pid = r.pid AND e.n = r.n + 1 CROSS JOIN law)))
+      SELECT pid, 9 AS size, unnest(range(0, len(held)))::INT AS slot, unnest(list_transform(held, lambda h: h.s)) AS member FROM r QUALIFY n = max(n) OVER (PARTITION BY pid)""",
+)
 def adaptive_reservoir(spark, d):
-    return sampling.AdaptiveReservoirSampling(k=4, change=9, threshold=0.9, seed=3).transform(T.event_samples(spark, d))
+    rows = _draws(spark, d).withColumn("v", ((F.col("seq") * 104729) % 10009 + 1) / F.lit(10010.0))
+    out = sampling.AdaptiveReservoirSampling(k=4, change=9, threshold=0.9, uniform=("u", "v")).transform(rows)
+    return out.select("pid", "size", F.posexplode("members").alias("slot", "member"))
 
 
 # --- C. sketches, components, anomaly ---------------------------------------------------------------------------
 
 
-@query("fd_sketch")
+_VECTORS = "x AS (SELECT vec_id % 4 AS pid, vec_id AS seq, list_transform(embedding, lambda e: e::DOUBLE) AS u FROM embeddings)"
+
+
+def _energy(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sum of squares of each column, by keys."""
+    return rows.select(*keys, F.posexplode("data").alias("j", "v")).groupBy(*keys, "j").agg(F.sum(F.col("v") * F.col("v")).alias("energy"))
+
+
+def _kept(rows: DataFrame, sketch: DataFrame, bound: float, *keys: str) -> DataFrame:
+    """Each column's sum of squares, and whether the sketch has no more and lacks at most `bound` of the whole sum."""
+    whole = _energy(rows, *keys)
+    total = whole.groupBy(*keys).agg(F.sum("energy").alias("total")) if keys else whole.agg(F.sum("energy").alias("total")).withColumn("all", F.lit(0))
+    on = list(keys) or ["all"]
+    both = (whole if keys else whole.withColumn("all", F.lit(0))).join(total, on).join(_energy(sketch, *keys).withColumnRenamed("energy", "own"), [*keys, "j"], "left")
+    gap = F.col("energy") - F.coalesce("own", F.lit(0.0))
+    return both.select(*keys, "j", r6("energy").alias("energy"), ((gap >= -1e-9 * F.col("total")) & (gap <= bound * F.col("total"))).alias("held"))
+
+
+_ENERGY = f"WITH {_VECTORS}, e AS (SELECT pid, unnest(range(0, len(u)))::INT AS j, unnest(u) AS v FROM x)"
+
+
+@query("fd_sketch", f"{_ENERGY} SELECT pid::INT AS pid, j, round(sum(v * v), 6) + 0.0::DOUBLE AS energy, true AS held FROM e GROUP BY pid, j")
 def fd_sketch(spark, d):
-    return sketch.FrequentDirections(ell=16).transform(T.vectors(spark, d))
+    v = T.vectors(spark, d)
+    return _kept(v, sketch.FrequentDirections(ell=16).transform(v), 2 / 16, "pid")
 
 
-@query("fd_merged")
+@query("fd_merged", f"{_ENERGY} SELECT j, round(sum(v * v), 6) + 0.0::DOUBLE AS energy, true AS held FROM e GROUP BY j")
 def fd_merged(spark, d):
-    return sketch.FrequentDirections(ell=16, aggregate=True).transform(T.vectors(spark, d))
+    v = T.vectors(spark, d)
+    return _kept(v, sketch.FrequentDirections(ell=16, aggregate=True).transform(v), 3 * 2 / 16)
 
 
-@query("ad_sketch")
+@query("ad_sketch", f"{_ENERGY} SELECT pid::INT AS pid, j, round(sum(v * v), 6) + 0.0::DOUBLE AS energy, true AS held FROM e GROUP BY pid, j")
 def ad_sketch(spark, d):
-    return sketch.AnomalySketch(ell=16).transform(T.vectors(spark, d))
+    v = T.vectors(spark, d)
+    return _kept(v, sketch.AnomalySketch(ell=16).transform(v), 1 / 16, "pid")
+
 
+@query(
+    "fd_small",  # two rows: the decomposition has a closed form; signs of directions do not matter to the products
+    f"""WITH RECURSIVE {_VECTORS}, o AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY seq) AS t FROM x),
+      s AS (SELECT a.pid, 2::BIGINT AS t, a.u AS a, b.u AS b FROM o a JOIN o b ON b.pid = a.pid AND b.t = 2 WHERE a.t = 1
+        UNION ALL
+        SELECT pid, t, list_transform(list_zip(a, b), lambda z: scale * (cos(turn) * z[1] + sin(turn) * z[2])), u
+        FROM (SELECT pid, t, a, b, u, atan2(2 * ab, aa - bb) / 2 AS turn, sqrt(gap / ((aa + bb + gap) / 2)) AS scale
+          FROM (SELECT *, sqrt((aa - bb) ^ 2 + 4 * ab ^ 2) AS gap FROM (SELECT s.pid, o.t, s.a, s.b, o.u, list_dot_product(s.a, s.a) AS aa, list_dot_product(s.b, s.b) AS bb, list_dot_product(s.a, s.b) AS ab FROM s JOIN o ON o.pid = s.pid AND o.t = s.t + 1)))),
+      f AS (SELECT * FROM s QUALIFY t = max(t) OVER (PARTITION BY pid))
+      SELECT pid::INT AS pid, j::INT AS j, round(a[j + 1] * a[j + 1] + b[j + 1] * b[j + 1], 6) + 0.0::DOUBLE AS own, round(a[j + 1] * a[1] + b[j + 1] * b[1], 6) + 0.0::DOUBLE AS with_first FROM (SELECT *, unnest(range(0, len(a))) AS j FROM f)""",
+)
+def fd_small(spark, d):
+    rows = sketch.FrequentDirections(ell=2).transform(T.vectors(spark, d))
+    cells = rows.select("pid", F.get("data", F.lit(0)).alias("x0"), F.posexplode("data").alias("j", "x"))
+    return cells.groupBy("pid", "j").agg(r6(F.sum(F.col("x") * F.col("x"))).alias("own"), r6(F.sum(F.col("x") * F.col("x0"))).alias("with_first"))
 
-@query("ccipca_components")
+
+def _ccipca_sql(n: int, key: str) -> str:
+    """CTEs x and v: the unnormalised components v1 to vn of each key k after each row t."""
+    dot = "list_dot_product({}, {})".format
+    line = "list_transform(list_zip({a}, {b}), lambda z: {p} * z[1] + {q} * z[2])".format
+    step = f"SELECT v.k, x.t, {', '.join(f'v.v{i}' for i in range(1, n + 1))}, x.u FROM v JOIN x ON x.k = v.k AND x.t = v.t + 1"
+    names = lambda skip: ", ".join(f"v{i}" for i in range(1, n + 1) if i != skip)
+    for i in range(1, n + 1):
+        new = line(a=f"v{i}", b="u", p="((t - 3.5::DOUBLE) / t)", q=f"(3.5::DOUBLE / t * {dot('u', f'v{i}')} / sqrt({dot(f'v{i}', f'v{i}')}))")
+        step = f"SELECT k, t, {names(i)}, u, CASE WHEN t >= {i} THEN {new} ELSE v{i} END AS v{i} FROM ({step})"
+        rest = line(a="u", b=f"v{i}", p="1", q=f"(-{dot('u', f'v{i}')} / {dot(f'v{i}', f'v{i}')})")
+        step = f"SELECT k, t, {names(0)}, CASE WHEN t >= {i} THEN {rest} ELSE u END AS u FROM ({step})"
+    start = ", ".join(f"any_value(u) FILTER (t = {i}) AS v{i}" for i in range(1, n + 1))
+    return f"""x AS (SELECT {key} AS k, list_transform(embedding, lambda e: e::DOUBLE) AS u, row_number() OVER (PARTITION BY {key} ORDER BY vec_id) AS t FROM embeddings),
+      v AS (SELECT k, 0::BIGINT AS t, {start} FROM x GROUP BY k UNION ALL SELECT k, t, {names(0)} FROM ({step})),
+      c AS (SELECT k, value, v, row_number() OVER (PARTITION BY k ORDER BY value DESC, i) - 1 AS component FROM (SELECT k, i, v, sqrt(list_dot_product(v, v)) AS value
+        FROM (SELECT k, unnest(range(0, {n})) AS i, unnest([{names(0)}]) AS v FROM (SELECT * FROM v QUALIFY t = max(t) OVER (PARTITION BY k)))))"""
+
+
+_COMPONENTS = "round(value, 6) AS value, j::INT AS j, round(v[j + 1] / value, 6) + 0.0::DOUBLE AS x FROM (SELECT *, unnest(range(0, len(v))) AS j FROM c)"
+
+
+def _components(found: DataFrame, key: str) -> DataFrame:
+    return found.select(key, "component", r6("value").alias("value"), F.posexplode("vector").alias("j", "x")).withColumn("x", r6("x"))
+
+
+@query("ccipca_components", f"WITH RECURSIVE {_ccipca_sql(11, '0')} SELECT component::INT AS component, {_COMPONENTS}")
 def ccipca_components(spark, d):
-    return pca.CCIPCA(key="all", components=11).transform(T.vectors(spark, d).withColumn("all", F.lit(0)))
+    return _components(pca.CCIPCA(key="all", components=11).transform(T.vectors(spark, d).withColumn("all", F.lit(0))), "all").drop("all")
 
 
-@query("ccipca_batches")
+@query("ccipca_batches", f"WITH RECURSIVE {_ccipca_sql(5, 'vec_id // 100')} SELECT k AS batch_id, component::INT AS component, {_COMPONENTS}")
 def ccipca_batches(spark, d):
     v = T.vectors(spark, d).withColumn("batch_id", F.floor(F.col("seq") / 100))
-    return pca.CCIPCA(key="batch_id", components=5).transform(v)
+    return _components(pca.CCIPCA(key="batch_id", components=5).transform(v), "batch_id")
 
 
 _BASIS = [[0.125] * 64, [0.125] * 32 + [-0.125] * 32]
@@ -183,15 +273,58 @@ def hotelling_t2(spark, d):
     return T.vectors(spark, d).select("seq", r6(pca.hotelling(F.col("data"), _BASIS, [2.0, 0.5])).alias("t2"))
 
 
-@query("pca_limits", "SELECT 3 AS df, 9.837409::DOUBLE AS t_limit")
+#: Sets of values whose limits are asked for: name, all of them.
+_VALUES = {"flat": [1.0, 1.0, 1.0, 1.0], "falling": [3.0, 2.0, 1.0, 0.5, 0.25], "one": [2.0], "long": [0.9**k for k in range(12)]}
+
+
+def _quantile_sql(name: str, degrees: str, share: float) -> str:
+    """CTE name (df, x): chi-squared quantiles for the rows of degrees (df), by halving on the series of the gamma function."""
+    return f"""{name}_steps AS (SELECT df, 0.0::DOUBLE AS low, 400.0::DOUBLE AS high, 0 AS n FROM ({degrees})
+        UNION ALL SELECT df, CASE WHEN p < {share} THEN x ELSE low END, CASE WHEN p < {share} THEN high ELSE x END, n + 1
+        FROM (SELECT *, list_sum(list_transform(range(0, 600), lambda i: exp((df / 2.0::DOUBLE + i) * ln(x / 2) - x / 2 - lgamma(df / 2.0::DOUBLE + i + 1)))) AS p FROM (SELECT *, (low + high) / 2 AS x FROM {name}_steps WHERE n < 60))),
+      {name} AS (SELECT df, (low + high) / 2 AS x FROM {name}_steps WHERE n = 60)"""
+
+
+# the normal quantile of 0.98 is the root of the chi-squared quantile of 0.96 with one degree
+_Z = _quantile_sql("z", "SELECT 1 AS df", 0.96)
+_T = "list_sum(list_transform(v, lambda e: e ^ {}))".format
+_SUMS3 = f"s AS (SELECT *, {_T(1)} AS t1, {_T(2)} AS t2, {_T(3)} AS t3 FROM w), h AS (SELECT *, 1 - 2 * t1 * t3 / (3 * t2 ^ 2) AS h, (SELECT sqrt(x) FROM z) AS z FROM s)"
+_CLASSIC = "t1 * (z * sqrt(2 * t2 * h * h) / t1 + 1 + t2 * h * (h - 1) / t1 ^ 2) ^ (1 / h)"
+
+
+@query(
+    "pca_limits",
+    f"""WITH RECURSIVE {_quantile_sql("t", "SELECT unnest([1, 4, 5, 12]) AS df", 0.98)}, {_Z},
+      w AS (SELECT * FROM (VALUES {', '.join(f"('{k}', [{', '.join(f'{x!r}::DOUBLE' for x in v)}])" for k, v in _VALUES.items())}) AS q(name, v)), {_SUMS3}
+      SELECT name, len(v)::INT AS df, round(t.x, 6) AS t_limit, round({_CLASSIC}, 6) AS q_classic, CASE WHEN h >= 0 THEN round((t1 * (sqrt(h * z * 2 * t2) / t1 + 1 + t2 * h * (h - 1) / t1 ^ 2)) ^ (1 / h), 6) END AS q_limit FROM h JOIN t ON t.df = len(v)""",
+)
 def pca_limits(spark, d):
-    return spark.createDataFrame([(3, round(pca.t_limit([3.0, 2.0, 1.0]), 6))], "df int, t_limit double")
+    rows = [(k, len(v), round(pca.t_limit(v), 6), round(pca.q_limit(v, form="classic"), 6), None if (q := pca.q_limit(v)) != q else round(q, 6)) for k, v in _VALUES.items()]
+    return spark.createDataFrame(rows, "name string, df int, t_limit double, q_classic double, q_limit double")
 
 
-@query("pca_anomaly")
+def _orthonormal_sql(n: int) -> str:
+    """CTE p: the first n components of c, each less its part along those before it, of length 1, as b0 to b(n - 1)."""
+    dot = "list_dot_product({}, {})".format
+    out = "SELECT " + ", ".join(f"any_value(v) FILTER (component = {i}) AS b{i}" for i in range(n)) + " FROM c"
+    for i in range(n):
+        for k in range(i):
+            out = f"SELECT * REPLACE (list_transform(list_zip(b{i}, b{k}), lambda z: z[1] - {dot(f'b{i}', f'b{k}')} * z[2]) AS b{i}) FROM ({out})"
+        out = f"SELECT * REPLACE (list_transform(b{i}, lambda e: e / sqrt({dot(f'b{i}', f'b{i}')})) AS b{i}) FROM ({out})"
+    return f"p AS ({out})"
+
+
+@query(
+    "pca_anomaly",
+    f"""WITH RECURSIVE {_ccipca_sql(11, '0')}, {_orthonormal_sql(3)}, {_quantile_sql("t", "SELECT 3 AS df", 0.98)}, {_Z},
+      w AS (SELECT list(value ORDER BY component) FILTER (component >= 3) AS v, list(value ORDER BY component) FILTER (component < 3) AS own FROM c), {_SUMS3},
+      d AS (SELECT vec_id AS seq, list_dot_product(u, u) AS n, list_dot_product(u, b0) AS d0, list_dot_product(u, b1) AS d1, list_dot_product(u, b2) AS d2 FROM (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS u FROM embeddings) CROSS JOIN p),
+      r AS (SELECT seq, n - d0 ^ 2 - d1 ^ 2 - d2 ^ 2 AS spe, d0 ^ 2 / own[1] + d1 ^ 2 / own[2] + d2 ^ 2 / own[3] AS t2, {_CLASSIC} AS q, (SELECT x FROM t) AS t FROM d CROSS JOIN h)
+      SELECT seq, round(spe, 6) + 0.0::DOUBLE AS spe, round(t2, 6) + 0.0::DOUBLE AS t2, spe > q OR t2 > t AS anomaly FROM r""",
+)
 def pca_anomaly(spark, d):
     v = T.vectors(spark, d)
-    return pca.PCAAnomaly(components=11, kept=3).fit(v).predict(v).select("seq", "spe", "t2", "anomaly")
+    return rounded(pca.PCAAnomaly(components=11, kept=3).fit(v).predict(v).select("seq", "spe", "t2", "anomaly"), "spe", "t2")
 
 
 # --- D. online regression ---------------------------------------------------------------------------------------
