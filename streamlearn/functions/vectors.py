@@ -12,21 +12,3 @@ def vector(*columns: str | Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
-def axpy(scale: Column, x: Column, y: Column) -> Column:
-    """scale * x + y"""
-    return F.zip_with(x, y, lambda a, b: scale * a + b)
-
-
-def outer_sums(x: Column, n: int) -> list[Column]:
-    """Sums over rows of x_i * x_j, row-major, for an aggregation; the upper triangle is computed once."""
-    return [F.sum(F.get(x, min(i, j)) * F.get(x, max(i, j))) for i in range(n) for j in range(n)]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.fold import Fold
 from ..plans.running import running
+from ..streaming.state import stream_fold
+
+CELLS = ("tp", "fp", "tn", "fn")
 
 
 def outcomes(predicted: Column, label: Column) -> dict[str, Column]:
@@ -53,8 +58,26 @@ def confusion(df: DataFrame, predicted: str = "prediction", label: str = "label"
     return out.withColumns(metrics(**how))
 
 
+class _Counted(Fold):
+    """Rows with running sums of their columns of CELLS, for streams."""
+
+    def __init__(self, schema: str):
+        self.schema = schema
+
+    def start(self):
+        return [0] * len(CELLS)
+
+    def block(self, state, rows: pd.DataFrame):
+        sums = rows[list(CELLS)].fillna(0).cumsum() + state
+        return [int(x) for x in sums.iloc[-1]], rows.assign(**{c: sums[c] for c in CELLS})
+
+
 def running_confusion(df: DataFrame, keys: list[str], order: list[str], predicted: str = "prediction", label: str = "label", **how) -> DataFrame:
-    """df with the counts and metrics up to each row."""
+    """df with the counts and metrics up to each row; a row without a label counts nowhere."""
+    if df.isStreaming:
+        cells = df.withColumns(outcomes(F.col(predicted), F.col(label)))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema if f.name not in keys)
+        return stream_fold(cells, keys, order, _Counted(schema)).select(cells.columns).withColumns(metrics(**how))
     return running(df, keys, order, outcomes(F.col(predicted), F.col(label))).withColumns(metrics(**how))
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..base import Predictor, Transformer
+from ..plans.fold import Fold, fold
 from ..plans.running import last_seen
-from .online import Lasso, Prequential
+from ..streaming.state import stream_fold
+from .online import Lasso, Prequential, _Prequential
 
 
 def flatness_map(rows: DataFrame, labels: DataFrame, *, coil: str = "coil_id", pos: str = "x", row_id: str = "row_id") -> DataFrame:
@@ -66,10 +70,13 @@ class LassoDelayed(Transformer):
 
     Features are imputed, each row of a coil gets the label mapped to its position when the coil's bundle comes, and
     the lasso learns all of them in order; predictions are made as rows arrive. Of several bundles of a coil each
-    labels the rows that came before it. reference_masking keeps only the first feature in updates.
+    labels the rows that came before it, unless they have waited for more than `expire` units of seq.
+    reference_masking keeps only the first feature in updates. initial: a saved model (state), as Prequential's.
+
+    On streams both tables are streams; a micro-batch's events are taken in the order of seq, a row before a bundle.
     """
 
-    defaults: dict[str, Any] = {"features": (), "alpha": 1.0, "beta": 0.0, "gamma": 1.0, "impute_by": None, "default": None, "reference_masking": False, "bundles": None}
+    defaults: dict[str, Any] = {"features": (), "alpha": 1.0, "beta": 0.0, "gamma": 1.0, "impute_by": None, "default": None, "reference_masking": False, "bundles": None, "expire": None, "initial": None}
 
     def log(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
         names = list(p["features"])
@@ -79,6 +86,8 @@ class LassoDelayed(Transformer):
         late = late.select(F.struct("coil_id", "at").alias("bundle"), F.col("label_no").cast("bigint").alias("label_no"), F.col("z.poses").alias("x"), F.col("z.labels").alias("value"))
         bundles = late.select("bundle").distinct()
         theirs = rows.join(bundles.select("bundle", F.col("bundle.coil_id").alias("__c")), (F.col("coil_id") == F.col("__c")) & (F.col("row_id") < F.col("bundle.at"))).drop("__c")
+        if p["expire"] is not None:
+            theirs = theirs.where(F.col("row_id") >= F.col("bundle.at") - p["expire"])
         mapped = flatness_map(theirs, late, coil="bundle", pos="x", row_id="row_id")
         x = F.transform("features", lambda v, i: F.when(i == 0, v).otherwise(F.lit(0.0))) if p["reference_masking"] else F.col("features")
         # order: by arrival; the rows of a bundle follow each other at its arrival
@@ -87,12 +96,71 @@ class LassoDelayed(Transformer):
         return seen.unionByName(told)
 
     def _transform(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
-        from ..plans.fold import fold
-        from .online import _Prequential
-
+        learner, names = Lasso(p["alpha"], p["beta"], p["gamma"]), list(p["features"])
+        if df.isStreaming:
+            by = p["impute_by"]
+            rows = df.select(F.lit(0).alias("model_key"), "coil_id", "seq", F.lit(0).alias("late"), F.col("x").cast("double").alias("x"), F.array(*[F.col(f).cast("double") for f in names]).alias("features"), (F.col(by) if by else F.lit(None)).cast("string").alias("memory"))
+            told = p["bundles"].select(F.lit(0).alias("model_key"), "coil_id", "seq", F.lit(1).alias("late"), "poses", "labels")
+            return stream_fold(rows.unionByName(told, allowMissingColumns=True), ["model_key"], ["seq", "late", "coil_id"], _Delayed(learner, names, p), with_state=True)
         log = self.log(df, p).withColumn("seq", F.col("arrival"))
-        how = _Prequential(Lasso(p["alpha"], p["beta"], p["gamma"]), len(p["features"]))
-        return fold(log, ["model_key"], ["arrival", "sub"], how)
+        if p["initial"] is not None:
+            low = F.lit(-(1 << 63))
+            log = log.unionByName(p["initial"].select(F.lit(0).alias("model_key"), low.alias("arrival"), low.alias("sub"), F.lit("m").alias("kind"), F.lit(-1).cast("bigint").alias("idx"), F.col("state").alias("features"), F.lit(None).cast("double").alias("label"), low.alias("seq")))
+        return fold(log, ["model_key"], ["arrival", "sub"], _Prequential(learner, len(names)))
+
+
+def interpolated(x: float, poses: list[float], labels: list[float]) -> float | None:
+    """The line through the two labels nearest to x; ties go to the earlier one."""
+    near = sorted((abs(x - p), n) for n, p in enumerate(poses) if p is not None)[:2]
+    if not near:
+        return None
+    (_, a), b = near[0], near[-1][1]
+    if labels[a] is None or labels[b] is None or poses[a] == poses[b]:
+        return labels[a]
+    return labels[a] + (x - poses[a]) * (labels[b] - labels[a]) / (poses[b] - poses[a])
+
+
+class _Delayed(Fold):
+    """Rows and bundles of a stream: the model, the last value of each feature, and the rows of each coil that wait."""
+
+    schema = _Prequential.schema
+
+    def __init__(self, learner: Lasso, names: list[str], p: dict[str, Any]):
+        self.learner, self.n, self.expire, self.masked = learner, len(names), p["expire"], p["reference_masking"]
+        self.default = [float((p["default"] or {}).get(f, 0.0)) for f in names]
+        self.initial = None if p["initial"] is None else list(p["initial"].first().state)  # one model
+
+    def start(self):
+        model = self.learner.start(self.n) if self.initial is None else self.learner.load(self.initial, self.n)
+        return {"model": model, "seq": -1, "memory": {}, "waiting": {}}
+
+    def block(self, state, rows: pd.DataFrame):
+        out = []
+        for coil, seq, late, x, features, memory, poses, labels in zip(*(rows[c] for c in ("coil_id", "seq", "late", "x", "features", "memory", "poses", "labels"))):
+            waiting = state["waiting"].setdefault(coil, [])
+            if not late:
+                last = state["memory"].setdefault(memory, list(self.default))
+                for k, v in enumerate(features):
+                    if v is not None and v == v:
+                        last[k] = v
+                own = np.array(last, "f8")
+                out.append((seq, self.learner.predict(state["model"], own)))
+                waiting.append((seq, x, own))
+            else:
+                for _, at, own in sorted((w for w in waiting if w[0] < seq and (self.expire is None or w[0] >= seq - self.expire)), key=lambda w: w[0]):
+                    y = None if at is None else interpolated(at, list(poses), list(labels))
+                    if y is not None:
+                        own = np.concatenate([own[:1], np.zeros(self.n - 1)]) if self.masked else own
+                        state["model"] = self.learner.update(state["model"], own, y, 0)
+            state["seq"] = int(seq)
+        if self.expire is not None:
+            left = {c: [w for w in held if w[0] >= state["seq"] - self.expire] for c, held in state["waiting"].items()}
+            state["waiting"] = {c: held for c, held in left.items() if held}
+        seq, p = ([r[k] for r in out] for k in range(2))
+        return state, pd.DataFrame({"kind": "prediction", "seq": seq, "idx": seq, "prediction": p, "model": None, "state": None}) if out else None
+
+    def finish(self, state):
+        return _Prequential(self.learner, self.n).finish((state["model"], state["seq"]))
 
 
 class LassoConstant(Predictor):

@@ -6,11 +6,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..base import Transformer
 from ..plans.fold import Fold, fold
+from ..plans.keyed import keyed
 from ..plans.running import running
 from ..schemas import require
 from ..streaming.state import stream_fold
@@ -23,29 +24,57 @@ def per_feature(df: DataFrame, keys: list[str], *, weighted: bool = False, keep:
     return out.select(*keys, *[c for c in keep if c not in keys], F.col("z.slice").alias("feature"), F.col("z.data").alias("x"), *([F.col("z.weight").alias("w")] if weighted else []))
 
 
-def pid(df: DataFrame, partitions: int, by: str = "seq") -> DataFrame:
-    """A deterministic partition id for events without a key."""
-    return df.withColumn("pid", F.pmod(F.xxhash64(by), F.lit(partitions)))
+class _Running(Fold):
+    """Moments of each feature after every event, for streams."""
+
+    def __init__(self, weighted: bool, order_type: str):
+        self.weighted = weighted
+        self.schema = f"seq {order_type}, feature int, n bigint, {'weight double, ' * weighted}mean double, variance double"
+
+    def start(self):
+        return {}
+
+    def block(self, state, rows: pd.DataFrame):
+        parts = []
+        for f, g in rows.groupby("feature", sort=False):
+            n, weight, mean, m2 = state.get(int(f), (0, 0.0, None, 0.0))
+            x = g["x"].to_numpy("f8")
+            w = g["w"].to_numpy("f8") if self.weighted else np.ones(len(x))
+            d = x - (x[0] if mean is None else mean)  # sums around the mean so far: no cancellation
+            total, s1, s2 = weight + np.cumsum(w), np.cumsum(w * d), m2 + np.cumsum(w * d * d)
+            count = n + np.arange(1, len(x) + 1)
+            means, sums = (x[0] if mean is None else mean) + s1 / total, np.maximum(0.0, s2 - s1 * s1 / total)
+            variance = sums / total if self.weighted else np.where(count > 1, sums / np.maximum(1, count - 1), np.nan)
+            out = {"seq": g["seq"].to_numpy(), "feature": np.int32(f), "n": count, "weight": total, "mean": means, "variance": variance}
+            parts.append(pd.DataFrame(out))
+            state[int(f)] = (int(count[-1]), float(total[-1]), float(means[-1]), float(sums[-1]))
+        return state, pd.concat(parts)
+
+
+def _stream_running(rows: DataFrame, key: str, order: str, weighted: bool) -> DataFrame:
+    rows = rows.select(key, F.col(order).alias("seq"), "feature", "x", *["w"] * weighted)
+    out = stream_fold(rows, [key], ["seq"], _Running(weighted, rows.schema["seq"].dataType.simpleString()))
+    return out.withColumn("variance", F.when(~F.isnan("variance"), F.col("variance"))).withColumnRenamed("seq", order)
 
 
 class MomentsEstimator(Transformer):
     """Count, mean and sample variance of each feature (variance is null below two samples).
 
-    output="running": after every event of a key; "final": one row per key and feature; "merged": over all keys,
-    from the keys' own sums as models merge.
+    output="running": after every event of a key; "final": one row per key and feature; "merged": over all keys. On
+    streams "final" and "merged" are aggregations for complete or update mode. partitions: keys for events without one.
     """
 
-    defaults: dict[str, Any] = {"key": "pid", "order": "seq", "output": "running"}
+    defaults: dict[str, Any] = {"key": "pid", "order": "seq", "output": "running", "partitions": None}
 
     def _transform(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
+        df = keyed(df, p)
         require(df, p["key"], p["order"], "slice", "data", operator="MomentsEstimator")
         rows = per_feature(df, [p["key"]], keep=(p["order"],))
         if p["output"] == "running":
-            return self._running(rows, p["key"], p["order"])
-        final = rows.groupBy(p["key"], "feature").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("variance"))
-        if p["output"] == "final":
-            return final
-        return merge_moments(final.select("feature", "n", "mean", (F.coalesce("variance", F.lit(0.0)) * (F.col("n") - 1)).alias("m2")))
+            return _stream_running(rows, p["key"], p["order"], False) if df.isStreaming else self._running(rows, p["key"], p["order"])
+        # partial sums of tasks are merged as models are: by counts, means and squared deviations
+        keys = [p["key"], "feature"] if p["output"] == "final" else ["feature"]
+        return rows.groupBy(*keys).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("variance"))
 
     @staticmethod
     def _running(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -69,15 +98,21 @@ def merge_moments(models: DataFrame) -> DataFrame:
 
 
 class WeightedMomentsEstimator(Transformer):
-    """Total weight, weighted mean and population variance of each feature; outputs as in MomentsEstimator."""
+    """Total weight, weighted mean and population variance of each feature; outputs as in MomentsEstimator.
+
+    On streams "final" and "merged" take variances from plain sums of squares, as a second pass is not possible.
+    """
 
-    defaults: dict[str, Any] = {"key": "pid", "order": "seq", "output": "running"}
+    defaults: dict[str, Any] = {"key": "pid", "order": "seq", "output": "running", "partitions": None}
 
     def _transform(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
+        df = keyed(df, p)
         require(df, p["key"], p["order"], "slice", "data", "weight", operator="WeightedMomentsEstimator")
         key = p["key"]
         rows = per_feature(df, [key], weighted=True, keep=(p["order"],))
         w, x = F.col("w"), F.col("x")
+        if p["output"] == "running" and df.isStreaming:
+            return _stream_running(rows, key, p["order"], True)
         if p["output"] == "running":
             centre = rows.groupBy(key, "feature").agg((F.sum(w * x) / F.sum(w)).alias("c")).withColumnsRenamed({key: "__key", "feature": "__f"})
             rows = rows.join(centre, F.col(key).eqNullSafe(F.col("__key")) & (F.col("feature") == F.col("__f"))).drop("__key", "__f")
@@ -86,6 +121,9 @@ class WeightedMomentsEstimator(Transformer):
             m = F.col("s1") / F.col("weight")
             return out.select(key, p["order"], "feature", "n", "weight", (F.col("c") + m).alias("mean"), F.greatest(F.lit(0.0), F.col("s2") / F.col("weight") - m * m).alias("variance"))
         keys = [key, "feature"] if p["output"] == "final" else ["feature"]
+        if df.isStreaming:
+            m = F.sum(w * x) / F.sum(w)
+            return rows.groupBy(*keys).agg(m.alias("mean"), F.count("x").alias("n"), F.sum(w).alias("weight"), F.greatest(F.lit(0.0), F.sum(w * x * x) / F.sum(w) - m * m).alias("variance"))
         means = rows.groupBy(*keys).agg((F.sum(w * x) / F.sum(w)).alias("mean"))
         both = rows.join(means.withColumnsRenamed({k: f"__{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
         d = x - F.col("mean")
@@ -142,9 +180,10 @@ class ExponentialMomentsEstimator(Transformer):
     """mean = alpha * mean + (1 - alpha) * x; variance = (1 - alpha) * variance + alpha * (x - old mean) * (x - mean);
     both start at 0 before the first event. alpha outside (0, 1) is refused."""
 
-    defaults: dict[str, Any] = {"key": "pid", "alpha": 0.8}
+    defaults: dict[str, Any] = {"key": "pid", "order": "seq", "alpha": 0.8, "partitions": None}
 
     def _transform(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
+        df = keyed(df, p).withColumn("seq", F.col(p["order"]))
         require(df, p["key"], "seq", "slice", "data", operator="ExponentialMomentsEstimator")
         how = exponential(p["alpha"])
         rows = per_feature(df, [p["key"]])
@@ -171,9 +210,3 @@ class MovingMomentsEstimator(Transformer):
         rows = per_feature(df, [p["key"]], keep=(p["time"],))
         out = rows.groupBy(F.window(p["time"], p["length"], p["slide"]), p["key"], "feature").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("variance"))
         return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), p["key"], "feature", "n", "mean", "variance")
-
-
-def sample(*columns: str | Column) -> list[Column]:
-    """slice and data of a dense event with these features."""
-    cols = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns]
-    return [F.array(*[F.lit(i) for i in range(len(cols))]).alias("slice"), F.array(*cols).alias("data")]

@@ -5,8 +5,10 @@ idx. Specification: an event sees exactly the updates of labels with smaller seq
 with the latest features of its idx since the last label of that idx; pairing is a window over (model_key, idx), a
 fine key, before the fold. A label without features is ignored or refused (on_missing).
 
-A learner is any object with start(n), predict(model, x), update(model, x, y, idx) and values(model). Learners whose
-model is a sum over labels also have block(), which handles whole blocks with batched linear algebra.
+A learner is any object with start(n), predict(model, x), update(model, x, y, idx) and values(model). dump(model) and
+load(state, n) write and read all of a model, so that learning goes on from a table of saved ones and saved models
+predict by themselves. Learners whose model is a sum over labels also have block(), which handles whole blocks with
+batched linear algebra.
 """
 
 from __future__ import annotations
@@ -33,16 +35,28 @@ class OnlineLearner(Protocol):
 
     def values(self, model: Any) -> list[float]: ...
 
+    def dump(self, model: Any) -> list[float]: ...
 
-def paired(log: DataFrame, on_missing: str = "ignore") -> DataFrame:
-    """The log with the features each label refers to; labels without any are dropped, or fail with on_missing="error"."""
+    def load(self, state: list[float], n: int) -> Any: ...
+
+
+#: Models, and numbers in them, that are broadcast to predict; beyond it rows and models are joined.
+MAX_MODELS, MAX_NUMBERS = 10_000, 4_000_000
+
+
+def paired(log: DataFrame, on_missing: str = "ignore", expire: int | None = None) -> DataFrame:
+    """The log with the features each label refers to; labels without any are dropped, or fail with on_missing="error".
+
+    Features wait for their label until `expire` units of seq have passed (for ever, if None).
+    """
     require(log, "model_key", "seq", "kind", "idx", "features", "label", operator="paired")
     by = Window.partitionBy("model_key", "idx").orderBy("seq")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     labels = F.sum((F.col("kind") == "y").cast("int")).over(before)
     out = log.withColumn("__round", F.coalesce(labels, F.lit(0)))
     own = Window.partitionBy("model_key", "idx", "__round").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    x = F.last(F.when(F.col("kind") == "x", F.col("features")), ignorenulls=True).over(own)
+    x = F.last(F.when(F.col("kind") == "x", F.struct("features", "seq")), ignorenulls=True).over(own)
+    x = x["features"] if expire is None else F.when(F.col("seq") - x["seq"] <= expire, x["features"])
     out = out.withColumn("features", F.when(F.col("kind") == "x", F.col("features")).otherwise(x)).drop("__round")
     if on_missing == "error":
         said = F.concat(F.lit("a label came before its features, idx "), F.col("idx").cast("string"))
@@ -51,7 +65,7 @@ def paired(log: DataFrame, on_missing: str = "ignore") -> DataFrame:
 
 
 class _Prequential(Fold):
-    schema = "kind string, seq bigint, idx bigint, prediction double, model array<double>"
+    schema = "kind string, seq bigint, idx bigint, prediction double, model array<double>, state array<double>"
 
     def __init__(self, learner: OnlineLearner, n: int, with_model: bool = True):
         self.learner, self.n, self.with_model = learner, n, with_model
@@ -60,7 +74,11 @@ class _Prequential(Fold):
         return self.learner.start(self.n), -1
 
     def block(self, state, rows: pd.DataFrame):
-        model, _ = state
+        model, last = state
+        if rows["kind"].iloc[0] == "m":  # a saved model comes first
+            model, rows = self.learner.load(list(rows["features"].iloc[0]), self.n), rows.iloc[1:]
+        if not len(rows):
+            return (model, last), None
         x = np.array(rows["features"].tolist(), "f8").reshape(len(rows), self.n)
         is_x = (rows["kind"] == "x").to_numpy()
         y, idx, seq = rows["label"].to_numpy("f8"), rows["idx"].to_numpy("i8"), rows["seq"].to_numpy("i8")
@@ -74,51 +92,70 @@ class _Prequential(Fold):
                 else:
                     model = self.learner.update(model, x[k], y[k], int(idx[k]))
             p = p[is_x]
-        out = pd.DataFrame({"kind": "prediction", "seq": seq[is_x], "idx": idx[is_x], "prediction": p, "model": None})
+        out = pd.DataFrame({"kind": "prediction", "seq": seq[is_x], "idx": idx[is_x], "prediction": p, "model": None, "state": None})
         return (model, int(seq[-1])), out
 
     def finish(self, state):
         model, seq = state
         if not self.with_model:
             return None
-        return pd.DataFrame({"kind": ["model"], "seq": [seq], "idx": [-1], "prediction": [None], "model": [self.learner.values(model)]}).astype({"prediction": "f8"})
+        return pd.DataFrame({"kind": ["model"], "seq": [seq], "idx": [-1], "prediction": [None], "model": [self.learner.values(model)], "state": [self.learner.dump(model)]}).astype({"prediction": "f8"})
 
 
 class Prequential(Transformer):
     """Rows of kind "prediction" for every features event, and one of kind "model" per key at the end of a batch
-    (of each micro-batch in a stream)."""
+    (of each micro-batch in a stream), with the model's values and its whole state.
+
+    initial: a table (model_key, state) of models to start from, such as the rows of kind "model" of an earlier run.
+    expire: how long features wait for their label, in units of seq.
+    """
 
-    defaults: dict[str, Any] = {"learner": None, "features": 1, "on_missing": "ignore"}
+    defaults: dict[str, Any] = {"learner": None, "features": 1, "on_missing": "ignore", "initial": None, "expire": None}
 
     def _transform(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
         how = _Prequential(p["learner"], p["features"])
+        saved = p["initial"]
         if df.isStreaming:
-            return stream_fold(df, ["model_key"], ["seq"], _Unpaired(p["learner"], p["features"], p["on_missing"]), with_state=True)
-        return fold(paired(df, p["on_missing"]), ["model_key"], ["seq"], how)
+            if saved is not None:  # a stream meets its saved model at the key's first event
+                df = df.join(saved.select("model_key", F.col("state").alias("initial")), "model_key", "left")
+            return stream_fold(df, ["model_key"], ["seq"], _Unpaired(p["learner"], p["features"], p["on_missing"], p["expire"]), with_state=True)
+        log = paired(df, p["on_missing"], p["expire"]).select("model_key", "seq", "kind", "idx", "features", "label")
+        if saved is not None:
+            first = saved.join(log.select("model_key").distinct(), "model_key", "left_semi")
+            log = log.unionByName(first.select("model_key", F.lit(-(1 << 63)).alias("seq"), F.lit("m").alias("kind"), F.lit(-1).cast("bigint").alias("idx"), F.col("state").alias("features"), F.lit(None).cast("double").alias("label")))
+        return fold(log, ["model_key"], ["seq"], how)
 
 
 class _Unpaired(_Prequential):
-    """The same on a log that is not paired yet, as in a stream: waiting features are part of the state."""
+    """The same on a log that is not paired yet, as in a stream: waiting features are part of the state until they expire."""
 
-    def __init__(self, learner: OnlineLearner, n: int, on_missing: str):
+    def __init__(self, learner: OnlineLearner, n: int, on_missing: str, expire: int | None = None):
         super().__init__(learner, n)
-        self.on_missing = on_missing
+        self.on_missing, self.expire = on_missing, expire
 
     def start(self):
-        return super().start(), {}
+        return None, {}
 
     def block(self, state, rows: pd.DataFrame):
         inner, waiting = state
+        if inner is None:
+            inner = super().start()
+            saved = rows["initial"].iloc[0] if "initial" in rows else None
+            inner = inner if saved is None else (self.learner.load(list(saved), self.n), -1)
         keep, xs = [], []
-        for kind, idx, x in zip(rows["kind"], rows["idx"], rows["features"]):
+        for kind, idx, seq, x in zip(rows["kind"], rows["idx"], rows["seq"], rows["features"]):
             if kind == "x":
-                waiting[idx] = x
+                waiting[idx] = seq, x
             else:
-                x = waiting.pop(idx, None)
+                since, x = waiting.pop(idx, (None, None))
+                x = None if since is None or (self.expire is not None and seq - since > self.expire) else x
                 if x is None and self.on_missing == "error":
                     raise ValueError(f"a label came before its features, idx {idx}")
             keep.append(x is not None)
             xs.append(x)
+        if self.expire is not None:
+            last = int(rows["seq"].iloc[-1]) - self.expire
+            waiting = {k: v for k, v in waiting.items() if v[0] >= last}
         own = rows.assign(features=xs)[keep]
         if not len(own):
             return (inner, waiting), None
@@ -129,10 +166,68 @@ class _Unpaired(_Prequential):
         return super().finish(state[0])
 
 
+def predict(learner: OnlineLearner, models: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """rows (model_key, features, ...) with the prediction of their key's saved model (null without one).
+
+    models: model_key, state. Every row is predicted where it lies if the models are few enough to be broadcast, else
+    where it meets its model; rows may be a stream in the first case.
+    """
+    asked = models.select("model_key", "state")
+    size = asked.limit(MAX_MODELS + 1).agg(F.count(F.lit(1)).alias("models"), F.coalesce(F.sum(F.size("state")), F.lit(0)).alias("numbers")).first()
+    schema = rows.withColumn("prediction", F.lit(None).cast("double")).schema
+
+    def many(model, x: np.ndarray) -> np.ndarray:
+        return learner.many(model, x) if hasattr(learner, "many") else np.array([learner.predict(model, v) for v in x])
+
+    def filled(frame: pd.DataFrame, model_of) -> pd.DataFrame:
+        out = pd.Series(np.nan, index=frame.index, dtype="f8")
+        for key, at in frame.groupby("model_key", sort=False).groups.items():
+            if (model := model_of(key, at)) is not None:
+                out[at] = many(model, np.array(frame.loc[at, "features"].tolist(), "f8").reshape(len(at), n))
+        return out
+
+    if size.models <= MAX_MODELS and size.numbers <= MAX_NUMBERS:
+        saved = rows.sparkSession.sparkContext.broadcast({r.model_key: list(r.state) for r in asked.collect()})
+
+        def run(frames):
+            loaded: dict[Any, Any] = {}
+            for frame in frames:
+                for key in frame["model_key"].dropna().unique().tolist():
+                    if key not in loaded and key in saved.value:
+                        loaded[key] = learner.load(saved.value[key], n)
+                yield frame.assign(prediction=filled(frame, lambda key, _: loaded.get(key)))
+
+        return _no_nan(rows.mapInPandas(run, schema))
+
+    def run_joined(frames):
+        for frame in frames:
+            def model_of(key, at):
+                state = frame.loc[at[0], "__state"]
+                return None if state is None else learner.load(list(state), n)
+
+            yield frame.assign(prediction=filled(frame, model_of)).drop(columns="__state")
+
+    return _no_nan(rows.join(asked.withColumnRenamed("state", "__state"), "model_key", "left").select(*rows.columns, "__state").mapInPandas(run_joined, schema))
+
+
+def _no_nan(df: DataFrame) -> DataFrame:
+    return df.withColumn("prediction", F.when(~F.isnan("prediction"), F.col("prediction")))
+
+
+class _Stated:
+    """Learners whose values are all of their model, as a vector or a row of numbers."""
+
+    def dump(self, model):
+        return self.values(model)
+
+    def load(self, state, n):
+        return np.array(state, "f8")
+
+
 # --- regression -----------------------------------------------------------------------------------------------
 
 
-class _Additive:
+class _Additive(_Stated):
     """Models (A, b) to which every label adds: A += x x' + grow * I, b += y x."""
 
     grow = 0.0
@@ -150,6 +245,17 @@ class _Additive:
     def values(self, model):
         return [*model[0].ravel().tolist(), *model[1].tolist()]
 
+    def load(self, state, n):
+        state = np.array(state, "f8")
+        return state[: n * n].reshape(n, n), state[n * n :]
+
+    def many(self, model, x):
+        return self.score(model[1], self._columns(model[0], x), x)
+
+    def _columns(self, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """A^+ x for each row of x and one A."""
+        return np.linalg.solve(a, x.T).T if self.a > 0 else x @ np.linalg.pinv(a, hermitian=True).T
+
     def _solve(self, a: np.ndarray, v: np.ndarray) -> np.ndarray:
         """A^+ v for stacks."""
         if self.a > 0:
@@ -162,8 +268,9 @@ class _Additive:
     def predict(self, model, x):
         return float(self.score(model[1], self._solve(model[0][None], x[None])[0], x))
 
-    def block(self, model, x, is_x, y, size: int = 4096):
-        out = []
+    def block(self, model, x, is_x, y, size: int | None = None):
+        """Predictions and the model after a block; as many steps at once as make stacks of a million numbers."""
+        out, size = [], size or max(1, min(4096, (1 << 20) // max(1, x.shape[1] ** 2)))
         for k in range(0, len(x), size):
             xs, px = x[k : k + size], is_x[k : k + size]
             w = np.where(px, 0.0, 1.0)
@@ -223,8 +330,15 @@ class Shrinking:
     def values(self, model):
         return model[2].tolist()
 
+    def dump(self, model):
+        return [*model[0].ravel().tolist(), *model[1].tolist(), *model[2].tolist()]
+
+    def load(self, state, n):
+        state = np.array(state, "f8")
+        return state[: n * n].reshape(n, n), state[n * n : n * n + n], state[n * n + n :]
 
-class NormalisedLMS:
+
+class NormalisedLMS(_Stated):
     """w += (y - w.x) / (eta + x.x) x"""
 
     def __init__(self, w: float = 0.0, eta: float = 1.0):
@@ -248,7 +362,7 @@ class NormalisedLMS:
 VARIANTS = ("plain", "I", "II")
 
 
-class PassiveAggressive:
+class PassiveAggressive(_Stated):
     """w += rate * y x; the rate is L / |x| (plain), min(L / |x|, c) (I) or L / (|x| + 1 / (2 c)) (II), times rho.
 
     loss="reference": L = max(0, sum(w) - y x.w), under which w = 0 never moves; "hinge": L = max(0, 1 - y x.w).
@@ -310,6 +424,12 @@ class OnlineSVM(_Margin):
     def values(self, model):
         return [*model[0].tolist(), model[1]]
 
+    def dump(self, model):
+        return self.values(model)
+
+    def load(self, state, n):
+        return np.array(state[:n], "f8"), float(state[n])
+
 
 class AdaptiveSVM(_Margin):
     """An online SVM that adapts c: only where y m(x) < 1, c -= (yp xp).(y x) / t with the last such (xp, yp) (first x itself and 1), then
@@ -333,6 +453,13 @@ class AdaptiveSVM(_Margin):
     def values(self, model):
         return [*model[0].tolist(), model[1], model[2]]
 
+    def dump(self, model):
+        w, bias, c, xp, yp = model
+        return [*w.tolist(), bias, c, yp, *([] if xp is None else xp.tolist())]
+
+    def load(self, state, n):
+        return np.array(state[:n], "f8"), float(state[n]), float(state[n + 1]), np.array(state[n + 3 :], "f8") if len(state) > n + 3 else None, float(state[n + 2])
+
 
 # --- closed forms -----------------------------------------------------------------------------------------------
 

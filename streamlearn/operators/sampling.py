@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..base import Transformer
 from ..plans.fold import Fold, fold
+from ..plans.keyed import keyed
 from ..plans.running import numbered
 from ..schemas import require
 from ..streaming.state import stream_fold
@@ -49,10 +50,10 @@ class SimpleReservoirSampling(Transformer):
     gives the log (order and slot of what is accepted), from which any consumer keeps the last of each slot.
     """
 
-    defaults: dict[str, Any] = {"key": "pid", "order": "seq", "k": 10, "seed": 0, "uniform": None, "output": "log"}
+    defaults: dict[str, Any] = {"key": "pid", "order": "seq", "k": 10, "seed": 0, "uniform": None, "output": "log", "partitions": None}
 
     def _transform(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
-        key, order, k = p["key"], p["order"], p["k"]
+        key, order, k, df = p["key"], p["order"], p["k"], keyed(df, p)
         require(df, key, order, operator="SimpleReservoirSampling")
         u = F.col(p["uniform"]) if p["uniform"] else uniform(p["seed"], key, order)
         if df.isStreaming:
@@ -68,21 +69,43 @@ class SimpleReservoirSampling(Transformer):
         return last.select(key, "slot", "x.*")
 
 
+class _Heaviest(Fold):
+    schema = "at bigint, rank int, seq bigint, priority double"
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def start(self):
+        return None, []
+
+    def block(self, state, rows: pd.DataFrame):
+        held = [*state[1], *zip((-rows["priority"]).tolist(), rows["seq"].tolist())]
+        return (int(rows["seq"].iloc[-1]), sorted(held)[: self.k]), None
+
+    def finish(self, state):
+        at, held = state
+        return pd.DataFrame({"at": at, "rank": np.arange(1, len(held) + 1, dtype="i4"), "seq": [s for _, s in held], "priority": [-x for x, _ in held]})
+
+
 class WeightedReservoirSampling(Transformer):
     """A-Res: the k elements of each key with the largest u ** (1 / weight); the weight is data[0] unless a column is named.
 
     Elements whose weight is not positive (or null) are never drawn. Ranked within tasks first, so a hot key sends k
-    rows from each of them.
+    rows from each of them. A stream gives the reservoir of each key it has met after every micro-batch: at (the last
+    order seen), rank, seq and priority.
     """
 
-    defaults: dict[str, Any] = {"key": "pid", "order": "seq", "k": 4, "seed": 0, "uniform": None, "weight": None}
+    defaults: dict[str, Any] = {"key": "pid", "order": "seq", "k": 4, "seed": 0, "uniform": None, "weight": None, "partitions": None}
 
     def _transform(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
-        key, order = p["key"], p["order"]
+        key, order, df = p["key"], p["order"], keyed(df, p)
         require(df, key, order, operator="WeightedReservoirSampling")
         w = F.col(p["weight"]) if p["weight"] else F.get("data", F.lit(0))
         u = F.col(p["uniform"]) if p["uniform"] else uniform(p["seed"], key, order)
         ranked = df.withColumn("priority", F.when(w > 0, F.pow(u, 1.0 / w))).where("priority is not null")
+        if df.isStreaming:
+            rows = ranked.select(key, F.col(order).cast("bigint").alias("seq"), "priority")
+            return stream_fold(rows, [key], ["seq"], _Heaviest(p["k"]), with_state=True)
         first = Window.partitionBy(key).orderBy(F.desc("priority"), order)
         return ranked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= p["k"])
 

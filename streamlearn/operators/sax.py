@@ -159,6 +159,9 @@ class SAXDictionary(Predictor):
 
     def _predict(self, df: DataFrame, p: dict[str, Any]) -> DataFrame:
         require(df, p["key"], p["order"], "word", operator="SAXDictionary")
+        if df.isStreaming:
+            rows = df.select(p["key"], F.col(p["order"]).alias("word_no"), "word")
+            return classify_windows(stream_fold(rows, [p["key"]], ["word_no"], _Windows(p["words"])), self._bags(), p["key"])
         rows = numbered(df.select(p["key"], p["order"], "word"), [p["key"]], [p["order"]])
         rows = rows.withColumn("window_no", F.floor((F.col("rn") - 1) / p["words"]))
         return classify(rows.select(p["key"], "window_no", "word"), self._bags(), p["key"], p["words"])
@@ -171,6 +174,29 @@ class SAXDictionary(Predictor):
     def load(self, spark: SparkSession, path: str) -> SAXDictionary:
         return self.with_table(spark.read.parquet(f"{path}/bags"))
 
+    def load_text(self, spark: SparkSession, path: str) -> SAXDictionary:
+        """A model from the text files alone: it predicts as the saved one; counts (freq) are not in them."""
+        return self.with_table(load_weights(spark, path).select("class", "word", F.lit(None).cast("bigint").alias("freq"), "tfidf"))
+
+
+class _Windows(Fold):
+    """The words of each full window of a key."""
+
+    schema = "window_no bigint, words array<string>"
+
+    def __init__(self, words: int):
+        self.words = words
+
+    def start(self):
+        return 0, []
+
+    def block(self, state, rows: pd.DataFrame):
+        done, held = state
+        held = [*held, *rows["word"].tolist()]
+        full = len(held) // self.words
+        out = [(done + k, held[k * self.words : (k + 1) * self.words]) for k in range(full)]
+        return (done + full, held[full * self.words :]), pd.DataFrame(out, columns=["window_no", "words"])
+
 
 def load_weights(spark: SparkSession, path: str) -> DataFrame:
     """class, word, tfidf of a saved dictionary's text files."""
@@ -203,4 +229,37 @@ def classify(rows: DataFrame, bags: DataFrame, key: str, words: int) -> DataFram
     return out.select(key, "window_no", F.when(F.coalesce("similarity", F.lit(0.0)) > 0, F.col("class")).otherwise(first).alias("class"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
-__all__ = ["SAX", "SAXDictionary", "classify", "cuts", "distance_matrix", "fit_stats", "letter", "load_weights", "weighted"]
+def classify_windows(windows: DataFrame, bags: DataFrame, key: str) -> DataFrame:
+    """The same for rows (key, window_no, words) of full windows, one by one, as in a stream; the dictionary is broadcast,
+    and refused if it has more than MAX_BROADCAST_WORDS rows: then micro-batches (foreachBatch) can be classified."""
+    held = bags.select("class", "word", "tfidf").limit(MAX_BROADCAST_WORDS + 1).collect()
+    if len(held) > MAX_BROADCAST_WORDS:
+        raise ValueError(f"a dictionary of more than {MAX_BROADCAST_WORDS} words is not broadcast: predict in foreachBatch")
+    weights: dict[str, dict[str, float]] = {}
+    for r in held:
+        weights.setdefault(r["class"], {})[r.word] = r.tfidf
+    shared = windows.sparkSession.sparkContext.broadcast(sorted(weights.items()))
+
+    def run(frames):
+        norms = [sum(x * x for x in words.values()) ** 0.5 for _, words in shared.value]
+        for frame in frames:
+            found = []
+            for words in frame["words"]:
+                counts: dict[str, int] = {}
+                for w in words:
+                    counts[w] = counts.get(w, 0) + 1
+                size = sum(c * c for c in counts.values()) ** 0.5
+                best = (shared.value[0][0] if shared.value else None, 0.0)
+                for (name, own), norm in zip(shared.value, norms):
+                    dot = sum(c * own.get(w, 0.0) for w, c in counts.items())
+                    s = dot / (size * norm) if size * norm > 0 else 0.0
+                    if round(s, 12) > round(best[1], 12):
+                        best = (name, s)
+                found.append(best)
+            yield frame[[key, "window_no"]].assign(**{"class": [c for c, _ in found], "similarity": [float(s) for _, s in found]})
+
+    kind = windows.schema[key].dataType.simpleString()
+    return windows.mapInPandas(run, f"`{key}` {kind}, window_no bigint, class string, similarity double")
+
+
+__all__ = ["SAX", "SAXDictionary", "classify", "classify_windows", "cuts", "distance_matrix", "fit_stats", "letter", "load_weights", "weighted"]

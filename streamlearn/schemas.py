@@ -4,20 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Columns (name, type) of each kind of input; operators accept more columns and other orders.
-SAMPLE = "seq bigint, slice array<int>, data array<double>"
-WEIGHTED_SAMPLE = "seq bigint, slice array<int>, data array<double>, weight array<double>"
-VECTOR = "seq bigint, data array<double>"
-SERIES = "key int, seq bigint, value double"
-WORDS = "key int, word_no bigint, word string"
-LABELLED_WORDS = "class string, word string"
-LOG = "seq bigint, kind string, idx bigint, features array<double>, label double"
-SENSOR = "coil_id bigint, seq bigint, x double, features array<double>"
-LABEL_BUNDLE = "coil_id bigint, seq bigint, poses array<double>, labels array<double>"
-DOCUMENT = "doc_id bigint, tokens array<string>"
-
 
 def require(df: DataFrame, *columns: str, operator: str) -> None:
+    """Columns that must be there; operators accept more columns and other orders."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"{operator} needs the columns {', '.join(columns)}; {', '.join(missing)} missing among {', '.join(df.columns)}")

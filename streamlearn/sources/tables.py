@@ -47,11 +47,12 @@ def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("event_type").alias("pid"), F.col("event_id").alias("seq"), "ts", F.array(F.lit(0), F.lit(1)).alias("slice"), data.alias("data"), F.array(F.col("user_id") % 5 + 1.0, F.lit(2.0)).alias("weight"))
 
 
-def event_log(spark: SparkSession, sf_dir: str, delay: int = 3, classes: bool = False) -> DataFrame:
-    """Features at seq 2 i and their label at seq 2 (i + delay) + 1, in models by event type."""
+def event_log(spark: SparkSession, sf_dir: str, delay: int = 3, classes: bool = False, slope: float = 0.0) -> DataFrame:
+    """Features at seq 2 i and their label at seq 2 (i + delay) + 1, in models by event type; slope: of the second feature in labels."""
     t = table(spark, sf_dir, "events")
     x = F.array(F.col("value") / 97, (F.col("event_id") % 7 - 3) / 3.0)
     y = F.when(F.col("user_id") % 3 == 0, -1.0).otherwise(1.0) if classes else F.col("value") / 53 - (F.col("user_id") % 5) / 3.7
+    y = y + slope * x[1] if slope else y
     rows = t.select(F.col("event_type").alias("model_key"), F.col("event_id").alias("idx"), x.alias("x"), y.alias("y"))
     seen = rows.select("model_key", (F.col("idx") * 2).alias("seq"), F.lit("x").alias("kind"), "idx", F.col("x").alias("features"), F.lit(None).cast("double").alias("label"))
     told = rows.select("model_key", ((F.col("idx") + delay) * 2 + 1).alias("seq"), F.lit("y").alias("kind"), "idx", F.lit(None).cast("array<double>").alias("features"), F.col("y").alias("label"))

@@ -101,3 +101,13 @@ def test_moving_stream_equals_batch(spark, sf_dir, tmp_path):
     drain(q2, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     key = lambda df: sorted((r.pid, r.seq, r.feature, r.n, round(r.mean, 9), round(r.variance, 9)) for r in df.collect())
     assert len(key(spark.read.parquet(f"{tmp_path}/out"))) == len(key(M.ExponentialMomentsEstimator().transform(events)))
+
+
+def test_events_without_a_key_are_dealt_out(spark):
+    df = spark.range(4000).select(F.col("id").alias("seq"), F.array(F.lit(0)).alias("slice"), F.array((F.col("id") % 10).cast("double")).alias("data"))
+    out = M.MomentsEstimator(output="final", partitions=8).transform(df)
+    assert out.count() == 8 and out.agg(F.sum("n")).first()[0] == 4000 and out.agg(F.min("n")).first()[0] > 300
+    key = lambda d: sorted((r.pid, r.n, round(r.mean, 9), round(r.variance, 9)) for r in d.collect())
+    assert key(out) == key(M.MomentsEstimator(output="final", partitions=8).transform(df.repartition(5)))
+    with pytest.raises(ValueError, match="pid"):
+        M.MomentsEstimator(output="final").transform(df)

@@ -180,3 +180,64 @@ def test_sensor_rows_keep_their_order_after_a_million(spark, monkeypatch):
     assert rows.select("seq").distinct().count() == 160
     late = rows.join(bundles.select("coil_id", F.col("seq").alias("labelled")), "coil_id").where("labelled > seq + 60 or labelled <= seq")
     assert late.count() == 0
+
+
+LEARNERS = [
+    (O.Ridge(), False), (O.Aggregating(), False), (O.Lasso(gamma=4.0), False), (O.Ridge(a=0.0), False), (O.Shrinking(penalty=[[0.5, 0.1], [0.1, 0.5]]), False),
+    (O.Shrinking(competitive=True), False), (O.NormalisedLMS(), False), (O.PassiveAggressive("II", loss="hinge"), True), (O.OnlineSVM(), True), (O.AdaptiveSVM(), True),
+]
+
+
+@pytest.mark.parametrize(("learner", "classes"), LEARNERS)
+def test_learning_goes_on_from_saved_models(spark, sf_dir, learner, classes):
+    log = T.event_log(spark, sf_dir, delay=0, classes=classes)
+    run = lambda rows, **how: O.Prequential(learner=learner, features=2, **how).transform(rows)
+    key = lambda d: sorted((r.model_key, r.seq, r.prediction) for r in d.where("kind = 'prediction'").collect())
+    whole = run(log)
+    models = run(log.where("seq < 900")).where("kind = 'model'").select("model_key", "state")
+    models = spark.createDataFrame(models.collect(), models.schema)  # saved
+    rest = [r for r in key(whole) if r[1] >= 900]
+    got = key(run(log.where("seq >= 900"), initial=models))
+    assert [r[:2] for r in got] == [r[:2] for r in rest] and np.allclose([r[2] for r in got], [r[2] for r in rest], atol=1e-9)
+    # and saved models predict by themselves, broadcast or joined
+    rows = log.where("kind = 'x'").select("model_key", "idx", "features")
+    want = {(r.model_key, r.idx): r.prediction for r in O.Prequential(learner=learner, features=2, initial=models).transform(log.where("kind = 'x'")).where("kind = 'prediction'").collect()}
+    for most in (10_000, 0):
+        O.MAX_MODELS, old = most, O.MAX_MODELS
+        try:
+            found = {(r.model_key, r.idx): r.prediction for r in O.predict(learner, models, rows, 2).collect()}
+        finally:
+            O.MAX_MODELS = old
+        assert found.keys() == want.keys() and np.allclose([found[k] for k in want], list(want.values()), atol=1e-9)
+
+
+def test_rows_without_a_model_get_no_prediction(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 0.0]), (None, [0.0, 0.0])], "model_key string, features array<double>")
+    models = spark.createDataFrame([("a", [0.5, 0.25])], "model_key string, state array<double>")
+    assert {r.model_key: r.prediction for r in O.predict(O.NormalisedLMS(), models, rows, 2).collect()} == {"a": 1.0, "b": None, None: None}
+
+
+def test_waiting_features_expire(spark):
+    rows = [(0, 0, "x", 0, [1.0, 0.0], None), (0, 5, "x", 1, [0.0, 1.0], None), (0, 10, "y", 0, None, 1.0), (0, 11, "y", 1, None, 2.0)]
+    how = O.Prequential(learner=O.Ridge(), features=2, expire=6)
+    (end,) = [r.model for r in how.transform(spark.createDataFrame(rows, LOG)).collect() if r.kind == "model"]
+    assert end == [1, 0, 0, 2, 0, 2]  # the first label came too late
+    waiting = O._Unpaired(O.Ridge(), 2, "ignore", 6)
+    import pandas as pd
+
+    state, _ = waiting.block(waiting.start(), pd.DataFrame(rows, columns=["model_key", "seq", "kind", "idx", "features", "label"]))
+    assert state[1] == {}
+
+
+def test_many_features(spark):
+    """76 features: blocks of matrices stay small."""
+    rnd = np.random.default_rng(1)
+    x, w = rnd.normal(size=(300, 76)), rnd.normal(size=76)
+    learner, model, seen = O.Ridge(), O.Ridge().start(76), []
+    for row in x:
+        seen.append(learner.predict(model, row))
+        model = learner.update(model, row, float(row @ w), 0)
+    both = np.repeat(x, 2, axis=0)
+    is_x = np.arange(600) % 2 == 0
+    end, p = learner.block(learner.start(76), both, is_x, np.repeat(x @ w, 2))
+    assert np.allclose(p, seen, atol=1e-6) and np.allclose(end[0], model[0])

@@ -156,7 +156,7 @@ def test_topics_query_is_the_whole_job(monkeypatch, spark, sf_dir):
 
     class Fitted:
         def topics(self, spark):
-            return None
+            return spark.createDataFrame([], "topic int, word string, weight double")
 
     monkeypatch.setattr(topics.OnlineLDA, "fit", lambda self, docs: seen.append(dict(self.params)) or Fitted())
     catalogue.QUERIES["lda_topics"](spark, sf_dir)
