@@ -25,6 +25,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: Pre-tokenisation of byte-level BPE: contractions, letters, numbers, other marks, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words encoded together, and words in each of the two generations of a worker's memo.
@@ -263,4 +265,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id"
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), run, schema)

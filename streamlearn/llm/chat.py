@@ -30,7 +30,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import map_arrow, staged
 
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 REFERENCE = re.compile(r"^\$([A-Za-z0-9_-]+)\Z")
@@ -164,7 +164,7 @@ def _parsed(messages: DataFrame, tools: dict) -> DataFrame:
             calls = [[{"id": coded(i), "name": coded(n), "arguments": a, "error": coded(e), "needs": [canonical(x) for x in needs]} for i, n, a, e, needs in g[1]] for g in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([canonical(g[0]) for g in got], pa.string()), pa.array([coded(g[2]) for g in got], pa.string()), pa.array(calls, pa.list_(call))], ["conv_id", "turn", "role", "content", "answers", "calls"])
 
-    return messages.mapInArrow(run, _PARSED)
+    return map_arrow(messages, run, _PARSED)
 
 
 def settle(rows: list[tuple]) -> list[tuple[int, list[str]]]:
@@ -209,7 +209,7 @@ def _settled(calls: DataFrame) -> DataFrame:
             yield flush(rows)
 
     near = calls.select("conv_id", "id", "at", "level", "open").repartitionByRange("conv_id", "at").sortWithinPartitions("conv_id", "at", "id")
-    return near.mapInArrow(run, "conv_id bigint, id string, at bigint, level int, open array<string>")
+    return map_arrow(near, run, "conv_id bigint, id string, at bigint, level int, open array<string>")
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def _written(rows: DataFrame) -> DataFrame:
                 out.append((r["conv_id"], r["turn"], r["role"], level or 0, len(calls), sum(c["status"] == "linked" for c in calls), sum(c["status"] != "linked" for c in calls), state, message))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(types)], names)
 
-    return rows.select("conv_id", "turn", "role", "content", "answers", "linked", "level", "found", "call_level").mapInArrow(run, _WRITTEN)
+    return map_arrow(rows.select("conv_id", "turn", "role", "content", "answers", "linked", "level", "found", "call_level"), run, _WRITTEN)
 
 
 def ordered(chats: DataFrame) -> DataFrame:

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import shared_dir, staged
 
-__all__ = ["SECOND_SEED", "WS", "WS_CLASS", "Coded", "Taken", "bit_table", "hash_pair", "let", "read", "sampled", "shared_dir", "spread_join", "staged", "training_texts"]
+__all__ = ["SECOND_SEED", "WS", "WS_CLASS", "Coded", "Taken", "bit_table", "hash_pair", "let", "map_arrow", "read", "sampled", "shared_dir", "spread_join", "staged", "training_texts"]
 
 #: The white space that separates words, as a Python string and inside a regex class.
 WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"\x20\x09-\x0D"
 #: Mixed in front of a value to get a second, independent 64-bit hash of it.
 SECOND_SEED = 0x5DEECE66D
+#: Bytes of an Arrow batch, unless the session says otherwise: a batch is held by the JVM and by Python at once.
+BATCH_BYTES = 4 << 20
 #: A key is hot if it has more than one of so many rows; there are at most as many hot keys.
 HOT_SHARE = 2048
 
@@ -31,6 +33,17 @@ def hash_pair(value: Column) -> tuple[Column, Column]:
     return F.xxhash64(value), F.xxhash64(F.lit(SECOND_SEED), value)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow in batches that stay small however long the texts are (a batch holds one row at least).
+
+    The limit is a setting of the session, so it is set there, where the session does not set it itself.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -37,7 +37,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Coded, bit_table, staged
+from .common import Coded, bit_table, map_arrow, staged
 
 WINDOW, MIN_TOKENS, MIN_WORDS = 8, 5, 3
 #: Most characters of benchmark text that are broadcast.
@@ -62,7 +62,7 @@ class View(NamedTuple):
 class Templates:
     """Both views of texts, and the stretches (start, tokens) of their lines in the first."""
 
-    def __init__(self, keep: int = 200_000):
+    def __init__(self, keep: int = 150_000):
         import re
 
         self.find = re.compile(r"[.!?:;\n]|\d+(?:[.,]\d+)*|[^\W\d_]+|\w+").findall
@@ -341,7 +341,7 @@ def _batch(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], getattr(pa, kind)()) for c, (_, kind) in enumerate(_FIELDS)], [n for n, _ in _FIELDS])
 
 
-def _pieces(batches, chars: int = 500_000) -> Iterator[tuple[list[tuple], list[str]]]:
+def _pieces(batches, chars: int = 250_000) -> Iterator[tuple[list[tuple], list[str]]]:
     """(doc_id, text_hash) and texts of a few documents at a time."""
     for batch in batches:
         rows, texts, n = [], [], 0
@@ -362,7 +362,7 @@ def _matches(own: DataFrame, items, min_cover: float, min_run: int) -> DataFrame
         for rows, texts in _pieces(batches):
             yield _batch([(*rows[n], match.b.ids[item], *rest) for n, item, *rest in match(texts)])
 
-    return own.mapInArrow(run, SCHEMA)
+    return map_arrow(own, run, SCHEMA)
 
 
 def _key() -> Column:
@@ -383,7 +383,7 @@ def _joined(own: DataFrame, items: DataFrame, min_cover: float, min_run: int) ->
                 h = np.unique(np.concatenate([np.empty(0, "u8"), *Benchmark([(0, t)]).hashes()]))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array(np.full(len(h), k))], ["h", "k"])
 
-    table = staged(items.select("k", "t").mapInArrow(of_items, "h bigint, k bigint"), "bench-windows")
+    table = staged(map_arrow(items.select("k", "t"), of_items, "h bigint, k bigint"), "bench-windows")
     low, high = F.pmod("h", F.lit(FILTER_BITS)), F.pmod(F.call_function("shiftright", "h", F.lit(32)), F.lit(FILTER_BITS))
     bits = own.sparkSession.sparkContext.broadcast(bit_table(table.select(F.explode(F.array(low, high)).alias("bit")), FILTER_BITS))
 
@@ -401,7 +401,7 @@ def _joined(own: DataFrame, items: DataFrame, min_cover: float, min_run: int) ->
             at = got[:, 1].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array([rows[n][0] for n in at], pa.int64()), pa.array([rows[n][1] for n in at], pa.int64())], ["h", "doc_id", "text_hash"])
 
-    shared = own.mapInArrow(of_docs, "h bigint, doc_id bigint, text_hash bigint").select("h", _key().alias("d"), "text_hash")
+    shared = map_arrow(own, of_docs, "h bigint, doc_id bigint, text_hash bigint").select("h", _key().alias("d"), "text_hash")
     pairs = shared.join(table, "h").select("d", "text_hash", "k").distinct()
     met = own.withColumn("d", _key()).join(pairs, ["d", "text_hash"]).select("doc_id", "text_hash", "text", "k").join(items, "k")
 
@@ -417,7 +417,7 @@ def _joined(own: DataFrame, items: DataFrame, min_cover: float, min_run: int) ->
                 out += [(d, h, i, *rest) for _, _, *rest in matchers[k]([text])]
             yield _batch(out)
 
-    return met.select("doc_id", "text_hash", "text", "k", "i", "t").mapInArrow(run, SCHEMA)
+    return map_arrow(met.select("doc_id", "text_hash", "text", "k", "i", "t"), run, SCHEMA)
 
 
 def without_contaminated(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

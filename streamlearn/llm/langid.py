@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled
+from .common import map_arrow, sampled
 
 CELLS = 1 << 15
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -202,7 +202,7 @@ def train(docs: DataFrame, *, doc_id: str, text: str, lang: str, train_docs: int
             out += [(k, s, -1, n) for (k, s), n in letters.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "script", "cell", "n"])
 
-    sums = some.mapInArrow(count, "lang string, script string, cell int, n bigint").groupBy("lang", "script", "cell").agg(F.sum("n").alias("n"))
+    sums = map_arrow(some, count, "lang string, script string, cell int, n bigint").groupBy("lang", "script", "cell").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[int, int]] = defaultdict(dict)
     letters: dict[str, dict[str, int]] = defaultdict(dict)
     for r in sums.collect():  # languages x cells at most
@@ -257,4 +257,4 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
                 start = stop
 
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return own.mapInArrow(run, SCHEMA)
+    return map_arrow(own, run, SCHEMA)

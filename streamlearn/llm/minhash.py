@@ -14,8 +14,7 @@ compared with each other without leaving their task: 1 - J_P and 1 - J are metri
 to the leader differ by at most 1 - threshold can be similar, and of those only pairs whose signatures, first short
 and then long ones, agree in so many registers that a similar pair is missed with a probability under 1e-6, are verified exactly.
 A task joins what it links at once and skips pairs already joined, so it returns fewer links than it has members.
-Large groups are compared in blocks by many tasks. Joins on buckets, leaders, classes and texts spread the rows of hot
-keys. Classes are the connected components of all links, found with alternating large-star and
+Large groups are compared in blocks by many tasks. Joins on buckets, classes and texts spread the rows of hot keys. Classes are the connected components of all links, found with alternating large-star and
 small-star steps on distributed tables.
 
 Equal texts are one node (the MD5 of the text) from the start, so copies cost a row each and no pairs.
@@ -33,18 +32,20 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SECOND_SEED, WS_CLASS, Coded, bit_table, spread_join, staged
+from .common import SECOND_SEED, WS_CLASS, Coded, bit_table, map_arrow, spread_join, staged
 
 SHINGLE_WORDS = 5
 #: bands x rows registers: at a J_P of 0.8 a pair shares no band with probability 5e-8; a high J alone promises nothing.
 BANDS, ROWS = 32, 4
-#: Pairs of one leader verified by one task.
-PAIRS_A_TASK = 512
+#: Pairs verified by one task.
+PAIRS_A_TASK = 20_000
 #: Shingles of the members of one leader compared by one task with as many others; a member goes to as many tasks as
 #: its leader has blocks.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 500_000
 #: Registers of the long signatures, and standard deviations below the threshold that still pass.
 LONG, DEVIATIONS = 512, 5.0
+#: Most leaders with several components that are broadcast (32 bytes each); beyond it they are joined by an exchange.
+MAX_BROADCAST_LEADERS = 500_000
 #: Bits of the fixed-size filter of wanted texts (8 MB).
 FILTER_BITS = 1 << 26
 #: Distances this close to the limit count as within it (rounding).
@@ -192,14 +193,14 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             if ids:
                 yield emit(ids, nodes, sets)
 
-    return docs.select("doc_id", _text_node(F.col("text")).alias("node"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, node binary, buckets array<bigint>, sig binary")
+    return map_arrow(docs.select("doc_id", _text_node(F.col("text")).alias("node"), F.coalesce(F.col("text"), F.lit("")).alias("text")), run, "doc_id bigint, node binary, buckets array<bigint>, sig binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """lead, node and their distances d_p = 1 - J_P and d_j = 1 - J. A leader's set goes once to each task that verifies its pairs."""
-    many = staged(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("n")), "minhash-many")
-    salted = spread_join(pairs, many, "lead", "n").select("lead", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PAIRS_A_TASK)).alias("salt"))
-    salted = staged(salted, "minhash-pairs")
+    """lead, node and their distances d_p = 1 - J_P and d_j = 1 - J. Pairs are dealt out by range, so one leader's are
+    many tasks' work; its set goes once to each of them."""
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS_A_TASK))
+    salted = staged(pairs.repartitionByRange(tasks, "lead", "node").withColumn("salt", F.spark_partition_id()), "minhash-pairs")
     members = salted.select("node", "lead", "salt", F.lit(1).alias("kind"))
     leaders = salted.select(F.col("lead").alias("node"), "lead", "salt", F.lit(0).alias("kind")).distinct()
     both = members.unionByName(leaders).join(sets, "node").select("lead", "salt", "kind", "node", "hashes", "weights")
@@ -222,7 +223,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             types = (pa.binary(), pa.binary(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(types)], ["lead", "node", "d_p", "d_j"])
 
-    return both.mapInArrow(run, "lead binary, node binary, d_p double, d_j double")
+    return map_arrow(both, run, "lead binary, node binary, d_p double, d_j double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -328,7 +329,7 @@ def _links_within(groups: DataFrame, threshold: float) -> DataFrame:
         if key:
             yield flush()
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return map_arrow(rows, run, "a binary, b binary")
 
 
 def _filter_bits(node: Column) -> Column:
@@ -364,7 +365,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         sets.append(shingle(batch.column(1)[k].as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([h.view("i8") for h, _ in sets], pa.list_(pa.int64())), pa.array([w.astype("i4") for _, w in sets], pa.list_(pa.int32()))], ["node", "hashes", "weights"])
 
-    found = docs.select("node", F.coalesce("text", F.lit("")).alias("text"), _filter_bits(F.col("node")).alias("pos")).mapInArrow(run, "node binary, hashes array<bigint>, weights array<int>")
+    found = map_arrow(docs.select("node", F.coalesce("text", F.lit("")).alias("text"), _filter_bits(F.col("node")).alias("pos")), run, "node binary, hashes array<bigint>, weights array<int>")
     return found.dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi")
 
 
@@ -396,9 +397,10 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     at_lead = found.union(found.select("lead", F.col("lead").alias("node"), F.lit(0.0).alias("d_p"), F.lit(0.0).alias("d_j")).distinct())
     at_lead = at_lead.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     at_lead = staged(at_lead.join(sets.select("node", F.size("hashes").alias("size")), "node"), "minhash-at-lead")
-    split = at_lead.groupBy("lead").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("members"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2")
-    split = staged(split.select("lead", "n", "members"), "minhash-split")
-    open_ = staged(spread_join(at_lead, split, "lead", "members").where("n is not null").drop("size", "members"), "minhash-open")
+    split = at_lead.groupBy("lead").agg(F.sum("size").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2")
+    split = staged(split.select("lead", "n"), "minhash-split")
+    few = split.limit(MAX_BROADCAST_LEADERS + 1).count() <= MAX_BROADCAST_LEADERS
+    open_ = staged(at_lead.join(F.broadcast(split) if few else split, "lead").drop("size"), "minhash-open")
     full = open_.join(nodes.select("node", "sig"), "node").join(sets, "node")
     links2 = staged(_links_within(full, threshold), "minhash-links")
     # links between components join those
@@ -412,8 +414,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     # classes are summed up from components, and go back to components, nodes and rows in turn
     comps = own.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.min("least_id").alias("least_id"))
     comps = staged(comps.join(comp2, F.col("comp") == F.col("c_node"), "left").select("comp", "n", "rows", "least_id", F.coalesce("c_comp", "comp").alias("key")), "minhash-comps")
-    ids = staged(comps.groupBy("key").agg(F.min("least_id").alias("class_id"), F.sum("rows").alias("class_size"), F.count(F.lit(1)).alias("comps")), "minhash-ids")
-    comps = staged(spread_join(comps.select("comp", "n", "key"), ids, "key", "comps").drop("comps"), "minhash-classes")
+    ids = comps.groupBy("key").agg(F.min("least_id").alias("class_id"), F.sum("rows").alias("class_size"))
+    comps = staged(comps.select("comp", "n", "key").join(ids, "key"), "minhash-classes")
     own = staged(spread_join(own.select("node", "rows", "links", "comp"), comps, "comp", "n").drop("comp", "n"), "minhash-classed")
     out = spread_join(signed.select("doc_id", "node"), own, "node", "rows")
     return out.select("doc_id", "node", "class_id", F.lower(F.hex("key")).alias("class_key"), "class_size", "links")

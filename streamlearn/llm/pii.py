@@ -32,7 +32,7 @@ from itertools import chain, pairwise
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Taken, training_texts
+from .common import Taken, map_arrow, training_texts
 
 #: Kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -357,4 +357,4 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tra
             columns = [pa.array([r[c] for r in out], kind) for c, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), run, SCHEMA)

@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Taken, training_texts
+from .common import Taken, map_arrow, training_texts
 
 KINDS = ("assign", "access", "hex")
 ADDED = "markov"
@@ -205,4 +205,4 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 columns = [pa.array([r[c] for r in out], kind) for c, kind in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), run, SCHEMA)
