@@ -34,3 +34,19 @@ def small_dir(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty_docs(spark):
     return spark.createDataFrame([], "doc_id bigint, text string, lang string")
+
+
+@pytest.fixture(scope="session")
+def labelled_dir(spark, tmp_path_factory):
+    """Tables with so many clean labelled documents that cutoffs beyond the base rules are certified; all other columns
+    and tables that the pipeline reads are there."""
+    path = tmp_path_factory.mktemp("labelled")
+    rows = [(i, " ".join(f"t{i}x{j}" for j in range(60)), "en") for i in range(3000)]
+    rows += [(5000 + i, " ".join(f"t{i}y{j}%%%" for j in range(60)), "en") for i in range(400)]
+    rows += [(7000 + i, "\n".join([f"head{i} of this text", *["the same line"] * 9, *(f"w{i}z{j} and more of it" for j in range(20))]), "en") for i in range(300)]
+    rows += [(9000 + i, " ".join(f"t{i}v{j}|" for j in range(60)), "xx") for i in range(30)] + [(None, None, None)]
+    docs = spark.createDataFrame([(*r, "src", len(r[1] or "")) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{path}/documents.parquet")
+    docs.where("doc_id is not null").selectExpr("doc_id", "cast(doc_id < 5000 as int) as quality", "0 as toxic").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(0, rows[7][1]), (1, None)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)

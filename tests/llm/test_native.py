@@ -175,3 +175,14 @@ def test_blocks_find_the_cuts_of_groups(spark, monkeypatch):
     whole = sharding.find_cuts(groups, 12, [])
     monkeypatch.setattr(sharding, "MAX_ITEMS", 256)
     assert sharding.find_cuts(groups, 12, []) == whole
+
+
+def test_sharding_query(spark, sf_dir):
+    out = Q.op3_sharding(spark, sf_dir).collect()
+    assert {(r.law, r.grown_shard) for r in out} == {("bytes", None)}
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in Q.read(spark, sf_dir, "documents").collect())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == want
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())

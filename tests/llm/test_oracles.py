@@ -9,10 +9,10 @@ from streamlearn.llm import oracles
 from streamlearn.llm import queries as Q
 
 
-@pytest.mark.parametrize("where", ["sf", "odd"])
+@pytest.mark.parametrize("where", ["sf", "odd", "labelled"])
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
-def test_equals_sql(spark, sf_dir, small_dir, name, where):
-    d = sf_dir if where == "sf" else small_dir
+def test_equals_sql(spark, sf_dir, small_dir, labelled_dir, name, where):
+    d = {"sf": sf_dir, "odd": small_dir, "labelled": labelled_dir}[where]
     con = duckdb.connect()
     for t in ("documents", "labels"):
         path = f"{d}/{t}.parquet"
@@ -25,6 +25,12 @@ def test_equals_sql(spark, sf_dir, small_dir, name, where):
     assert key([tuple(r) for r in df.collect()], df.columns) == key(found.fetchall(), columns)
 
 
+def test_cutoffs_reject_beyond_the_base_rules(spark, labelled_dir):
+    """The table on which the SQL agrees is one where the certified cutoffs act."""
+    out = Q.op4_quality_rules(spark, labelled_dir).where("not base_failed and not kept").collect()
+    assert {r.doc_id // 1000 for r in out} == {5} and len(out) == 400
+
+
 def test_queries_are_named_for_their_operators():
     assert [n.split("_")[0] for n in Q.queries()] == [f"op{k}" for k in range(1, 11)]
     assert set(Q.oracle_sql()) <= set(Q.queries())

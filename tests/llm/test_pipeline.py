@@ -67,4 +67,26 @@ def test_whole(spark, sf_dir, stages):
 
 
 def test_odd(spark, small_dir):
-    assert P.run(spark, small_dir).count() >= 0
+    """Nulls, repeated rows, empty texts: each of the odd rows fails a base rule, and the run still has its columns."""
+    out = P.run(spark, small_dir)
+    assert out.collect() == [] and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+
+
+def test_certified_cutoffs_act(spark, labelled_dir):
+    """Junk beyond the base rules goes, where clean labelled documents certify a cutoff, and the copy of an item."""
+    docs = Q.read(spark, labelled_dir, "documents")
+    assert {r.doc_id for r in P.quality_rules(spark, docs, labelled_dir).collect()} == {*range(3000), *range(9000, 9030)}
+    assert {r.doc_id for r in P.run(spark, labelled_dir).collect()} == {*range(3000), *range(9000, 9030)} - {7}
+
+
+def test_clashing_columns_and_empty_tables(spark, small_dir, sf_dir):
+    docs = Q.read(spark, sf_dir, "documents").limit(60)
+    more = docs.selectExpr("*", "1 as node", "'x' as text_hash", "2 as n", "3 as dropped", "4 as keep_runs", "5 as kept", "6 as comp", "7 as d", "8 as stratum")
+    for _, stage in P.STAGES[:-1]:
+        key = lambda d: sorted((r.doc_id, r.text or "") for r in d.collect())
+        out, plain = stage(spark, more, sf_dir), stage(spark, docs, sf_dir)
+        assert out.columns == more.columns and key(out) == key(plain)
+    assert P.STAGES[-1][1](spark, more, sf_dir).count() == 60
+    empty = docs.where("doc_id < 0")
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
