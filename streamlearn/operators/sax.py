@@ -221,8 +221,9 @@ def classify(rows: DataFrame, bags: DataFrame, key: str, words: int) -> DataFram
         weights = F.broadcast(weights)
     dots = counts.join(weights, "word").groupBy(key, "window_no", "class", "class_norm").agg(F.sum(F.col("c") * F.col("tfidf")).alias("dot"))
     scored = dots.join(windows, [key, "window_no"]).select(key, "window_no", "class", F.when(F.col("class_norm") * F.col("norm") > 0, F.col("dot") / (F.col("class_norm") * F.col("norm"))).otherwise(0.0).alias("similarity"))
-    best = scored.groupBy(key, "window_no").agg(F.max(F.struct(F.round("similarity", 12).alias("s"), "similarity")).alias("top"))
-    ties = scored.join(best, [key, "window_no"]).where(F.round("similarity", 12) == F.col("top.s")).groupBy(key, "window_no").agg(F.min("class").alias("class"), F.max("similarity").alias("similarity"))
+    # one pass over the scores: sums come in any order, and a second reckoning that rounds otherwise would lose its window
+    top = F.min(F.struct((-F.round("similarity", 12)).alias("s"), "class", "similarity")).alias("top")
+    ties = scored.groupBy(key, "window_no").agg(top).select(key, "window_no", "top.class", "top.similarity")
     # a window that shares no word with any class goes to the first class, with similarity 0
     first = bags.agg(F.min("class")).scalar()
     out = windows.join(ties, [key, "window_no"], "left")

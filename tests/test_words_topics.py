@@ -63,6 +63,15 @@ def test_dictionary_goldens(spark):
     assert d.max_words() == 6 and d.recommended_words() == 3
 
 
+def test_ties_keep_their_own_similarity_and_are_scored_once(spark):
+    # A's similarity is 1 - 1.25e-13: a tie at twelve digits, which A wins with its own value
+    table = spark.createDataFrame([("A", "aa", 1, 1.0), ("A", "bb", 1, 1.0 + 1e-6), ("B", "aa", 1, 1.0), ("B", "bb", 1, 1.0)], "class string, word string, freq bigint, tfidf double")
+    found = sax.SAXDictionary(words=2).with_table(table).predict(asked(spark, ["aa", "bb"]))
+    got = found.first()
+    assert got["class"] == "A" and 0 < 1 - got.similarity < 5e-13
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner, (word") == 1
+
+
 def test_refit_replaces_and_adds(spark, tmp_path):
     d = sax.SAXDictionary().fit(labelled(spark, *WORDS)).fit(labelled(spark, ("B", "aa"), ("C", "gg")))
     assert sorted((r["class"], r.word) for r in d.table.collect()) == [("A", "aa"), ("A", "bb"), ("A", "cc"), ("B", "aa"), ("C", "gg")]
