@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..base import Predictor, Transformer
-from ..plans.fold import Fold, fold
+from ..plans.fold import Fold
 from ..plans.running import last_seen
 from ..streaming.state import stream_fold
-from .online import Lasso, Prequential, _Prequential
+from .online import Lasso, Prequential, _Prequential, stretches
 
 
 def flatness_map(rows: DataFrame, labels: DataFrame, *, coil: str = "coil_id", pos: str = "x", row_id: str = "row_id") -> DataFrame:
@@ -103,10 +103,8 @@ class LassoDelayed(Transformer):
             told = p["bundles"].select(F.lit(0).alias("model_key"), "coil_id", "seq", F.lit(1).alias("late"), "poses", "labels")
             return stream_fold(rows.unionByName(told, allowMissingColumns=True), ["model_key"], ["seq", "late", "coil_id"], _Delayed(learner, names, p), with_state=True)
         log = self.log(df, p).withColumn("seq", F.col("arrival"))
-        if p["initial"] is not None:
-            low = F.lit(-(1 << 63))
-            log = log.unionByName(p["initial"].select(F.lit(0).alias("model_key"), low.alias("arrival"), low.alias("sub"), F.lit("m").alias("kind"), F.lit(-1).cast("bigint").alias("idx"), F.col("state").alias("features"), F.lit(None).cast("double").alias("label"), low.alias("seq")))
-        return fold(log, ["model_key"], ["arrival", "sub"], _Prequential(learner, len(names)))
+        initial = p["initial"] if p["initial"] is None else p["initial"].select(F.lit(0).alias("model_key"), "state")
+        return stretches(log, ["arrival", "sub"], learner, len(names), initial)
 
 
 def interpolated(x: float, poses: list[float], labels: list[float]) -> float | None:

@@ -36,8 +36,11 @@ def key_types(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], how: Fold) -> DataFrame:
-    """The rows that `how` returns, with their keys. Rows of one key are seen in the order of `order`."""
+def fold(df: DataFrame, keys: list[str], order: list[str], how: Fold, tasks: int | None = None) -> DataFrame:
+    """The rows that `how` returns, with their keys. Rows of one key are seen in the order of `order`.
+
+    tasks: the first key is a number below it and is itself the number of the task.
+    """
     names = columns_of(how.schema)
 
     def tagged(out: pd.DataFrame | None, key: tuple) -> pd.DataFrame | None:
@@ -68,7 +71,8 @@ def fold(df: DataFrame, keys: list[str], order: list[str], how: Fold) -> DataFra
         if key is not None and (out := tagged(how.finish(state), key)) is not None:
             yield out
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{key_types(df, keys)}, {how.schema}")
+    dealt = df.repartition(*[F.col(k) for k in keys]) if tasks is None else df.repartitionById(tasks, F.col(keys[0]).cast("int"))
+    return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, f"{key_types(df, keys)}, {how.schema}")
 
 
 def columns_of(schema: str) -> list[str]:

@@ -263,3 +263,21 @@ def test_many_features(spark):
     is_x = np.arange(600) % 2 == 0
     end, p = learner.block(learner.start(76), both, is_x, np.repeat(x @ w, 2))
     assert np.allclose(p, seen, atol=1e-6) and np.allclose(end[0], model[0])
+
+
+@pytest.mark.parametrize("saved", [None, [3.0, 0.5, 0.5, 2.0, 1.0, -1.0]])
+def test_a_key_of_an_additive_learner_spans_tasks(spark, saved):
+    rng = np.random.default_rng(9)
+    x, y, m = rng.normal(size=(600, 2)), rng.normal(size=600), O.Lasso(gamma=4.0)
+    rows = [r for i in range(600) for r in ((7, 2 * i, "x", i, x[i].tolist(), None), (7, 2 * i + 1, "y", i, None, float(y[i])))]
+    initial = None if saved is None else spark.createDataFrame([(7, saved), (8, saved)], "model_key int, state array<double>")
+    out = O.Prequential(learner=m, features=2, initial=initial).transform(spark.createDataFrame(rows, LOG))
+    model, want = m.start(2) if saved is None else m.load(saved, 2), []
+    for i in range(600):
+        want.append(m.predict(model, x[i]))
+        model = m.update(model, x[i], y[i], i)
+    got = out.orderBy("seq").collect()
+    assert np.allclose([r.prediction for r in got if r.kind == "prediction"], want)
+    (end,) = [r for r in got if r.kind == "model"]
+    assert end.seq == 1199 and np.allclose(end.model, m.values(model))
+    assert "RepartitionByExpression [model_key" not in out._jdf.queryExecution().optimizedPlan().toString()
