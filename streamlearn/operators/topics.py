@@ -7,6 +7,7 @@ only those sums meet. The driver blends them into the table with a decaying step
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -22,8 +23,8 @@ def digamma(x: np.ndarray) -> np.ndarray:
     x = np.array(x, "f8", copy=True)
     out = np.zeros_like(x)
     while (small := x < 6).any():
-        out[small] -= 1 / x[small]
-        x[small] += 1
+        out -= small / x
+        x += small
     f = 1 / (x * x)
     return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
 
@@ -76,6 +77,53 @@ def infer(ids: np.ndarray, counts: np.ndarray, exp_beta: np.ndarray, alpha: floa
     return gamma, np.outer(theta, counts / (theta @ beta + 1e-100))
 
 
+#: Documents inferred at once, and numbers of their topics x words.
+BLOCK_DOCS, BLOCK_NUMBERS = 256, 1 << 20
+
+
+def infer_many(docs: list[tuple[np.ndarray, np.ndarray]], exp_beta: np.ndarray, alpha: float, rounds: int = 100, tolerance: float = 1e-3) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """infer() of many documents (ids, counts), those of like length in step: numbers of documents, their ids (padded
+    with 0), gamma, and statistics (documents x topics x ids; 0 where padded). Each stops by its own tolerance."""
+    k = exp_beta.shape[0]
+    order = sorted(range(len(docs)), key=lambda i: len(docs[i][0]))
+    while order:
+        longest = len(docs[order[-1]][0])
+        block = order[-max(1, min(BLOCK_DOCS, BLOCK_NUMBERS // max(1, k * longest))) :]
+        block = [i for i in block if 2 * len(docs[i][0]) >= longest]
+        del order[-len(block) :]
+        ids, counts = np.zeros((len(block), longest), "i8"), np.zeros((len(block), longest))
+        for row, i in enumerate(block):
+            ids[row, : len(docs[i][0])], counts[row, : len(docs[i][1])] = docs[i]
+        beta = np.ascontiguousarray(exp_beta[:, ids].transpose(1, 0, 2))
+        gamma, at, b, c = np.ones((len(block), k)), np.arange(len(block)), beta, counts
+        for _ in range(rounds):
+            theta = np.exp(dirichlet_expectation(gamma[at]))
+            ratio = c / ((theta[:, None, :] @ b)[:, 0] + 1e-100)
+            new = alpha + theta * (b @ ratio[:, :, None])[:, :, 0]
+            going = np.abs(new - gamma[at]).mean(axis=1) >= tolerance
+            gamma[at] = new
+            if not going.all():
+                if not going.any():
+                    break
+                at, b, c = at[going], b[going], c[going]
+        theta = np.exp(dirichlet_expectation(gamma))
+        ratio = counts / ((theta[:, None, :] @ beta)[:, 0] + 1e-100)
+        yield block, ids, gamma, theta[:, :, None] * ratio[:, None, :]
+
+
+def coded(batch: Any, words: Any) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The documents of an Arrow array of token lists, BLOCK_DOCS at a time, as (ids, counts) of known words."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for k in range(0, len(batch), BLOCK_DOCS):
+        lists = batch.slice(k, BLOCK_DOCS)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), "i8")
+        ids = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=words), pa.scalar(-1, pa.int32())), "i8")
+        ends = np.cumsum(sizes)
+        yield [np.unique(own[own >= 0], return_counts=True) for own in (ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist()))]
+
+
 class OnlineLDA(Predictor):
     """fit() makes passes of mini-batches (documents by a hash) over doc_id, tokens; partial_fit() takes one
     mini-batch, as foreachBatch of a stream does; predict() adds each document's topic shares."""
@@ -114,15 +162,13 @@ class OnlineLDA(Predictor):
             import pyarrow as pa
 
             words, exp_beta = shared.value
-            index = {w: i for i, w in enumerate(words)}
-            sums, n = np.zeros_like(exp_beta), 0
+            words, sums, n = pa.array(words, pa.string()), np.zeros_like(exp_beta), 0
             for batch in batches:
-                for tokens in batch.column(0).to_pylist():
-                    at = [index[w] for w in tokens or () if w in index]
-                    n += 1
-                    if at:
-                        ids, counts = np.unique(at, return_counts=True)
-                        sums[:, ids] += infer(ids, counts.astype("f8"), exp_beta, alpha)[1]
+                n += batch.num_rows
+                for docs in coded(batch.column(0), words):
+                    for _, ids, _, stats in infer_many([d for d in docs if len(d[0])], exp_beta, alpha):
+                        for topic, own in enumerate(stats.transpose(1, 0, 2)):
+                            sums[topic] += np.bincount(ids.ravel(), own.ravel(), len(words))
             used = np.flatnonzero(sums.any(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([[float(n)], *sums[:, used].T.tolist()], pa.list_(pa.float64()))], ["word", "sums"])
 
@@ -156,16 +202,17 @@ class OnlineLDA(Predictor):
             import pyarrow as pa
 
             words, exp_beta = shared.value
-            index = {w: i for i, w in enumerate(words)}
+            words = pa.array(words, pa.string())
             for batch in batches:
-                out = []
-                for tokens in batch.column(1).to_pylist():
-                    ids, counts = np.unique(np.array([index[w] for w in tokens or () if w in index], "i8"), return_counts=True)
-                    gamma = infer(ids, counts.astype("f8"), exp_beta, alpha)[0] if len(ids) else np.full(len(exp_beta), alpha)
-                    out.append((gamma / gamma.sum()).tolist())
+                out = np.full((batch.num_rows, len(exp_beta)), alpha)
+                for k, docs in enumerate(coded(batch.column(1), words)):
+                    known = [i for i, d in enumerate(docs) if len(d[0])]
+                    for block, _, gamma, _ in infer_many([docs[i] for i in known], exp_beta, alpha):
+                        out[[k * BLOCK_DOCS + known[i] for i in block]] = gamma
+                out = (out / out.sum(axis=1, keepdims=True)).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "topics"])
 
         return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "tokens").mapInArrow(run, "doc_id bigint, topics array<double>")
 
 
-__all__ = ["OnlineLDA", "digamma", "dirichlet_expectation", "infer", "log_sum_exp", "token_counts", "tokenised", "vocabulary"]
+__all__ = ["OnlineLDA", "digamma", "dirichlet_expectation", "infer", "infer_many", "log_sum_exp", "token_counts", "tokenised", "vocabulary"]

@@ -146,6 +146,21 @@ def test_topics_are_separated(spark):
     assert np.argmax(out[0]) != np.argmax(out[1]) and np.allclose(out[999], 0.5)
 
 
+def test_documents_in_step_equal_one_by_one(monkeypatch):
+    rng = np.random.default_rng(4)
+    beta = np.exp(topics.dirichlet_expectation(rng.gamma(100.0, 0.01, (5, 300))))
+    docs = [(np.sort(rng.choice(300, n, replace=False)), rng.integers(1, 9, n).astype("f8")) for n in (1, 3, 250, 40, 41, 7, 300, 2, 90, 1)]
+    monkeypatch.setattr(topics, "BLOCK_NUMBERS", 5 * 300 * 2)
+    seen = []
+    for block, ids, gamma, stats in topics.infer_many(docs, beta, 0.2):
+        for row, i in enumerate(block):
+            want, sums = topics.infer(*docs[i], beta, 0.2)
+            n = len(docs[i][0])
+            assert (ids[row, :n] == docs[i][0]).all() and np.allclose(gamma[row], want) and np.allclose(stats[row, :, :n], sums) and not stats[row, :, n:].any()
+        seen += block
+    assert sorted(seen) == list(range(len(docs)))
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(0.5, 1.0), (0.5, -1.0), (-1.0, -1.0), (-1.0, 1.0), (2.0, 1.0), (None, 1.0)], "prediction double, label double")
     r = evaluation.confusion(df).first()
