@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..base import Predictor
@@ -52,13 +52,50 @@ def tokenised(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     return docs.select(F.col(doc_id).alias("doc_id"), clean.alias("tokens"))
 
 
+#: Ids of documents of several rows that are broadcast to find those rows; beyond it all counts meet by an exchange.
+MAX_AGAIN = 1_000_000
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """doc_id, word, n of each row's own tokens: runs in the sorted tokens, no exchange."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+        of = lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("word"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("bigint").alias("n")))
+        return F.flatten(F.transform(F.array(begins), of))
+
+    # arrays of one are variables: what they hold is not reckoned for each word again
+    found = F.flatten(F.transform(F.array(F.sort_array("tokens")), runs))
+    return rows.where(F.size("tokens") > 0).select(*[c for c in rows.columns if c != "tokens"], F.inline(found))
+
+
 def token_counts(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
-    """doc_id, word, n of words in the vocabulary (all, if none is given); no document is gathered."""
-    rows = docs.select("doc_id", F.explode("tokens").alias("word"))
-    if words is not None:
-        known = docs.sparkSession.createDataFrame([(w,) for w in words], "word string")
-        rows = rows.join(F.broadcast(known), "word")  # size is a parameter
-    return rows.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    """doc_id, word, n of words in the vocabulary (all, if none is given).
+
+    Each row counts its own words. Only documents of several rows (by their ids, which alone are dealt out) need more:
+    their counts are added.
+    """
+    docs = docs.select("doc_id", "tokens")
+    if docs.isStreaming:
+        rows = docs.select("doc_id", F.explode("tokens").alias("word"))
+        return _known(rows, words).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    total = lambda counts: counts.groupBy("doc_id", "word").agg(F.sum("n").alias("n"))
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("__id"), F.lit(True).alias("__again"))
+    many = again.limit(MAX_AGAIN + 1).count()
+    if not many:
+        return _known(_counted(docs), words).select("doc_id", "word", "n")
+    if many > MAX_AGAIN:
+        return total(_known(_counted(docs), words))
+    marked = docs.join(F.broadcast(again), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    counts = _known(_counted(marked), words).select("doc_id", "word", "n", "__again")
+    return counts.where("__again is null").drop("__again").unionByName(total(counts.where("__again")))
+
+
+def _known(rows: DataFrame, words: list[str] | None) -> DataFrame:
+    if words is None:
+        return rows
+    known = rows.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    return rows.join(F.broadcast(known), "word")  # size is a parameter
 
 
 def infer(ids: np.ndarray, counts: np.ndarray, exp_beta: np.ndarray, alpha: float, rounds: int = 100, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:

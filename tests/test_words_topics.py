@@ -161,6 +161,20 @@ def test_documents_in_step_equal_one_by_one(monkeypatch):
     assert sorted(seen) == list(range(len(docs)))
 
 
+def test_words_are_counted_in_their_rows(monkeypatch, spark):
+    rows = [(1, ["b", "a", "b", None, None]), (2, []), (3, None), (4, ["", "a"])]
+    schema, key = "doc_id bigint, tokens array<string>", lambda df: sorted(map(tuple, df.collect()), key=str)
+    once = topics.token_counts(spark.createDataFrame(rows, schema))
+    assert key(once) == sorted([(1, "a", 1), (1, "b", 2), (1, None, 2), (4, "", 1), (4, "a", 1)], key=str)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    more = spark.createDataFrame([*rows, (4, ["a"]), (None, ["a"]), (None, ["a", "c"])], schema)
+    want = sorted([(1, "a", 1), (1, "b", 2), (1, None, 2), (4, "", 1), (4, "a", 2), (None, "a", 2), (None, "c", 1)], key=str)
+    assert key(topics.token_counts(more)) == want
+    assert key(topics.token_counts(more, ["c", "b"])) == sorted([(1, "b", 2), (None, "c", 1)], key=str)
+    monkeypatch.setattr(topics, "MAX_AGAIN", 1)
+    assert key(topics.token_counts(more)) == want
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(0.5, 1.0), (0.5, -1.0), (-1.0, -1.0), (-1.0, 1.0), (2.0, 1.0), (None, 1.0)], "prediction double, label double")
     r = evaluation.confusion(df).first()
